@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recollex.operators import timestamps
 
@@ -24,7 +23,7 @@ def p2_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamps = _stamps(spark, sf_dir)
     # The zones that devices of these tables use.
     zones = ["UTC", "America/Los_Angeles", "America/New_York", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney", "Europe/Berlin", "Europe/London"]
-    return timestamps.estimate_zones(stamps, "record_id", "stamp_no", "written", "locale", "time_zone", zones).withColumn("zone", F.col("zone"))
+    return timestamps.estimate_zones(stamps, "record_id", "stamp_no", "written", "locale", "time_zone", zones)
 
 
 QUERIES = {"p2_found": p2_found, "p2_zones": p2_zones}
