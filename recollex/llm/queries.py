@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recollex.llm import ranking, splitting, threads
+from recollex.llm import history, near_duplicates, packing, ranking, splitting, threads
 
 SCORES = ("original_score", "keyword_boost", "final_score")
 
@@ -15,6 +16,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class, number of links and group of every memory with words."""
+    return near_duplicates.near_duplicate_groups(_table(spark, sf_dir, "memories"), "id", "content")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of memories in one group."""
+    return near_duplicates.grouped_pairs(p1_groups(spark, sf_dir), "id", "memory_id_a", "memory_id_b")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks not to be stored again."""
+    return history.repeated_chunks(_table(spark, sf_dir, "import_chunks"), "chunk_id", "content", _table(spark, sf_dir, "memories"), "content")
+
+
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true ``chunks_deduplicated`` of each batch beside the reported one."""
+    chunks, batches = _table(spark, sf_dir, "import_chunks"), _table(spark, sf_dir, "import_batches")
+    counted = p3_found(spark, sf_dir).join(chunks.select("chunk_id", "batch_no"), "chunk_id").groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"))
+    return batches.join(counted, "batch_no", "left").select("batch_no", F.col("chunks_deduplicated").alias("reported"), F.coalesce("n", F.lit(0)).alias("chunks_deduplicated"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that come out in more than one piece."""
     pieces = splitting.split_items(_table(spark, sf_dir, "import_chunks"), "chunk_id", "content", limit=800, overlap=100)
@@ -45,6 +68,16 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.fuse_rankings(_table(spark, sf_dir, "rerank_results"), "query_id", "memory_id", SCORES)
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text or piece."""
+    return packing.pack_texts(_table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that must be split."""
+    return packing.split_documents(p7_containers(spark, sf_dir), "doc_id")
+
+
 _P6_RANKS = """
 WITH c AS (SELECT query_id, memory_id, max(original_score) AS original_score, max(keyword_boost) AS keyword_boost, max(final_score) AS final_score
            FROM rerank_results GROUP BY query_id, memory_id),
@@ -56,12 +89,18 @@ WITH c AS (SELECT query_id, memory_id, max(original_score) AS original_score, ma
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p3_found": p3_found,
+    "p3_batches": p3_batches,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_threads": p5_threads,
     "p6_found": p6_found,
     "p6_ranking": p6_ranking,
+    "p7_found": p7_found,
+    "p7_containers": p7_containers,
 }
 
 ORACLES: dict[str, str] = {
