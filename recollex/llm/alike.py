@@ -9,16 +9,18 @@ The search is exact, by anchor-point covering:
   weight two inside a group.  They cover: any ``g + 1`` shared words have two in
   one group (pigeonhole), so two alike fingerprints have an anchor in common.
 * A fingerprint is replicated to every anchor it covers, and compared per
-  anchor by a 128-bit parity sketch of the whole text.  The sketches of two
+  anchor by a parity sketch of up to 160 bits of the whole text.  The sketches of two
   texts differ in at most as many bits as their sets differ in words, so the
   test drops no alike pair.  What remains is verified on the words.
 
-``g`` grows with the text, which keeps the anchors of a text of n words near
-n / 1.5.  Texts meet only in the size classes that the similarity allows.
+``g`` grows with the text, so that anchors grow with its length and not with
+the square.  Texts meet only in the size classes that the similarity allows.
 
-An anchor that more than ``CELL`` texts share is not compared in one task: its
-texts are dealt into blocks, every pair of blocks is a task of its own and
-compares the words themselves.
+An anchor that more than ``REFINE`` texts share (two words of one phrase, say)
+is replaced by anchors of three words: alike texts with two words in common
+must share a third among their rarest, by the same argument.  What more than
+``CELL`` texts still share is dealt into blocks, every pair of blocks is a task
+of its own and compares the words themselves.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollex.runtime import stored
 
 CELL = 4096
+REFINE = 4096
 #: Words in more than this share of all texts are ordered by frequency, the rest by hash; so at most mean length / share words are collected.
 COMMON_SHARE = 1 / 2000
 _PAIRWISE = 64
+_LONG = 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -70,29 +74,40 @@ def _classes(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 8.0) - 1e-12)).astype(np.int64)
 
 
+def _groups(size_class: np.ndarray) -> np.ndarray:
+    """Groups of words in a size class; fewer than the words that the smallest pair of the class shares."""
+    return np.left_shift(1, size_class)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def _sketches(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bit = (values >> 7) & 127
-    one = np.uint64(1) << (bit & 63).astype(np.uint64)
-    low = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), starts)
-    high = np.bitwise_xor.reduceat(np.where(bit >= 64, one, np.uint64(0)), starts)
-    return low.view(np.int64), high.view(np.int64)
+def _sketches(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parity sketch of each text, 160 bits: 64, then 32 in the upper half of a long, then 64 that only texts over ``_LONG`` words have."""
+    bit = ((values.view(np.uint64) >> np.uint64(8)) % np.uint64(160)).astype(np.int64)
+    one, none = np.uint64(1), np.uint64(0)
+    low = np.bitwise_xor.reduceat(np.where(bit < 64, one << (bit & 63).astype(np.uint64), none), starts)
+    mid = np.bitwise_xor.reduceat(np.where((bit >= 64) & (bit < 96), one << (bit & 31).astype(np.uint64), none), starts)
+    rest = np.bitwise_xor.reduceat(np.where(bit >= 96, one << ((bit - 96) & 63).astype(np.uint64), none), starts)
+    return low.view(np.int64), (mid << np.uint64(32)).view(np.int64), np.where(n > _LONG, rest, none).view(np.int64)
+
 
+def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int, hot: tuple[np.ndarray, np.ndarray] | None = None):
+    """(key, rid, about, sketch, rest) of every anchor of every text; ``about`` is 2 * size + flag, and 32 bits of the sketch above.
 
-def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int):
-    """(key, rid, flag, size, sketch low, sketch high) of every anchor of every text."""
+    With ``hot``, the (record, key) of crowded anchors, it gives the anchors of
+    three words that replace these.
+    """
     n = np.diff(offsets)
     record = np.repeat(np.arange(len(n)), n)
     rank = np.zeros(len(values), np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], values), len(common[0]) - 1)
         rank = np.where(common[0][at] == values, common[1][at], 0)
-    low, high = _sketches(values, offsets[:-1])
+    low, high, rest = _sketches(values, offsets[:-1], n)
     order = np.lexsort((values, rank, record))
     values = values[order]
     place = np.arange(len(values)) - np.repeat(offsets[:-1], n)
@@ -104,7 +119,7 @@ def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets:
     for step in range(int((top - own).max(initial=0)) + 1):
         size_class = own + step
         use = (size_class <= top) & (n > 1)
-        groups = np.left_shift(1, size_class)
+        groups = _groups(size_class)
         length = np.where(use, np.minimum(n, n - shared + groups + 1), 0)
         keep = np.flatnonzero(place < length[record])
         rec = record[keep]
@@ -119,44 +134,70 @@ def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets:
                 break
             a, b = mixed[keep[first]], mixed[keep[first + lag]]
             salt = size_class[rec[first]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            keys.append(_mixed(a * np.uint64(0xC2B2AE3D27D4EB4F) + b + salt).view(np.int64))
-            owners.append(rec[first])
+            pair = _mixed(a * np.uint64(0xC2B2AE3D27D4EB4F) + b + salt).view(np.int64)
+            if hot is None:
+                keys.append(pair)
+                owners.append(rec[first])
+            else:
+                here = np.flatnonzero(np.isin(_mixed(pair) ^ _mixed(rec[first]), _mixed(hot[1]) ^ _mixed(hot[0])))
+                for i, one, two in zip(rec[first[here]], keep[first[here]], keep[first[here] + lag], strict=True):
+                    # The n - shared + 3 rarest words hold three shared ones, so at least one besides the two of the anchor.
+                    third = offsets[i] + np.arange(min(n[i], n[i] - shared[i] + 3))
+                    third = third[(third != one) & (third != two)]
+                    one, two = mixed[one : one + 1], mixed[two : two + 1]
+                    anchor = _mixed(one * np.uint64(0xC2B2AE3D27D4EB4F) + two + size_class[i : i + 1].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                    keys.append(_mixed(anchor * np.uint64(0xFF51AFD7ED558CCD) + mixed[third]).view(np.int64))
+                    owners.append(np.full(len(third), i))
     key = np.concatenate(keys) if keys else np.empty(0, np.int64)
     owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
-    return key, rid[owner], flag[owner], n[owner].astype(np.int32), low[owner], high[owner]
+    return key, rid[owner], (high | (2 * n + flag))[owner], low[owner], rest[owner]
 
 
-_ANCHOR = "key long, rid long, flag byte, n int, low long, high long"
+_ANCHOR = "key long, rid long, about long, sketch long, rest long"
 
 
 def anchors(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], num: int = 7, den: int = 10) -> DataFrame:
-    """The anchor table of ``(rid, flag, words)``; it can be kept and appended to, as long as ``common`` stays the same."""
+    """The anchor table of ``(rid, flag, words)``; it can be kept and appended to, as long as ``common`` stays the same.
+
+    With a column ``keys``, the crowded anchors of each text, it gives the
+    anchors of three words that replace these.
+    """
+    columns = ["rid", "flag", "words", *(["keys"] if "keys" in sets.columns else [])]
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = batch.column("words")
-            offsets = words.offsets.to_numpy().astype(np.int64)
-            values = words.values.to_numpy()[offsets[0] : offsets[-1]]
-            out = anchor_rows(batch.column("rid").to_numpy(), batch.column("flag").to_numpy(), values, offsets - offsets[0], common, num, den)
+            values, offsets = flat(batch.column("words"))
+            hot = None
+            if "keys" in columns:
+                keys, ends = flat(batch.column("keys"))
+                hot = (np.repeat(np.arange(batch.num_rows), np.diff(ends)), keys)
+            out = anchor_rows(batch.column("rid").to_numpy(), batch.column("flag").to_numpy().astype(np.int64), values, offsets, common, num, den, hot)
             for at in range(0, len(out[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in out], names=["key", "rid", "flag", "n", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in out], names=["key", "rid", "about", "sketch", "rest"])
 
-    return sets.select("rid", "flag", "words").mapInArrow(run, _ANCHOR)
+    return sets.select(*columns).mapInArrow(run, _ANCHOR)
 
 
 def _may_be_alike(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Pairs of positions that the flags, sizes and sketches allow."""
-    total = (x["n"][a] + x["n"][b]).astype(np.int64)
-    differ = sum(np.bitwise_count((x[c][a] ^ x[c][b]).view(np.uint64)).astype(np.int64) for c in ("low", "high"))
-    small, large = np.minimum(x["n"][a], x["n"][b]).astype(np.int64), np.maximum(x["n"][a], x["n"][b])
-    return (differ * (den + num) <= (den - num) * total) & (small * den >= num * large) & ((x["flag"][a] & x["flag"][b]) == 0)
+    about_a, about_b = x["about"][a], x["about"][b]
+    n_a, n_b = ((about & 0xFFFFFFFF) >> 1 for about in (about_a, about_b))
+    total = n_a + n_b
+    differ = sum(np.bitwise_count(bits.view(np.uint64)).astype(np.int64) for bits in (x["sketch"][a] ^ x["sketch"][b], (about_a ^ about_b) >> 32 << 32))
+    differ += np.where((n_a > _LONG) & (n_b > _LONG), np.bitwise_count((x["rest"][a] ^ x["rest"][b]).view(np.uint64)), 0)
+    fits = np.minimum(n_a, n_b) * den >= num * np.maximum(n_a, n_b)
+    return fits & (differ * (den + num) <= (den - num) * total) & ((about_a & about_b & 1) == 0)
 
 
 def _compare_cells(num: int, den: int, cell: int):
     """Candidates (a < b) of each run of equal keys; rows of runs over ``cell`` come out alone, for the blocks."""
-    names = ["key", "rid", "flag", "n", "low", "high"]
+    names = ["key", "rid", "about", "sketch", "rest"]
 
     def pairs(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         key = x["key"]
@@ -270,20 +311,31 @@ def alike_pairs(sets: DataFrame, num: int = 7, den: int = 10, cell: int = CELL,
     """``(a, b)``, a < b: every pair of ``rid`` whose sets share at least num/den of the words in either.
 
     ``sets`` is ``(rid, flag, words)`` with distinct word sets.  Two texts whose
-    flags have a bit in common are not paired (0 pairs with everything), so that
-    old texts need not be compared among themselves.
+    flags (0 or 1) are both 1 are not paired, so that old texts need not be
+    compared among themselves.  The size classes are made for num/den >= 0.7.
     """
+    if 10 * num < 7 * den or num > den:
+        raise ValueError("0.7 <= num/den <= 1 must hold")
     common = common if common is not None else common_words(sets)
     table = anchor_table if anchor_table is not None else anchors(sets, common, num, den)
-    met = table.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_cells(num, den, cell), "a long, b long, key long")
-    met = stored(met, "anchor-pairs")
+    def compared(rows: DataFrame, most: int) -> DataFrame:
+        met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_cells(num, den, most), "a long, b long, key long")
+        return stored(met, "anchor-pairs")
+
+    met = compared(table, min(REFINE, cell))
+    found = met.where("b IS NOT NULL").select("a", "b")
+    crowded = met.where("key IS NOT NULL").groupBy(F.col("a").alias("rid")).agg(F.collect_set("key").alias("keys"))
+    if not crowded.isEmpty():
+        finer = anchors(crowded.join(sets.select("rid", "flag", "words"), "rid"), common, num, den)
+        met = compared(finer, cell)
+        found = found.unionByName(met.where("b IS NOT NULL").select("a", "b"))
+        crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("rid")).distinct()
     words = sets.select("rid", "words")
-    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
+    pairs = found.distinct()
     pairs = pairs.join(words.withColumnsRenamed({"rid": "a", "words": "wa"}), "a").join(words.withColumnsRenamed({"rid": "b", "words": "wb"}), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     pairs = pairs.where(shared * (num + den) >= num * (F.size("wa") + F.size("wb"))).select("a", "b")
-    crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("rid")).distinct()
-    if not crowded.isEmpty():
+    if "key" in crowded.columns and not crowded.isEmpty():
         blocks = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks"))
         dealt = crowded.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -113,7 +113,7 @@ class HistoryIndex:
         sets = stored(own.groupBy("rid").agg(F.any_value("words").alias("words"), F.min("_id").alias("first")).withColumn("flag", F.lit(0).cast("byte")), "batch-sets")
         old_sets = self._table("sets", "rid long, words array<long>")
         table = stored(anchors(sets, common, self.num, self.den), "batch-anchors")
-        met = self._table("blocks", "key long, rid long, flag byte, n int, low long, high long").join(table.select("key").distinct(), "key", "left_semi")
+        met = self._table("blocks", "key long, rid long, about long, sketch long, rest long").join(table.select("key").distinct(), "key", "left_semi")
         met = stored(met, "met-blocks")
         again = sets.select("rid").join(old_sets.select("rid"), "rid", "left_semi")
         reached = old_sets.join(met.select("rid").distinct(), "rid", "left_semi").join(sets.select("rid"), "rid", "left_anti").withColumn("flag", F.lit(1).cast("byte"))
@@ -127,7 +127,8 @@ class HistoryIndex:
         nodes = sets.select("rid", "first").join(by_history.withColumn("known", F.lit(True)), "rid", "left").select("rid", "first", F.coalesce("known", F.lit(False)).alias("known"))
         rejected = stored(_first_accepted(nodes, among), "rejected")
         accepted = sets.join(rejected, "rid", "left_anti")
-        table.join(accepted.select("rid"), "rid", "left_semi").withColumn("flag", F.lit(1).cast("byte")).write.mode("append").parquet(f"{self.folder}/blocks")
+        kept = table.join(accepted.select("rid"), "rid", "left_semi").withColumn("about", F.col("about").bitwiseOR(F.lit(1)))
+        kept.select("key", "rid", "about", "sketch", "rest").write.mode("append").parquet(f"{self.folder}/blocks")
         accepted.select("rid", "words").write.mode("append").parquet(f"{self.folder}/sets")
         fate = own.join(sets.select("rid", "first"), "rid").join(rejected.withColumn("bad", F.lit(True)), "rid", "left")
         return fate.select(F.col("_id").cast(kind).alias(key), (F.coalesce("bad", F.lit(False)) | (F.col("_id") > F.col("first"))).alias("repeated"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.llm import history, near_duplicates, packing, ranking, splitting, threads
+from recollex.llm import history, leaks, near_duplicates, packing, ranking, reading, splitting, threads
 
 SCORES = ("original_score", "keyword_boost", "final_score")
 
@@ -78,6 +78,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.split_documents(p7_containers(spark, sf_dir), "doc_id")
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat passages of test items, and whether they hold the item's answer."""
+    return leaks.leaked_items(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "text", "answer")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and leaked item."""
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and school grade of every document with prose."""
+    return reading.reading_levels(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "reading_labels"), "grade")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents of grade 13 or above."""
+    return reading.demanding_documents(p9_levels(spark, sf_dir), "doc_id")
+
+
 _P6_RANKS = """
 WITH c AS (SELECT query_id, memory_id, max(original_score) AS original_score, max(keyword_boost) AS keyword_boost, max(final_score) AS final_score
            FROM rerank_results GROUP BY query_id, memory_id),
@@ -101,6 +121,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ranking": p6_ranking,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 
 ORACLES: dict[str, str] = {

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BREAK = r"(?:\r\n|[\n\r  \x0b\x0c\x85])"
+_BREAK = r"(?:\r\n|[\n\r\u2028\u2029\x0b\x0c\x85])"
 #: Kinds of boundary from the strongest to the weakest; a piece may end before or after the white space there.
 KINDS = tuple(
     re.compile(x)
     for x in (
-        rf"(?:[^\S\n\r  \x0b\x0c\x85]*{_BREAK}){{2,}}| ",
+        rf"(?:[^\S\n\r\u2028\u2029\x0b\x0c\x85]*{_BREAK}){{2,}}|\u2029",
         rf"{_BREAK}+",
         r"(?:(?<=[.!?…。！？])|(?<=[.!?…]['\")\]»”’]))\s+|(?<=[。！？])",
         r"\s+",
@@ -39,7 +39,7 @@ def _joined(text: str, at: int) -> bool:
     """Whether a cut at ``at`` would part a line end or a character and its marks."""
     if not 0 < at < len(text):
         return False
-    return text[at - 1 : at + 1] == "\r\n" or text[at] == "‍" or text[at - 1] == "‍" or unicodedata.category(text[at]) in ("Mn", "Me", "Mc")
+    return text[at - 1 : at + 1] == "\r\n" or text[at] == "\u200d" or text[at - 1] == "\u200d" or unicodedata.category(text[at]) in ("Mn", "Me", "Mc")
 
 
 def cuts(text: str, limit: int, overlap: int, units: Sequence[int] | None = None) -> list[tuple[int, int]]:
