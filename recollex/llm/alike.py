@@ -69,14 +69,14 @@ def common_words(sets: DataFrame, share: float = COMMON_SHARE) -> tuple[np.ndarr
     return rows["w"].to_numpy(np.int64)[order], (order + 1).astype(np.int64)
 
 
-def _classes(n: np.ndarray) -> np.ndarray:
-    """Size class: 0 up to 8 words, 1 up to 16, 2 up to 32, ..."""
-    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 8.0) - 1e-12)).astype(np.int64)
+#: Largest size of each class, and its groups of words: fewer than the words that two alike texts of the class share.
+_EDGES = np.array([8 * 3**i for i in range(18)], np.int64)
+_GROUPS = np.maximum(1, _EDGES // 10)
 
 
-def _groups(size_class: np.ndarray) -> np.ndarray:
-    """Groups of words in a size class; fewer than the words that the smallest pair of the class shares."""
-    return np.left_shift(1, size_class)
+def _classes(n: np.ndarray) -> np.ndarray:
+    """Size class: 0 up to 8 words, 1 up to 24, 2 up to 72, ..."""
+    return np.searchsorted(_EDGES, n, side="left")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets:
     for step in range(int((top - own).max(initial=0)) + 1):
         size_class = own + step
         use = (size_class <= top) & (n > 1)
-        groups = _groups(size_class)
+        groups = _GROUPS[np.minimum(size_class, len(_GROUPS) - 1)]
         length = np.where(use, np.minimum(n, n - shared + groups + 1), 0)
         keep = np.flatnonzero(place < length[record])
         rec = record[keep]
