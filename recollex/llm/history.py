@@ -120,7 +120,7 @@ class HistoryIndex:
         known = met.join(sets.select("rid"), "rid", "left_anti")
         universe = sets.select("rid", "flag", "words").unionByName(reached.select("rid", "flag", "words"))
         pairs = stored(alike_pairs(universe, self.num, self.den, common=common, anchor_table=table.unionByName(known)), "alike-pairs")
-        side = sets.select("rid", F.lit(True).alias("mine"))
+        side = sets.select("rid", F.lit(True).alias("mine")).join(again, "rid", "left_anti")
         told = pairs.join(side.withColumnsRenamed({"rid": "a", "mine": "ma"}), "a", "left").join(side.withColumnsRenamed({"rid": "b", "mine": "mb"}), "b", "left")
         by_history = told.where("ma IS NULL OR mb IS NULL").select(F.when(F.col("ma").isNull(), F.col("b")).otherwise(F.col("a")).alias("rid")).unionByName(again).distinct()
         among = told.where("ma AND mb").select("a", "b")
