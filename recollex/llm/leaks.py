@@ -138,25 +138,29 @@ def holds_stretch(item: np.ndarray, doc: np.ndarray, share: float = 0.6, per_edi
     """Whether ``doc`` repeats an unbroken stretch of at least ``share`` of the item's words with at most one edit in ``per_edit`` words.
 
     Edit distances of all starts in the item to every end in the document are
-    kept in one table, a row a start; both ends in the document are free.
+    kept in one table, a row a start; the stretch begins and ends with a word
+    that both have.
     """
     n, m = len(item), len(doc)
     least = int(np.ceil(share * n - 1e-9))
     if not n or m < least - least // per_edit:
         return False
     starts = n - least + 1
-    table = np.zeros((starts, m + 1), np.int32)
+    far = n + m + 1
+    table = np.full((starts, m + 1), far, np.int32)
     steps = np.arange(m + 1, dtype=np.int32)
     for i in range(n):
+        same = doc == item[i]
         live = table[: min(i + 1, starts)]
-        miss = (doc != item[i]).astype(np.int32)
         new = live + 1
-        np.minimum(new[:, 1:], live[:, :-1] + miss, out=new[:, 1:])
-        new = np.minimum.accumulate(new - steps, axis=1) + steps
-        table[: len(live)] = new
+        np.minimum(new[:, 1:], live[:, :-1] + ~same, out=new[:, 1:])
+        if i < starts:
+            new[i] = far
+            new[i, 1:][same] = 0
+        table[: len(live)] = new = np.minimum.accumulate(new - steps, axis=1) + steps
         done = i + 2 - least
-        if done > 0:
-            best = new[:done].min(axis=1)
+        if done > 0 and same.any():
+            best = new[:done, 1:][:, same].min(axis=1)
             if (best * per_edit <= i + 1 - np.arange(done)).any():
                 return True
     return False

@@ -36,7 +36,9 @@ def _spread_ranks(candidates: DataFrame, query: str, scores: Sequence[str], part
         before = Window.partitionBy(query).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = per_part.select(query, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
         inside = Window.partitionBy(query, "_part").orderBy(F.col(s).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-        placed = laid.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, [query, "_part"])
+        offsets = offsets.withColumnsRenamed({query: "_oq", "_part": "_op"})
+        placed = laid.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        placed = placed.join(offsets, F.col(query).eqNullSafe(F.col("_oq")) & (F.col("_part") == F.col("_op")))
         placed = placed.select(F.col(query).alias("_q"), F.col(s).alias("_s"), (F.col("_before") + F.col("_inside") + 1).cast("int").alias(f"rank_{s}"))
         ranked = ranked.join(placed, F.col(query).eqNullSafe(F.col("_q")) & F.col(s).eqNullSafe(F.col("_s"))).drop("_q", "_s")
     return ranked
