@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from recollex.functions.text import rank_tokens, set_similarity, trigrams
 
@@ -57,9 +60,6 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
                     cs.append(cosines[i, j])
                 yield pa.RecordBatch.from_pylist([{query: a, "_row": b, "cosine": float(c)} for a, b, c in zip(qs, rs, cs, strict=True)], schema=schema)
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import DoubleType, StructField, StructType
-
         kind = StructType([StructField(query, queries.schema[query].dataType), StructField("_row", rows.schema[row].dataType), StructField("cosine", DoubleType())])
         schema = to_arrow_schema(kind)
         part = rows.select(row, vector).mapInArrow(run, kind)
@@ -103,35 +103,125 @@ def inverted_index(rows: DataFrame, row: str, text: str) -> DataFrame:
     return tokens.groupBy("token", row).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
 
+def _py_rank_tokens(text: str) -> list[str]:
+    return [w for w in re.split("[^a-z0-9]+", text.lower()) if len(w) > 1]
+
+
+def _py_trigrams(text: str) -> list[str]:
+    padded = (f"  {w} " for w in re.split("[^a-z0-9]+", text.lower()) if w)
+    return list({p[i : i + 3] for p in padded for i in range(len(p) - 2)})
+
+
+def _postings(texts: list[str | None], tokens: Callable[[str], list[str]], vocabulary: dict[str, int]):
+    """(term, document, count) of the known terms, by term, and the number of all tokens of each document."""
+    size = np.zeros(len(texts), np.int64)
+    terms, places = [], []
+    for i, t in enumerate(texts):
+        if t:
+            words = tokens(t)
+            size[i] = len(words)
+            hit = [vocabulary[w] for w in words if w in vocabulary]
+            terms += hit
+            places += [i] * len(hit)
+    both = np.array(terms, np.int64) * max(1, len(texts)) + np.array(places, np.int64)
+    pairs, count = np.unique(both, return_counts=True)
+    return pairs // max(1, len(texts)), pairs % max(1, len(texts)), count, size
+
+
+def _term_counts(text: str, tokens: Callable[[str], list[str]], vocabulary: dict[str, int]):
+    """Documents with each known term; -1 counts the documents, -2 their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary) + 2, np.int64)
+        for batch in batches:
+            term, _, _, size = _postings(batch.column(text).to_pylist(), tokens, vocabulary)
+            total[2:] += np.bincount(term, minlength=len(vocabulary))
+            total[0] += size.sum()
+            total[1] += len(size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(vocabulary))), pa.array(total)], names=["term", "n"])
+
+    return run
+
+
+def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, tokens, weigh, finish, digits: int, name: str, need_counts: bool) -> DataFrame:
+    """Exact top k of a score that sums over common terms, queries in blocks against all rows.
+
+    A task turns its rows into postings of the block's terms, adds up dense
+    scores for some queries at a time and keeps k a query, with ties; a window
+    keeps k of all.  Only the block's queries and the statistics of their terms
+    leave the executors.
+    """
+    q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t")).orderBy(query)
+    total = q.count()
+    kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField(name, DoubleType())])
+    schema = to_arrow_schema(kind)
+    out = None
+    for start in range(0, max(1, total), QUERY_BLOCK):
+        block = q.offset(start).limit(QUERY_BLOCK).collect()
+        keys = [r[0] for r in block]
+        lists = [tokens(r[1]) for r in block]
+        vocabulary = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws}))}
+        counts = np.zeros(len(vocabulary) + 2)
+        if need_counts:
+            told = rows.select(text).mapInArrow(_term_counts(text, tokens, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            for r in told.toLocalIterator():
+                counts[r["term"] + 2] = r["n"]
+        asked = []
+        for words in lists:
+            ids, times = np.unique(np.array([vocabulary[w] for w in words], np.int64), return_counts=True)
+            asked.append((ids, times.astype(np.float64)))
+        lengths = np.array([len(x) for x in lists], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch], keys=keys, vocabulary=vocabulary, counts=counts, asked=asked, lengths=lengths) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                term, place, count, size = _postings(batch.column(text).to_pylist(), tokens, vocabulary)
+                edges = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+                value = weigh(term, count, size[place], counts)
+                names = batch.column(row).to_pylist()
+                found = []
+                for at in range(0, len(keys), 64):
+                    table = np.zeros((min(64, len(keys) - at), len(size)))
+                    for i in range(len(table)):
+                        ids, times = asked[at + i]
+                        for t, n in zip(ids, times, strict=True):
+                            own = slice(edges[t], edges[t + 1])
+                            table[i, place[own]] += n * value[own]
+                    table = finish(table, lengths[at : at + len(table), None], size[None, :].astype(np.float64))
+                    keep = min(k, len(size))
+                    bound = np.partition(table, len(size) - keep, axis=1)[:, len(size) - keep] - 2 * 10.0**-digits
+                    i, j = np.nonzero((table > 0) & (table >= bound[:, None]))
+                    found += [{query: keys[at + x], row: names[y], name: float(table[x, y])} for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+        part = rows.select(row, text).mapInArrow(run, kind)
+        out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy(query).orderBy(F.round(name, digits).desc(), row)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def bm25(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(query, row, score, rank)``: the k best rows by BM25 with statistics over all rows; ties go to the smaller row.
 
-    Repeated query words count as often as they occur.  Documents meet queries
-    on words, so only rows with a word of the query are looked at.
+    Repeated query words count as often as they occur.  Null and empty texts
+    match nothing, but count as documents.
     """
-    index = inverted_index(rows, row, text)
-    stats = rows.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.coalesce(rank_tokens(F.col(text)), F.array().cast("array<string>")))).alias("avg_length"))
-    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select(query, F.explode(rank_tokens(F.col(query_text))).alias("token")).groupBy(query, "token").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(frequency, "token").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weight = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = asked.join(index, "token").select(query, row, weight.alias("w")).groupBy(query, row).agg(F.sum("w").alias("score"))
-    order = Window.partitionBy(query).orderBy(F.round("score", 6).desc(), row)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def weigh(term, count, size, counts):
+        n, mean = counts[1], counts[0] / max(counts[1], 1.0)
+        df = counts[2:][term]
+        return np.log((n - df + 0.5) / (df + 0.5) + 1.0) * count * (k1 + 1) / (count + k1 * (1 - b + b * size / max(mean, 1e-9)))
+
+    return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_rank_tokens, weigh, lambda x, _q, _r: x, 6, "score", True)
 
 
 def trigram_matches(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, least: float, k: int) -> DataFrame:
-    """``(query, row, similarity, rank)`` by shared trigrams above ``least``.
+    """``(query, row, similarity, rank)``: the k most similar rows by shared trigrams, above ``least``; ties go to the smaller row."""
 
-    Rows meet queries on trigrams and common ones are counted; both sides carry
-    their number of trigrams, so the texts aren't needed again.
-    """
-    side = lambda df, key, t: df.select(key, trigrams(F.col(t)).alias("g")).select(key, F.size("g").alias(f"_n_{key}"), F.explode("g").alias("gram"))
-    met = side(queries, query, query_text).join(side(rows, row, text), "gram").groupBy(query, row).agg(F.count(F.lit(1)).alias("c"), F.max(f"_n_{query}").alias("x"), F.max(f"_n_{row}").alias("y"))
-    scored = met.select(query, row, (F.col("c") / (F.col("x") + F.col("y") - F.col("c"))).alias("similarity")).where(F.col("similarity") > least)
-    order = Window.partitionBy(query).orderBy(F.round("similarity", 9).desc(), row)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def similarity(common, asked, size):
+        x = common / np.maximum(asked + size - common, 1.0)
+        return np.where(x > least, x, 0.0)
+
+    return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_trigrams, lambda term, count, size, counts: np.ones(len(term)), similarity, 9, "similarity", False)
 
 
 def text_similarity(a, b):
