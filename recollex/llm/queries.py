@@ -127,7 +127,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_levels": p9_levels,
 }
 
+# Brute force over word sets; groups by following links.
+_WORD_SET = "list_sort(list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')))"
+_P1_GROUPS = f"""
+WITH RECURSIVE m AS (SELECT id, {_WORD_SET.format(c="content")} AS w FROM memories WHERE content IS NOT NULL),
+  x AS (SELECT id, len(w) AS n, unnest(w) AS t FROM m),
+  l AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.t = b.t AND a.id <> b.id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)
+        GROUP BY a.id, b.id HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))),
+  r AS (SELECT DISTINCT a AS s, a AS e FROM l UNION SELECT r.s, l.b FROM r JOIN l ON l.a = r.e)
+"""
+_P5_MESSAGES = """
+WITH raw AS (SELECT conversation_id AS thread_id, true AS numbered, id AS pos, role, content FROM beam_turns),
+  s AS (SELECT unnest(haystack_session_ids) AS thread_id, unnest(haystack_sessions) AS m FROM lme_questions),
+  nested AS (SELECT thread_id, false AS numbered, CAST(g AS BIGINT) AS pos, m[g].role AS role, m[g].content AS content FROM s, range(1, 10000) t(g) WHERE g <= len(m)),
+  u AS (SELECT * FROM raw UNION ALL SELECT * FROM nested),
+  c AS (SELECT thread_id, numbered, pos, content,
+          CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant' WHEN lower(trim(role)) = 'system' THEN 'system' END AS role,
+          coalesce(regexp_matches(content, '[^\\s\\x{00a0}\\x{200b}-\\x{200d}\\x{2060}\\x{feff}]'), false) AS visible, lower(trim(role)) AS said FROM u),
+  d AS (SELECT DISTINCT thread_id, numbered, pos, coalesce(role, said) AS said, role, content, visible FROM c),
+  t AS (SELECT thread_id, bool_or(numbered) AND (max(pos) - min(pos) + 1 <> count(DISTINCT pos) OR count(*) <> count(DISTINCT pos))
+          OR NOT bool_or(visible) OR bool_or(role IS NULL) OR NOT coalesce(bool_or(role = 'user'), false) AS bad FROM d GROUP BY thread_id),
+  f AS (SELECT thread_id, role, lead(role) OVER w AS next_role, lead(visible) OVER w AS next_visible FROM d WHERE role IS DISTINCT FROM 'system' WINDOW w AS (PARTITION BY thread_id ORDER BY pos)),
+  g AS (SELECT thread_id FROM f WHERE role = 'user' AND NOT coalesce(next_role = 'assistant' AND next_visible, false))
+"""
+
 ORACLES: dict[str, str] = {
+    "p1_found": _P1_GROUPS + "SELECT DISTINCT s AS memory_id_a, e AS memory_id_b FROM r WHERE s < e",
+    "p5_found": _P5_MESSAGES + """
+SELECT thread_id FROM t WHERE bad UNION SELECT thread_id FROM g UNION SELECT thread_id FROM s WHERE m IS NULL OR len(m) = 0""",
     "p4_found": "SELECT chunk_id FROM import_chunks WHERE length(content) > 800",
     "p6_found": _P6_RANKS + """
 SELECT query_id, memory_id FROM (
