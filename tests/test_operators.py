@@ -149,3 +149,54 @@ def test_stream_equals_batch(spark, tmp_path):
     assert values(spark.table("totals")) == values(activity.activity_totals(events))
     assert values(spark.table("states")) == values(activity.access_states(events, "user_id"))
     assert activity.log_lines(events).where("value LIKE '2023-11-14T22:13:20Z [?] user=0'").count() == 1
+
+
+def test_date_forms(spark):
+    from recollex.functions import features
+
+    forms = features.dates_in("We met on May 1st, 2022 and 03/04/2023, not 2024-02-30.")
+    assert {"2022-05-01", "may 1 2022", "1 may 2022", "5/1/2022", "1/5/2022", "may 2022", "2023-03-04", "2023-04-03"} <= set(forms) and not any(f.startswith("2024") for f in forms)
+    assert features.dates_in(None) == features.dates_in("") == []
+    df = spark.createDataFrame([("I prefer dark roast coffee. It rained.",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(features.preference_terms(F.col("t"))).collect()][:1] == [["prefer", "dark", "roast", "coffee"]]
+    assert df.select(features.hashing_embedder(8)(F.col("t")).alias("e")).where("e IS NOT NULL").count() == 1
+
+
+def test_web_search(spark):
+    from recollex.operators import fulltext
+
+    rows = spark.createDataFrame([(1, "red car", "a fast red car"), (2, None, "the blue car is fast"), (3, "bike", "fast bike, not a car red"), (4, None, None)], "id int, subject string, content string").repartition(2)
+    q = spark.createDataFrame([("and", "fast car"), ("phrase", '"red car"'), ("or", "blue or bike"), ("not", "car -blue"), ("none", "--"), ("null", None)], "q string, t string")
+    got = {}
+    for r in fulltext.fulltext_matches(q, "q", "t", rows, "id", {"subject": "A", "content": "D"}, 10).orderBy("rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    assert got == {"and": [1, 2, 3], "phrase": [1], "or": [3, 2], "not": [1, 3]}
+
+
+def test_archive_round_trip(spark, tmp_path):
+    from recollex.sources import archive
+
+    m = spark.createDataFrame([("a", "x"), ("b", None)], "id string, content string")
+    path = archive.write_archive({"memories": m}, str(tmp_path), "my label!", 7)
+    assert path.endswith("-mylabel")
+    back = archive.read_archive(spark, path)["memories"]
+    assert values(back.select("id", "content", "version", "pinned")) == [("a", "x", 1, False), ("b", None, 1, False)]
+    m.limit(1).write.mode("overwrite").parquet(f"{path}/memories")
+    with pytest.raises(ValueError):
+        archive.read_archive(spark, path)
+
+
+def test_budget(spark):
+    from recollex.operators import context
+
+    df = spark.createDataFrame([("q", i, "x" * 40) for i in range(5)], "q string, i int, c string")
+    lines = [r.line for r in context.within_budget(df, "q", [F.asc("i")], "c", 110).orderBy("i").collect()]
+    assert [len(x) for x in lines] == [40, 40, 27]
+
+
+def test_access_predicate_and_retention(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
+    assert df.where(store.may_read(F.col("p"), "agent", ["a"])).count() == 2 and df.where(store.may_read(F.col("p"), "admin", [])).count() == 3
+    archives = spark.sql("SELECT concat('n', id) AS name, timestamp_seconds(1700000000 - id * 86400) AS at FROM range(50)")
+    kept = store.kept_archives(archives, "name", "at", F.timestamp_seconds(F.lit(1_700_000_000)), newest=3, days=10.5)
+    assert kept.count() == 11
