@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import features, scores, text
-from recollex.operators import context, dedup, fulltext, fusion, graph, retrieval, store
+from recollex.operators import context, dedup, fulltext, fusion, graph, refine, retrieval, store
 from recollex.plans.core_queries import _COS, _EDGES, _as_of, _edges, _fused, _questions, _t
 
 QUERIES: dict = {}
@@ -197,3 +197,60 @@ def o23_sessions_from_gaps(spark, sf_dir):
     e = e.withColumn("fresh", F.when(F.col("us") - F.lag("us").over(order) <= 1_800_000_000, 0).otherwise(1))
     e = e.withColumn("sid", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return e.groupBy("user_id", "sid").agg(F.min("us").alias("start_us"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def o60_maxsim_rerank(spark, sf_dir):
+    """The nearest vectors of each query, reordered by late interaction of halves of the vectors."""
+    e = _t(spark, sf_dir, "embeddings")
+    halves = lambda c: F.array(F.slice(c, 1, 32), F.slice(c, 33, 32))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    near = retrieval.nearest(q, "query", "v", e, "vec_id", "embedding", 30, skip_self=True).withColumn("score", F.col("cosine"))
+    both = near.join(e.select("vec_id", halves(F.col("embedding")).alias("dt")), "vec_id").join(q.select("query", halves(F.col("v")).alias("qt")), "query")
+    return refine.maxsim_rerank(both, "query", "vec_id", "qt", "dt").select("query", "vec_id", F.round("score", 9).alias("score"))
+
+
+@query()
+def o97_context_boost(spark, sf_dir):
+    m = _t(spark, sf_dir, "memories").select("id", "content", "session_id", F.unix_micros("created_at").alias("ordinal"))
+    pool = _fused(spark, sf_dir).join(_questions(spark, sf_dir), "question_id").join(m, "id")
+    names = refine.context_entities(pool, "question_id", "session_id", "ordinal", "content", "id")
+    lifted = refine.context_boost(pool, names, "question_id", "question", "content")
+    return refine.preference_boost(lifted, "question_id", "question", "content", [F.desc("score"), F.asc("id")]).select("question_id", "id", F.round("score", 9).alias("score"))
+
+
+@query()
+def o98_feedback_search(spark, sf_dir):
+    """A second lexical search with the words of the first results added, fused with a low weight."""
+    m = _t(spark, sf_dir, "memories").select("id", "content")
+    first = retrieval.bm25(_questions(spark, sf_dir), "question_id", "question", m, "id", "content", 30)
+    terms = refine.feedback_terms(first.where("rank <= 5").join(m, "id"), "question_id", "content")
+    wider = _questions(spark, sf_dir).join(terms, "question_id").select("question_id", F.concat_ws(" ", "question", F.array_join("terms", " ")).alias("question"))
+    second = retrieval.bm25(wider, "question_id", "question", m, "id", "content", 30)
+    return fusion.weighted_rrf([(first, 1.0), (second, 0.3)], "question_id", "id").withColumn("score", F.round("score", 9))
+
+
+@query()
+def o105_date_filter(spark, sf_dir):
+    pool = _pool(spark, sf_dir).withColumn("day", text.memory_date(F.col("content"), F.col("tags"), F.col("created_at")))
+    return refine.date_filter(pool, "question_id", "day", F.lit("2025-01-01").cast("date"), days=120, least=3).select("question_id", "id")
+
+
+@query()
+def o106_access_effects(spark, sf_dir):
+    ranks = context.ranked(_fused(spark, sf_dir), "question_id", "id", F.round("score", 9))
+    return refine.access_effects(ranks, _t(spark, sf_dir, "memories"), "id", _as_of()).drop("last_accessed")
+
+
+@query(
+    """SELECT p.id AS project_id, p.name, count(m.id) AS memories, count(m.id) FILTER (NOT coalesce(m.obsolete, false)) AS live,
+       arg_max(m.session_id, (m.created_at, m.id)) FILTER (m.session_id IS NOT NULL) AS last_session FROM projects p LEFT JOIN memories m ON m.project_id = p.id GROUP BY 1, 2"""
+)
+def o143_project_status(spark, sf_dir):
+    s = refine.project_status(_t(spark, sf_dir, "memories"), _t(spark, sf_dir, "projects"))
+    return s.select("project_id", "name", F.coalesce("memories", F.lit(0)).alias("memories"), F.coalesce("live", F.lit(0)).alias("live"), "last_session")
+
+
+@query("SELECT question_id, coalesce(length(q) > 0 AND length(a) > 0 AND (contains(q, a) OR contains(a, q)), false) AS hit FROM (SELECT question_id, trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) AS q, trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')) AS a FROM lme_questions)")
+def o166_substring_match(spark, sf_dir):
+    return _t(spark, sf_dir, "lme_questions").select("question_id", refine.substring_match(F.col("question"), F.col("answer")).alias("hit"))
