@@ -38,8 +38,8 @@ def o10_last_session(spark, sf_dir):
 def o25_superseded(spark, sf_dir):
     m = _t(spark, sf_dir, "memories")
     s = m.where("supersedes IS NOT NULL").select("supersedes")
-    known = s.join(m.select(F.col("id").alias("supersedes")), "supersedes", "left_semi")
-    return s.agg(F.count(F.lit(1)).alias("n")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))  # two one-row frames
+    told = s.join(m.select(F.col("id").alias("supersedes"), F.lit(True).alias("there")), "supersedes", "left")
+    return told.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("there", F.lit(False))).alias("known"))
 
 
 @query("SELECT id FROM memories WHERE id NOT IN (SELECT supersedes FROM memories WHERE supersedes IS NOT NULL) AND NOT coalesce(obsolete, false)")
@@ -70,11 +70,11 @@ def o58_embedded_memories(spark, sf_dir):
 
 @query()
 def o59_maxsim(spark, sf_dir):
-    """Late interaction of each label's first vectors with those of every label."""
+    """Late interaction of each label's first vectors with those of the next label."""
     e = _t(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
     sides = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))["embedding"].alias("v"))
-    a, b = sides.select(F.col("label").alias("a"), F.slice("v", 1, 4).alias("va")), sides.select(F.col("label").alias("b"), F.slice("v", 1, 8).alias("vb"))
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(scores.maxsim(F.col("va"), F.col("vb")), 6).alias("score"))
+    a = sides.select(F.col("label").alias("a"), (F.col("label") + 1).alias("b"), F.slice("v", 1, 4).alias("va"))
+    return a.join(sides.select(F.col("label").alias("b"), F.slice("v", 1, 8).alias("vb")), "b").select("a", "b", F.round(scores.maxsim(F.col("va"), F.col("vb")), 6).alias("score"))
 
 
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> ''))"
@@ -153,9 +153,9 @@ def o118_table_counts(spark, sf_dir):
     names = {"projects": "projects", "memories": "memories", "chunks": "import_chunks", "vectors": "embeddings", "documents": "documents"}
     out = None
     for alias, table in names.items():
-        one = _t(spark, sf_dir, table).agg(F.count(F.lit(1)).alias(alias))
-        out = one if out is None else out.crossJoin(one)  # one-row frames
-    return out
+        one = _t(spark, sf_dir, table).agg(F.count(F.lit(1)).alias("n")).select(F.lit(alias).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out.agg(*[F.sum(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])
 
 
 @query("SELECT project_id, max(n) AS n, arg_max(kind, (n, kind)) AS kind FROM (SELECT project_id, lower(trim(kind)) AS kind, count(*) AS n FROM memories WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY project_id")
