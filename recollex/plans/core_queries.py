@@ -122,9 +122,9 @@ def o117_counts(spark, sf_dir):
     )
 
 
-@query("SELECT coalesce(lower(trim(kind)), 'none') AS kind, count(*) AS n, avg(CAST(confidence AS DOUBLE)) AS confidence FROM memories WHERE NOT coalesce(obsolete, false) GROUP BY 1")
+@query("SELECT coalesce(lower(trim(kind)), 'none') AS kind, count(*) AS n, round(avg(CAST(confidence AS DOUBLE)), 6) AS confidence FROM memories WHERE NOT coalesce(obsolete, false) GROUP BY 1")
 def o119_by_kind(spark, sf_dir):
-    return _live(_t(spark, sf_dir, "memories")).groupBy(F.coalesce(F.lower(F.trim("kind")), F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("confidence").cast("double")).alias("confidence"))
+    return _live(_t(spark, sf_dir, "memories")).groupBy(F.coalesce(F.lower(F.trim("kind")), F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("confidence").cast("double")), 6).alias("confidence"))
 
 
 @query("SELECT p.name, count(*) AS n FROM memories m JOIN projects p ON m.project_id = p.id WHERE NOT coalesce(m.obsolete, false) GROUP BY p.name")
@@ -152,9 +152,9 @@ def o124_rollup(spark, sf_dir):
     return joined.rollup("name", "kind").agg(F.sum("c").alias("n"))
 
 
-@query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_start_us, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2")
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_start_us, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def o158_activity_totals(spark, sf_dir):
-    return activity.activity_totals(_t(spark, sf_dir, "events"), "1 hour")
+    return activity.activity_totals(_t(spark, sf_dir, "events"), "1 hour").withColumn("value", F.round("value", 4))
 
 
 @query("SELECT user_id, count(*) AS accesses, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id")

@@ -190,7 +190,7 @@ def o147_newest_events(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.row_number().over(order).alias("n")).where("n <= 100").drop("n")
 
 
-@query("SELECT user_id, sid, min(epoch_us(ts)) AS start_us, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, sid")
+@query("SELECT user_id, sid, min(epoch_us(ts)) AS start_us, count(*) AS n FROM (SELECT user_id, ts, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, sid")
 def o23_sessions_from_gaps(spark, sf_dir):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = _t(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
