@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import features, scores, text
-from recollex.operators import context, dedup, fulltext, fusion, graph, refine, retrieval, store
+from recollex.operators import context, dedup, fulltext, fusion, graph, refine, remember, retrieval, store
 from recollex.plans.core_queries import _COS, _EDGES, _as_of, _edges, _fused, _questions, _t
 
 QUERIES: dict = {}
@@ -254,3 +254,10 @@ def o143_project_status(spark, sf_dir):
 @query("SELECT question_id, coalesce(length(q) > 0 AND length(a) > 0 AND (contains(q, a) OR contains(a, q)), false) AS hit FROM (SELECT question_id, trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) AS q, trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')) AS a FROM lme_questions)")
 def o166_substring_match(spark, sf_dir):
     return _t(spark, sf_dir, "lme_questions").select("question_id", refine.substring_match(F.col("question"), F.col("answer")).alias("hit"))
+
+
+@query()
+def o155_remembered_chunks(spark, sf_dir):
+    """Chunks taken one after the other into the store of memories: which are stored, which are blocked and by what."""
+    batch = _t(spark, sf_dir, "import_chunks").select(F.col("chunk_id").cast("string").alias("id"), "content", "chunk_id")
+    return remember.remembered(batch, _t(spark, sf_dir, "memories").select("id", "content"), "id", "content", "chunk_id")
