@@ -1,19 +1,18 @@
-"""Evaluation passages inside a large corpus, by latent semantic retrieval.
+"""Evaluation passages inside a large corpus, by shared runs of words.
 
 1. Words of the test items get numbers; every document is read once and becomes
-   the list of its word numbers (0: a word of no item), stored.
-2. Document frequencies are counted over all documents.
-3. The TF-IDF passages of the items (each item and its overlapping parts) go
-   through a distributed randomised SVD: every partition adds its share of
-   ``A'(A W)``, so no task holds all passages.
-4. Every window of every document is projected to the latent space and compared
-   with all items by cosine, as one block product a batch.
-5. Candidates are checked by an alignment of words (longest common subsequence
-   with its gaps), and for the item's answer.
-
-A window whose known words weigh too little for the cosine to reach the
-threshold is skipped; that is a bound, not a heuristic, up to the rank of the
-space.
+   the list of its word numbers (0: a word of no item).
+2. A stretch with e edits falls into at most e + 1 unbroken runs, so every
+   document that repeats a passage of an item shares a run of ``shared_run``
+   words with it; these runs are looked up.
+3. Of the places found, those stay around which enough words, and runs of two and
+   of three words, are the item's (``shared_grams``).
+4. They are checked by an alignment of words (edit distance), and for the item's
+   answer.
+
+Steps 2 and 3 are bounds that follow from the definition of a passage, for any
+length and number of items: they lose nothing that step 4 accepts.
+``latent_space`` decomposes passages; the search does not need it.
 """
 
 from __future__ import annotations
@@ -26,17 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm.plaintext import plain_words
-from recollex.runtime import stored
 
-WINDOW, STRIDE = 28, 7
 #: Words of a passage for the decomposition.
 PART = 24
 RANK, OVERSAMPLE, POWER = 224, 24, 1
-COSINE = 0.35
+#: A passage has this share of an item's words and one edit in so many words.
+SHARE, PER_EDIT = 0.6, 6
 #: Items of one pass over the corpus; more are taken in blocks.
 BLOCK_ITEMS = 5000
 #: Rows of a matrix that are summed in one group.
 _ROWS = 256
+#: Lengths of the runs that are counted around a place, the cheapest first.
+GRAMS = (1, 2, 3)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Places, and words around them, that are looked at together.
+_PLACES, _WORDS = 200_000, 4_000_000
 
 
 def _number_words(key: str, text: str, vocabulary: dict[str, int]):
@@ -56,21 +59,6 @@ def _number_words(key: str, text: str, vocabulary: dict[str, int]):
     return run
 
 
-def _frequencies(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            ids = batch.column("ids")
-            offsets = ids.offsets.to_numpy()
-            values = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
-            record = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
-            total += np.bincount(np.unique(record * size + values) % size, minlength=size)
-        known = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total[known])], names=["word", "n"])
-
-    return run
-
-
 def _passages(ids: np.ndarray) -> list[np.ndarray]:
     parts = [ids[i : i + PART] for i in range(0, max(1, len(ids) - PART // 2), PART // 2)]
     return [ids, *parts] if len(ids) > PART else [ids]
@@ -134,7 +122,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
     return (basis @ turn[:, strong]).astype(np.float32)
 
 
-def holds_stretch(item: np.ndarray, doc: np.ndarray, share: float = 0.6, per_edit: int = 6) -> bool:
+def holds_stretch(item: np.ndarray, doc: np.ndarray, share: float = SHARE, per_edit: int = PER_EDIT) -> bool:
     """Whether ``doc`` repeats an unbroken stretch of at least ``share`` of the item's words with at most one edit in ``per_edit`` words.
 
     Edit distances of all starts in the item to every end in the document are
@@ -166,53 +154,87 @@ def holds_stretch(item: np.ndarray, doc: np.ndarray, share: float = 0.6, per_edi
     return False
 
 
-def _search(key: str, item_ids: list[np.ndarray], item_keys: np.ndarray, answers: list[np.ndarray], idf: np.ndarray, space: np.ndarray, cosine: float):
-    weight2 = (idf**2).astype(np.float64)
-    weight2[0] = idf.max() ** 2
-    in_items = np.zeros(len(idf), bool)
-    for ids in item_ids:
-        in_items[ids] = True
-    in_items[0] = False
-    known2 = np.where(in_items, weight2, 0.0)
-    vectors = np.zeros((len(item_ids), space.shape[1]), np.float32)
-    norms = np.zeros(len(item_ids))
-    for i, ids in enumerate(item_ids):
-        words, w = _vector(ids, idf)
-        norms[i] = np.linalg.norm(w)
-        vectors[i] = (w.astype(np.float32) @ space[words]) / max(norms[i], 1e-12)
-    lengths = np.array([len(x) for x in item_ids])
-    scaled = space * idf[:, None].astype(np.float32)
-    lightest = norms[norms > 0].min(initial=np.inf)
-    longest = int(lengths.max(initial=0))
-
-    def windows(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, record) of the windows that may reach the threshold."""
-        n = np.diff(offsets)
-        many = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
-        record = np.repeat(np.arange(len(n)), many)
-        start = offsets[:-1][record] + STRIDE * (np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many))
-        end = np.minimum(start + WINDOW, offsets[1:][record])
-        all_sum, known_sum = (np.r_[0.0, np.cumsum(w[values])] for w in (weight2, known2))
-        mass, known = all_sum[end] - all_sum[start], known_sum[end] - known_sum[start]
-        # x.q <= max count in q * known mass; cos >= c needs x.q >= c |x| |q|.
-        keep = known >= cosine * np.sqrt(mass) * lightest / 2
-        return start[keep], end[keep], record[keep]
-
-    def candidates(values: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int, int]]:
-        start, end, record = windows(values, offsets)
-        found: set[tuple[int, int, int]] = set()
-        at = np.arange(WINDOW)
-        for a in range(0, len(start), 1024):
-            s, e = start[a : a + 1024], end[a : a + 1024]
-            place = s[:, None] + at
-            inside = place < e[:, None]
-            ids = np.where(inside, values[np.minimum(place, len(values) - 1)], 0)
-            norm = np.sqrt(np.where(inside, weight2[ids], 0.0).sum(axis=1))
-            ids[~in_items[ids]] = 0
-            latent = scaled[ids].sum(axis=1)
-            close = (latent @ vectors.T) >= cosine * norm[:, None]
-            w, i = np.nonzero(close)
-            found |= set(zip(record[a : a + 1024][w].tolist(), i.tolist(), s[w].tolist(), strict=True))
+def shared_run(n: int, share: float = SHARE, per_edit: int = PER_EDIT) -> int:
+    """Words in a row that an item of ``n`` words shares with every text that ``holds_stretch``.
+
+    Of a stretch of x words with e edits at least x - e words stay, in at most
+    e + 1 runs; the least of the longest run over all x is the answer.
+    """
+    x = np.arange(max(1, int(np.ceil(share * n - 1e-9))), n + 1)
+    return int((-(-(x - x // per_edit) // (x // per_edit + 1))).min())
+
+
+def shared_grams(n: int, g: int, share: float = SHARE, per_edit: int = PER_EDIT) -> int:
+    """How many runs of ``g`` words of an item of ``n`` words are at least in a passage of it: an edit breaks ``g`` runs at most."""
+    x = np.arange(max(1, int(np.ceil(share * n - 1e-9))), n + 1)
+    return max(0, int((x - g + 1 - g * (x // per_edit)).min()))
+
+
+def _run_keys(values: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of ``length`` values; equal runs have equal numbers."""
+    keys = np.zeros(max(0, len(values) - length + 1), np.uint64)
+    for k in range(length):
+        keys = keys * _MIX + values[k : k + len(keys)].astype(np.uint64)
+    return keys
+
+
+def _search(key: str, item_ids: list[np.ndarray], item_keys: np.ndarray, answers: list[np.ndarray], size: int):
+    lengths = np.array([len(x) for x in item_ids], np.int64)
+    slack = lengths // PER_EDIT
+    mixed = np.arange(len(item_ids), dtype=np.uint64) * _MIX
+    filters = []
+    for g in GRAMS:
+        member = np.unique(np.concatenate([_run_keys(ids, g) + mixed[i] for i, ids in enumerate(item_ids)]))
+        filters.append((g, member, np.array([shared_grams(int(n), g) for n in lengths])))
+    by_run: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        by_run.setdefault(shared_run(int(n)), []).append(i)
+    tables = []
+    for q, chosen in by_run.items():
+        runs = np.concatenate([_run_keys(item_ids[i], q) for i in chosen])
+        many = lengths[chosen] - q + 1
+        place = np.arange(len(runs)) - np.repeat(np.cumsum(many) - many, many)
+        order = np.argsort(runs, kind="stable")
+        keys, first, count = np.unique(runs[order], return_index=True, return_counts=True)
+        tables.append((q, keys, first, count, np.repeat(chosen, many)[order], place[order]))
+
+    def places(values: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """(record, item, where the item's first word would stand) of the shared runs."""
+        record = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for q, keys, first, count, item, place in tables:
+            runs = _run_keys(values, q)
+            at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+            hit = np.flatnonzero((keys[at] == runs) & (record[: len(runs)] == record[len(values) - len(runs) :]))
+            steps = np.cumsum(count[at[hit]]) // _PLACES
+            for part in np.split(hit, np.flatnonzero(np.diff(steps)) + 1):
+                many = count[at[part]]
+                entry = np.repeat(first[at[part]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                start = np.repeat(part, many)
+                yield np.unique(np.stack([record[start], item[entry], start - place[entry]], axis=1), axis=0)
+
+    def candidates(values: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """(record, item) to the parts of the record with enough words of the item."""
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        grams = {g: _run_keys(values, g) for g in GRAMS}
+        for told in places(values, offsets):
+            r, i, start = told.T
+            a = np.maximum(offsets[r], start - slack[i])
+            b = np.minimum(offsets[r + 1], start + lengths[i] + slack[i])
+            for g, member, least in filters:
+                enough = [np.zeros(0, np.int64)]
+                steps = np.cumsum(b - a) // _WORDS
+                for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(steps)) + 1):
+                    many = np.maximum(0, (b - a)[part] - g + 1)
+                    ends = np.cumsum(many)
+                    wanted = grams[g][np.repeat(a[part], many) + np.arange(many.sum()) - np.repeat(ends - many, many)] + np.repeat(mixed[i[part]], many)
+                    # An item too short for any run of g words has nothing to be found and least 0.
+                    inside = member[np.minimum(np.searchsorted(member, wanted), len(member) - 1)] == wanted if len(member) else np.zeros(len(wanted), bool)
+                    sums = np.r_[0, np.cumsum(inside)]
+                    enough.append(part[sums[ends] - sums[ends - many] >= least[i[part]]])
+                kept = np.concatenate(enough)
+                r, i, a, b = r[kept], i[kept], a[kept], b[kept]
+            for x in range(len(r)):
+                found.setdefault((int(r[x]), int(i[x])), []).append((int(a[x]), int(b[x])))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,30 +244,25 @@ def _search(key: str, item_ids: list[np.ndarray], item_keys: np.ndarray, answers
             values = column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
             offsets = offsets - offsets[0]
             rows, items, told = [], [], []
-            hits: dict[tuple[int, int], list[int]] = {}
-            for r, i, s in candidates(values, offsets):
-                hits.setdefault((r, i), []).append(s)
-            for (r, i), places in sorted(hits.items()):
+            for (r, i), parts in sorted(candidates(values, offsets).items()):
                 item = item_ids[i]
-                low, high = offsets[r], offsets[r + 1]
                 spans: list[list[int]] = []
-                for s in sorted(places):
-                    a, b = max(low, s - longest), min(high, s + WINDOW + longest)
+                for a, b in sorted(parts):
                     if spans and a <= spans[-1][1]:
-                        spans[-1][1] = b
+                        spans[-1][1] = max(spans[-1][1], b)
                     else:
                         spans.append([a, b])
                 if any(holds_stretch(item, values[a:b]) for a, b in spans):
                     rows.append(r)
                     items.append(item_keys[i])
                     said = answers[i]
-                    told.append(None if not len(said) else bool(np.isin(said, values[low:high]).all()))
+                    told.append(None if not len(said) else bool(np.isin(said, values[offsets[r] : offsets[r + 1]]).all()))
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(told, pa.bool_())], names=[key, "item_id", "answer_seen"])
 
     return run
 
 
-def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, answer: str, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
+def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, answer: str) -> DataFrame:
     """``(key, item_id, answer_seen)``: every document that repeats a passage of a test item.
 
     A passage counts if the document has an unbroken stretch of at least 0.6 of
@@ -264,29 +281,20 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     out = None
     for b in range(blocks):
         rows = kept.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).collect()
-        part = _leaks_of_block(documents, key, text, [(r["item_id"], r["t"], r["a"]) for r in rows], cosine, rank)
+        part = _leaks_of_block(documents, key, text, [(r["item_id"], r["t"], r["a"]) for r in rows])
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _leaks_of_block(documents: DataFrame, key: str, text: str, rows: list[tuple[int, str, str | None]], cosine: float, rank: int) -> DataFrame:
+def _leaks_of_block(documents: DataFrame, key: str, text: str, rows: list[tuple[int, str, str | None]]) -> DataFrame:
     spark, kind = documents.sparkSession, dict(documents.dtypes)[key]
     rows = [(i, plain_words(t), plain_words(a or "")) for i, t, a in rows]
     rows = sorted((i, words, said) for i, words, said in rows if words)
     if not rows:
         return spark.createDataFrame([], f"{key} {kind}, item_id long, answer_seen boolean")
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, said in rows for w in (*words, *said)}), 1)}
-    numbered = stored(documents.select(key, text).mapInArrow(_number_words(key, text, vocabulary), f"{key} {kind}, ids array<int>"), "numbered-words")
-    size = len(vocabulary) + 1
-    counted = numbered.select("ids").mapInArrow(_frequencies(size), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    frequency = np.zeros(size)
-    frequency[counted["word"].to_numpy(np.int64)] = counted["n"].to_numpy()
-    documents_total = documents.where(F.col(text).isNotNull()).count()
-    idf = np.log((documents_total + 2) / (frequency + 1))
-    idf[0] = np.log(documents_total + 2)
     item_ids = [np.array([vocabulary[w] for w in words], np.int64) for _, words, _ in rows]
-    passages = spark.createDataFrame([(x.tolist(),) for x in item_ids], "ids array<int>").repartition(min(len(rows), 8))
-    space = latent_space(passages, idf, rank)
     answers = [np.array([vocabulary[w] for w in said], np.int64) for _, _, said in rows]
-    run = _search(key, item_ids, np.array([i for i, _, _ in rows], np.int64), answers, idf, space, cosine)
-    return numbered.mapInArrow(run, f"{key} {kind}, item_id long, answer_seen boolean")
+    number = _number_words(key, text, vocabulary)
+    search = _search(key, item_ids, np.array([i for i, _, _ in rows], np.int64), answers, len(vocabulary) + 1)
+    return documents.select(key, text).mapInArrow(lambda batches: search(number(batches)), f"{key} {kind}, item_id long, answer_seen boolean")

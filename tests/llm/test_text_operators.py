@@ -174,6 +174,39 @@ def test_leaks_are_found_and_nothing_else(spark):
     assert leaks.leaked_items(df, "doc_id", "text", it.limit(0), "item_id", "text", "answer").count() == 0
 
 
+def test_every_smallest_stretch_is_found(spark):
+    rng = random.Random(5)
+    items, docs, expected = [], [], set()
+    for i, n in enumerate([6, 9, 12, 20, 40, 41, 60, 150, 400]):
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        items.append((i, " ".join(words), None))
+        least = -(-6 * n // 10)
+        for turn in range(6):
+            start = rng.randrange(n - least + 1)
+            stretch = words[start : start + least]
+            for x in range(least // 6):  # evenly, so that every run between two edits is as short as can be
+                at = (x + 1) * (least + 1) // (least // 6 + 1) - 1
+                stretch[at] = "" if turn % 3 == 1 else f"other{x}" if turn % 3 == 0 else f"{stretch[at]} other{x}"
+            docs.append((len(docs), " ".join([*(f"far{x}" for x in range(200)), *stretch, *(f"off{x}" for x in range(200))])))
+            expected.add((docs[-1][0], i))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string, answer string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(df, "doc_id", "text", it, "item_id", "text", "answer").collect()} == expected
+
+
+def test_shared_runs_are_in_every_stretch():
+    assert [leaks.shared_run(n) for n in (1, 2, 5, 10, 40, 41, 60, 1000)] == [1, 2, 3, 3, 4, 5, 5, 5]
+    rng = np.random.default_rng(2)
+    for _ in range(1500):
+        item = rng.integers(1, 6, rng.integers(1, 14))
+        doc = rng.integers(0, 6, rng.integers(1, 16))
+        if leaks.holds_stretch(item, doc):
+            q = leaks.shared_run(len(item))
+            assert set(leaks._run_keys(item, q).tolist()) & set(leaks._run_keys(doc, q).tolist())
+            for g in leaks.GRAMS:
+                assert np.isin(leaks._run_keys(doc, g), leaks._run_keys(item, g)).sum() >= leaks.shared_grams(len(item), g)
+
+
 def test_latent_space_holds_the_passages(spark):
     rng = np.random.default_rng(1)
     passages = [rng.integers(1, 200, 40) for _ in range(15)]
