@@ -21,16 +21,15 @@ def fading(memories: DataFrame, as_of: Column, kept_kinds: tuple[str, ...] = ("d
 def clusters(rows: DataFrame, key: str, vector: str, group: str, at: str, least: float = 0.88, members: int = 8, min_members: int = 3, neighbours: int = 20) -> DataFrame:
     """``(group, cluster_id, key)``: greedy clusters, oldest pivots first, of at most ``members``.
 
-    Spark finds the pairs over the threshold and keeps the closest
-    ``neighbours`` of each row; only these few go to the greedy pass of a group.
+    Spark finds the pairs over the threshold inside the groups and keeps the
+    closest ``neighbours`` of each row; only these few go to the greedy pass of a group.
     """
-    pairs = similarity_pairs(rows, key, vector, least)
+    pairs = similarity_pairs(rows, key, vector, least, group=group)
     both = pairs.select(F.col("a").alias("_p"), F.col("b").alias("_n"), "cosine").unionByName(pairs.select(F.col("b").alias("_p"), F.col("a").alias("_n"), "cosine"))
     order = Window.partitionBy("_p").orderBy(F.col("cosine").desc(), "_n")
     near = both.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= neighbours)
     info = rows.select(F.col(key).alias("_p"), F.col(group).alias("_g"), F.col(at).alias("_t"))
-    near = near.join(info, "_p").join(info.select(F.col("_p").alias("_n"), F.col("_g").alias("_g2")), "_n").where(F.col("_g").eqNullSafe(F.col("_g2")))
-    adjacent = near.groupBy("_g", "_t", "_p").agg(F.sort_array(F.collect_list(F.struct("_r", "_n"))).alias("_near"))
+    adjacent = near.join(info, "_p").groupBy("_g", "_t", "_p").agg(F.sort_array(F.collect_list(F.struct("_r", "_n"))).alias("_near"))
 
     def greedy(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values(["_t", "_p"])

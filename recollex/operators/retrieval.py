@@ -70,18 +70,20 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, F.col("_row").alias(row), "cosine", "rank")
 
 
-def similarity_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = 1024) -> DataFrame:
+def similarity_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = 1024, group: str | None = None) -> DataFrame:
     """``(a, b, cosine)``, a < b: every pair of vectors with a cosine above ``least``; rows go against all rows in blocks.
 
-    Every block of vectors meets every other in a task of its own, as a matrix product.
+    Every block of vectors meets every other in a task of its own, as a matrix
+    product.  With ``group``, only rows of one group meet; null is a group too.
     """
-    n = max(1, -(-rows.count() // block))
     kind = rows.schema[key].dataType.simpleString()
-    dealt = rows.where(F.size(vector) > 0).select(F.col(key).alias("_k"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_b"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("_k", "_v", "_b", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
+    full = rows.where(F.size(vector) > 0).select(F.col(key).alias("_k"), F.col(vector).alias("_v"), (F.lit(0) if group is None else F.col(group)).alias("_g"))
+    blocks = full.groupBy(F.col("_g").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    dealt = full.join(blocks, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("_g", "_k", "_v", "_b", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
 
     def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x, y = keys[0].as_py(), keys[1].as_py()
+        x, y = keys[1].as_py(), keys[2].as_py()
         b = table.column("_b").to_numpy()
         v = np.array(table.column("_v").to_pylist(), np.float64)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -94,7 +96,7 @@ def similarity_pairs(rows: DataFrame, key: str, vector: str, least: float, block
         a, b2, c = zip(*keep, strict=True) if keep else ((), (), ())
         return pa.table({"a": pa.array(a, names.type), "b": pa.array(b2, names.type), "cosine": pa.array(c, pa.float64())})
 
-    return dealt.groupBy("_x", "_y").applyInArrow(run, f"a {kind}, b {kind}, cosine double")
+    return dealt.groupBy("_g", "_x", "_y").applyInArrow(run, f"a {kind}, b {kind}, cosine double")
 
 
 def inverted_index(rows: DataFrame, row: str, text: str) -> DataFrame:

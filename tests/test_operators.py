@@ -104,6 +104,16 @@ def test_clusters_and_merge(spark):
     assert r.content == "Consolidated from 3 memories:\n- a\n- B" and r.subject == "s2" and r.kind == "fact" and r.confidence == 0.9 and r.tags == ["consolidated", "x", "y"]
 
 
+def test_clusters_are_not_crowded_out_by_other_groups(spark):
+    far = [(100 + i, [1.0, 0.0001 * i], "other", i) for i in range(60)]
+    rows = spark.createDataFrame([(i, [1.0, 0.1 * i], g, i) for g, ids in (("g", (0, 1, 2)), (None, (3, 4, 5))) for i in ids] + far, "id int, v array<double>, g string, t int")
+    got = values(maintenance.clusters(rows, "id", "v", "g", "t", least=0.8).where("g IS NULL OR g = 'g'"))
+    assert got == sorted([("g", 0, i) for i in range(3)] + [(None, 3, i) for i in (3, 4, 5)], key=repr)
+    pairs = values(retrieval.similarity_pairs(rows, "id", "v", 0.9, block=7, group="g").select("a", "b"))
+    everywhere = {(a, b) for a, b in values(retrieval.similarity_pairs(rows, "id", "v", 0.9).select("a", "b"))}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a, b in everywhere if (a >= 100) == (b >= 100) and (b >= 100 or (a < 3) == (b < 3))}
+
+
 def test_metrics(spark):
     run = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "q string, r string, rank int")
     rel = spark.createDataFrame([("q", "b", 1.0), ("q", "z", 1.0), ("n", "z", 1.0)], "q string, r string, gain double")
