@@ -99,6 +99,35 @@ def similarity_pairs(rows: DataFrame, key: str, vector: str, least: float, block
     return dealt.groupBy("_g", "_x", "_y").applyInArrow(run, f"a {kind}, b {kind}, cosine double")
 
 
+def maxsim_scores(queries: DataFrame, rows: DataFrame, pair: str, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """``(pair, score)``: late interaction of the query vectors of each pair with all row vectors of the pair.
+
+    For each query vector the best product with any row vector, summed.  Blocks
+    of both sides meet as matrix products, whose maxima are partial; ``key`` is
+    unique among a pair's queries.  A pair without vectors on a side gives nothing.
+    """
+    full = [df.where(F.size(vector) > 0).select(F.col(pair).alias("_g"), F.col(key).alias("_k"), F.col(vector).alias("_v")) for df in (queries, rows)]
+    blocks = [df.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)) for df, n in zip(full, ("_nx", "_ny"), strict=True)]
+    sizes = blocks[0].join(blocks[1], "_g")
+
+    def dealt(df: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+        placed = df.join(sizes, "_g").withColumn(f"_{own}", F.pmod(F.xxhash64("_k"), F.col(f"_n{own}")).cast("int"))
+        return placed.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))).select("_g", "_k", "_v", "_x", "_y", F.lit(asks).alias("_q"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("_q").to_pylist(), bool)
+        v = np.array(table.column("_v").to_pylist(), np.float64)
+        asked = table.filter(pa.array(asks))
+        best = (v[asks] @ v[~asks].T).max(axis=1) if asks.any() and not asks.all() else None
+        asked = asked if best is not None else asked.slice(0, 0)
+        return pa.table({"_g": asked.column("_g"), "_k": asked.column("_k"), "_m": pa.array(best if best is not None else [], pa.float64())})
+
+    kinds = dict(full[0].dtypes)
+    met = dealt(full[0], "x", "y", True).unionByName(dealt(full[1], "y", "x", False))
+    best = met.groupBy("_g", "_x", "_y").applyInArrow(run, f"_g {kinds['_g']}, _k {kinds['_k']}, _m double")
+    return best.groupBy("_g", "_k").agg(F.max("_m").alias("_m")).groupBy(F.col("_g").alias(pair)).agg(F.sum("_m").alias("score"))
+
+
 def inverted_index(rows: DataFrame, row: str, text: str) -> DataFrame:
     """``(token, row, tf, length)``; kept as a table it makes lexical search an equi-join."""
     tokens = rows.select(row, F.size(rank_tokens(F.col(text))).alias("length"), F.explode(rank_tokens(F.col(text))).alias("token"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recollex.functions import features, scores, text
+from recollex.functions import features, text
 from recollex.operators import context, dedup, fulltext, fusion, graph, refine, remember, retrieval, store
 from recollex.plans.core_queries import _COS, _EDGES, _as_of, _edges, _fused, _questions, _t
 
@@ -70,11 +70,10 @@ def o58_embedded_memories(spark, sf_dir):
 
 @query()
 def o59_maxsim(spark, sf_dir):
-    """Late interaction of each label's first vectors with those of the next label."""
-    e = _t(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
-    sides = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))["embedding"].alias("v"))
-    a = sides.select(F.col("label").alias("a"), (F.col("label") + 1).alias("b"), F.slice("v", 1, 4).alias("va"))
-    return a.join(sides.select(F.col("label").alias("b"), F.slice("v", 1, 8).alias("vb")), "b").select("a", "b", F.round(scores.maxsim(F.col("va"), F.col("vb")), 6).alias("score"))
+    """Late interaction of all vectors of each label with all those of the next label."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("a"), "vec_id", "embedding")
+    scored = retrieval.maxsim_scores(e, e.withColumn("a", F.col("a") - 1), "a", "vec_id", "embedding")
+    return scored.select("a", (F.col("a") + 1).alias("b"), F.round("score", 6).alias("score"))
 
 
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> ''))"

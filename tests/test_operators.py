@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
 from recollex.operators import dedup, evaluation, fusion, graph, maintenance, retrieval, store
+from recollex.plans import more_queries
 from recollex.sources import text_files
 from recollex.streaming import activity
 
@@ -114,6 +116,22 @@ def test_clusters_are_not_crowded_out_by_other_groups(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a, b in everywhere if (a >= 100) == (b >= 100) and (b >= 100 or (a < 3) == (b < 3))}
 
 
+def test_maxsim_meets_every_vector(spark):
+    rng = random.Random(3)
+    rows = [(label, i, [rng.uniform(-1, 1) for _ in range(5)]) for label in range(3) for i in range(label * 100, label * 100 + 40)]
+    df = spark.createDataFrame([*rows, (0, 999, None)], "g int, k int, v array<double>")
+    got = retrieval.maxsim_scores(df, df.withColumn("g", F.col("g") - 1), "g", "k", "v", block=7).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    assert {r.g: round(r.score, 9) for r in got} == {g: round(sum(max(dot(v, w) for h, _, w in rows if h == g + 1) for f, _, v in rows if f == g), 9) for g in (0, 1)}
+
+
+def test_maxsim_query_scores_whole_labels(spark, tmp_path):
+    rows = [(20 * i, label, [1.0 if i == 30 else 0.1, 0.5]) for i in range(31) for label in (0, 1)]
+    spark.createDataFrame([(2 * k + g, g, v) for k, g, v in rows], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    (row,) = more_queries.o59_maxsim(spark, str(tmp_path)).collect()
+    assert row.score == pytest.approx(30 * (0.1 + 0.25) + 1.25)
+
+
 def test_metrics(spark):
     run = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "q string, r string, rank int")
     rel = spark.createDataFrame([("q", "b", 1.0), ("q", "z", 1.0), ("n", "z", 1.0)], "q string, r string, gain double")
