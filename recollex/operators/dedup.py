@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollex.functions.features import distinctive_words
 from recollex.functions.scores import hamming, token_bits
 
 
@@ -47,3 +48,22 @@ def nouns_diverge(a: Column, b: Column, least: float = 0.3) -> Column:
     """Whether two sets of distinctive words share less than ``least``; an empty side never diverges."""
     shared = F.size(F.array_intersect(a, b))
     return (F.size(a) > 0) & (F.size(b) > 0) & (shared / (F.size(a) + F.size(b) - shared) < least)
+
+
+def fingerprint_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, class, simhash, words)`` of every text that is not null: texts of one fingerprint and the same distinctive words are a class, named by its least key."""
+    kept = df.where(F.col(text).isNotNull()).select(key, text)
+    marked = with_simhash(kept, key, text).join(kept, key).select(key, "simhash", F.array_sort(distinctive_words(F.col(text))).alias("words"))
+    classes = marked.groupBy("simhash", "words").agg(F.min(key).alias("class"))
+    return marked.join(classes, ["simhash", "words"]).select(key, "class", "simhash", "words")
+
+
+def divergent_pairs(classes: DataFrame, most: int = 3) -> DataFrame:
+    """``(class_a, class_b, bits_a, bits_b, distance, diverge)``, class_a < class_b: every two classes within ``most`` bits, those of one fingerprint too, and whether their words differ all the same."""
+    one = classes.select("class", "simhash", "words").distinct()
+    near = hamming_pairs(one, "class", "simhash", most)
+    same = one.select(F.col("simhash").alias("bits_a"), F.col("simhash").alias("bits_b"), F.lit(0).alias("distance")).distinct()
+    bits = near.unionByName(near.select(F.col("bits_b").alias("bits_a"), F.col("bits_a").alias("bits_b"), "distance")).unionByName(same)
+    a, b = (one.withColumnsRenamed({"class": f"class_{x}", "simhash": f"bits_{x}", "words": f"_w{x}"}) for x in "ab")
+    met = bits.join(a, "bits_a").join(b, "bits_b").where(F.col("class_a") < F.col("class_b"))
+    return met.select("class_a", "class_b", "bits_a", "bits_b", "distance", nouns_diverge(F.col("_wa"), F.col("_wb")).alias("diverge"))

@@ -109,12 +109,14 @@ def o75_proper_nouns(spark, sf_dir):
 
 @query()
 def o170_divergent_duplicates(spark, sf_dir):
-    """Pairs of near fingerprints whose distinctive words differ all the same."""
-    m = _t(spark, sf_dir, "memories").where("simhash IS NOT NULL AND content IS NOT NULL").groupBy("simhash").agg(F.min("content").alias("content"))
-    words = m.select("simhash", features.distinctive_words(F.col("content")).alias("w"))
-    pairs = dedup.hamming_pairs(m, "simhash", "simhash", 3)
-    pairs = pairs.join(words.withColumnsRenamed({"simhash": "bits_a", "w": "wa"}), "bits_a").join(words.withColumnsRenamed({"simhash": "bits_b", "w": "wb"}), "bits_b")
-    return pairs.select("bits_a", "bits_b", "distance", dedup.nouns_diverge(F.col("wa"), F.col("wb")).alias("diverge"))
+    """Pairs of classes of memories whose fingerprints are near or equal, and whether their distinctive words differ all the same."""
+    return dedup.divergent_pairs(dedup.fingerprint_classes(_t(spark, sf_dir, "memories"), "id", "content"))
+
+
+@query()
+def o170_duplicate_classes(spark, sf_dir):
+    """The class of every memory in ``o170_divergent_duplicates``."""
+    return dedup.fingerprint_classes(_t(spark, sf_dir, "memories"), "id", "content").select("id", "class", "simhash")
 
 
 def _pool(spark, sf_dir) -> DataFrame:

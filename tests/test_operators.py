@@ -132,6 +132,18 @@ def test_maxsim_query_scores_whole_labels(spark, tmp_path):
     assert row.score == pytest.approx(30 * (0.1 + 0.25) + 1.25)
 
 
+def test_every_text_of_a_fingerprint_is_judged(spark, tmp_path):
+    # A token that is the majority makes the fingerprint alone.
+    base = "alpha " * 9
+    texts = [base + "zebra yakk", base + "yakk zebra", base + "lion tiger", base, None, "something else that no other text here repeats at all"]
+    rows = [(i, t, 7 if i % 2 else None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "id long, content string, simhash long").write.parquet(str(tmp_path / "memories.parquet"))
+    classes = {r.id: r["class"] for r in more_queries.o170_duplicate_classes(spark, str(tmp_path)).collect()}
+    assert classes == {0: 0, 1: 0, 2: 2, 3: 3, 5: 5}
+    got = {(r.class_a, r.class_b): (r.distance, r.diverge) for r in more_queries.o170_divergent_duplicates(spark, str(tmp_path)).collect()}
+    assert got == {(0, 2): (0, True), (0, 3): (0, False), (2, 3): (0, False)}
+
+
 def test_metrics(spark):
     run = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "q string, r string, rank int")
     rel = spark.createDataFrame([("q", "b", 1.0), ("q", "z", 1.0), ("n", "z", 1.0)], "q string, r string, gain double")
