@@ -3,21 +3,51 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".cache")
-SUFFIXES = ("py", "js", "ts", "go", "rs", "java", "c", "cpp", "h", "sh", "sql", "md", "txt", "rst", "json", "yaml", "yml", "toml", "ini", "cfg", "html", "css")
+SKIPPED = frozenset((".git", "node_modules", "__pycache__", ".venv", "venv", "env", "build", "dist", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "coverage", "htmlcov", ".eggs", ".cache", ".idea", ".vscode", ".DS_Store"))
+SUFFIXES = frozenset(
+    (".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".rs", ".rb", ".java", ".c", ".cpp", ".h", ".hpp", ".swift", ".sh", ".bash", ".zsh",
+     ".md", ".txt", ".rst", ".adoc", ".yaml", ".yml", ".json", ".toml", ".cfg", ".ini", ".xml", ".env", ".csv", ".sql", ".html", ".css")
+)
 
 
 def project_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, content)`` of the text files below ``folder``, without build folders and blank files."""
-    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    skipped = "/(?:" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
-    return files.where(F.lower("path").rlike(r"\.(?:" + "|".join(SUFFIXES) + ")$") & ~F.col("path").rlike(skipped) & F.col("content").rlike(r"\S"))
+    """``(path, content)`` of the text files below ``folder``, without build folders and blank files.
+
+    One task walks the folder, all read; both go through Python, as Spark's own
+    readers pass over names that begin with _ or a dot.  So ``folder`` must be
+    one that the executors see as a local folder, a path or a file URI.
+    """
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for root in part["folder"]:
+                for at, inner, names in os.walk(root):
+                    inner[:] = [d for d in inner if d not in SKIPPED]
+                    yield pd.DataFrame({"path": [os.path.join(at, n) for n in names if os.path.splitext(n)[1].lower() in SUFFIXES]}, dtype=object)
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name in part["path"]:
+                try:
+                    content = Path(name).read_bytes().decode("utf-8", "replace")
+                except OSError:  # gone or not readable
+                    continue
+                if content.strip():
+                    yield pd.DataFrame({"path": [Path(name).as_uri()], "content": [content]})
+
+    local = url2pathname(urlsplit(folder).path) if folder.startswith("file:") else os.path.abspath(folder)
+    names = spark.createDataFrame([(local,)], "folder string").mapInPandas(walk, "path string")
+    return names.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(read, "path string, content string")
 
 
 def paragraph_chunks(df: DataFrame, key: str, text: str, limit: int = 800, overlap: int = 100, least: int = 50) -> DataFrame:

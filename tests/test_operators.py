@@ -178,6 +178,18 @@ def test_project_files(spark, tmp_path):
     assert [r.content for r in text_files.project_files(spark, str(tmp_path)).collect()] == ["x = 1"]
 
 
+def test_project_files_of_every_kind(spark, tmp_path):
+    suffixes = "py js ts jsx tsx go rs rb java c cpp h hpp swift sh bash zsh md txt rst adoc yaml yml json toml cfg ini xml env csv sql html css".split()
+    skipped = ".git node_modules __pycache__ .venv venv env build dist .tox .mypy_cache .pytest_cache .ruff_cache coverage htmlcov .eggs .cache .idea .vscode .DS_Store".split()
+    kept = [*(f"a.{x}" for x in suffixes), "B.PY", "pkg/__init__.py", "_priv/b.py", ".github/c.yml", "target/d.rs", ".hidden.md", "bu ild/e.py"]
+    for name in [*kept, *(f"{x}/f.py" for x in skipped), f"pkg/{skipped[0]}/f.py", ".env", "g.bin"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"caf\xe9 " + name.encode())
+    rows = text_files.project_files(spark, str(tmp_path)).collect()
+    assert {r.path: r.content for r in rows} == {(tmp_path / x).as_uri(): f"caf\ufffd {x}" for x in kept}
+    assert text_files.project_files(spark, str(tmp_path / "missing")).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.range(500).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 7).alias("ts"), (F.col("id") % 5).alias("user_id"), F.when(F.col("id") % 3 > 0, "view").alias("event_type"), F.lit(1.5).alias("value"))
     events.repartition(3).write.parquet(str(tmp_path / "in"))
