@@ -278,7 +278,7 @@ def _fused(spark, sf_dir) -> DataFrame:
 
 @query()
 def o102_recall(spark, sf_dir):
-    """The whole pipeline for every question: fusion, decay, word agreement, recency, near ties, diversity; ten a question."""
+    """Part of the recall pipeline for every question: fusion of BM25 and trigrams, decay, word agreement, recency, exchanges, diversity; ten a question.  README lists what is left out."""
     m = _live(_t(spark, sf_dir, "memories")).select("id", "content", "session_id", "last_accessed", "storage_strength", "created_at", "tags")
     ordinals = o128_session_ordinals(spark, sf_dir).groupBy("session_id").agg(F.max("session_ordinal").alias("ordinal"))
     pool = _fused(spark, sf_dir).join(_questions(spark, sf_dir), "question_id").join(m, "id").join(ordinals, "session_id", "left")
