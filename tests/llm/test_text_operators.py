@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -259,3 +260,27 @@ def test_levels(spark):
     assert {r.doc_id for r in found.collect()} >= set(range(0, 40, 2))
     bare = reading.reading_levels(docs, "doc_id", "text", labels.limit(0), "grade").collect()
     assert all(r.grade is None for r in bare) and reading.reading_levels(docs.limit(0), "doc_id", "text", labels, "grade").count() == 0
+
+
+def test_english_without_function_words_is_english(spark):
+    plain = ["The organizational serialization of the platform was characterized by the accommodation of computational infrastructure and it is differentiated.", "Every one of the regularization steps that we have seen approximates a representational normalization in the instrumentation."]
+    german = ["Die Darstellung der Verarbeitung ist nicht die Bereinigung und wir haben auch die Verwaltung der Berichte mit den Diensten für eine Sitzung.", "Das ist eine Auswertung und die Verteilung der Anlagen wurde auf dem Server mit dem Schreiber im Bestand."]
+    spanish = ["La organización de los datos es una parte del servicio y no hay que cambiar la memoria por el nodo.", "El informe de la sesión está en el servidor con los datos que se vimos muy tarde."]
+    french = ["Nous avons vu le rapport dans la mémoire et il est pour une partie des données du service qui ne sont pas là.", "Le nœud est une partie de la mémoire et nous avons les données sur le serveur avec un journal."]
+    rows = [(i, t) for i, t in enumerate([*plain, *german, *spanish, *french] * 5)]
+    rows += [(100, "Representational normalization differentiates organizational characterization. Computational serialization accommodates instrumentation."), (101, "Bereinigung Verarbeitung Darstellung Auswertung Verteilung"), (102, "12 34 56.")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, grade int")
+    got = {r.doc_id: r.language for r in reading.reading_levels(docs, "doc_id", "text", labels, "grade").collect()}
+    assert [got[i] for i in range(8)] == ["en", "en", "de", "de", "es", "es", "fr", "fr"]
+    assert (got[100], got[101], got[102]) == ("en", "de", None)
+
+
+def test_rarity_counts_words_and_not_places(spark):
+    """Words below the least share are equally rare however many there are; frequent ones are counted exactly."""
+    common, rare = reading.RAREST * 4, np.log(1 / reading.RAREST)
+    frequent = np.array([5, 9], np.int64)
+    table = np.r_[np.log(1 / np.array([common, common])), rare]
+    sums = {c: [1.0, 1.0] for c in reading.SUMS} | {"n_spoken": [2.0, 2.0]}
+    batch = pa.RecordBatch.from_pydict(sums | {"words": pa.array([[5, 9], [7, 10]], pa.list_(pa.int64())), "counts": pa.array([[1, 1], [1, 1]], pa.list_(pa.int32()))})
+    got = reading._features(batch, frequent, table)[:, reading.FEATURES.index("rarity")]
+    assert np.allclose(got, [np.log(1 / common), rare])
