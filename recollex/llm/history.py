@@ -2,37 +2,73 @@
 
 Fingerprints are bit vectors whose difference in bits never exceeds the
 difference of the texts in words (``alike``); block tables hold, for every text,
-one exact key for each pair of rare words in a block.  A batch looks up its own
-keys, compares the bits of what it meets, verifies the words, and is appended.
+one exact key for each pair of rare words in a block, and one for the whole set
+of words.  A batch looks up its own keys, compares the bits of what it meets,
+verifies the words, and is appended.
 (Blocks cut from a plain 64-bit fingerprint with three differing bits miss most
 texts that share 0.7 of their words; the README has the figures.)
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.llm.alike import CELL, alike_pairs, anchors, common_words, distinct_sets, word_hashes
-from recollex.runtime import drop_stored, stored
+from recollex.llm.alike import CELL, alike_pairs, anchors, common_words, components, distinct_sets, fingerprints, word_hashes
+from recollex.runtime import drop_stored, shared_dir, stored
+
+#: Folders that the block table is cut into by key, and bits of the filter that stands for a batch's keys.
+PARTS, FILTER_BITS = 16, 1 << 26
+#: Bits of the filter that travel in one row.
+_SLICE = 1 << 20
+#: Rounds in which all texts decide at once; what is then still open is decided in order, component by component.
+ROUNDS = 12
+
+_TEXTS = "rid long, words array<long>, about long, sketch long, rest long"
+_BLOCKS = "part int, key long, rid long"
+
 
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rejected ``after`` of links sorted by group and order; a text without a link to an earlier one is accepted."""
+    group, rejected, now, bad = None, set(), None, False
+    for batch in batches:
+        out = []
+        for g, after, before in zip(*(batch.column(c).to_pylist() for c in ("group", "after", "before")), strict=True):
+            if (g, after) != (group, now):
+                if bad:
+                    rejected.add(now)
+                if g != group:
+                    rejected = set()
+                group, now, bad = g, after, False
+            if not bad and before not in rejected:
+                bad = True
+                out.append(after)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["rid"])
 
-def _first_accepted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def _first_accepted(nodes: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``rid`` of the rejected nodes: going through them by ``first``, those linked to an earlier one that isn't rejected.
 
     ``nodes`` is (rid, first, known) where known nodes are rejected from the
     start; ``pairs`` is (a, b) in any direction.  Each round settles every node
     whose earlier neighbours are settled, or one of whose earlier neighbours is
-    accepted; rounds are as many as the longest chain of undecided neighbours.
+    accepted.  A long chain of edits settles a link a round only, so after
+    ``rounds`` the open rest goes in order through one pass over its sorted
+    links; a task holds no more of it than the numbers of rejected texts of one
+    component.
     """
     place = nodes.select("rid", "first")
     ends = pairs.join(place.withColumnsRenamed({"rid": "a", "first": "fa"}), "a").join(place.withColumnsRenamed({"rid": "b", "first": "fb"}), "b")
-    earlier = F.struct(F.col("fa").alias("f"), F.col("a").alias("r")) < F.struct(F.col("fb").alias("f"), F.col("b").alias("r"))
-    links = stored(ends.select(F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("after")), "ordered-links")
+    one, two = F.struct(F.col("fa").alias("f"), F.col("a").alias("r")), F.struct(F.col("fb").alias("f"), F.col("b").alias("r"))
+    links = stored(ends.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).select(F.col("x.r").alias("before"), F.col("y.r").alias("after"), F.col("y.f").alias("first")), "ordered-links")
     # state: 0 undecided, 1 accepted, 2 rejected
     state = stored(nodes.select("rid", F.when(F.col("known"), F.lit(2)).otherwise(F.lit(0)).alias("state")), "dedup-state")
-    while True:
+    for _ in range(rounds):
         seen = links.join(state.select(F.col("rid").alias("before"), F.col("state").alias("s")), "before").groupBy(F.col("after").alias("rid")).agg(
             F.max(F.col("s") == 1).alias("accepted"), F.max(F.col("s") == 0).alias("open")
         )
@@ -47,48 +83,66 @@ def _first_accepted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         state = after
         if state.where("state = 0").isEmpty():
             return state.where("state = 2").select("rid")
+    undecided, unrejected = state.where("state = 0").select(F.col("rid").alias("after")), state.where("state < 2").select(F.col("rid").alias("before"))
+    rest = links.join(undecided, "after", "left_semi").join(unrejected, "before", "left_semi")
+    rest = stored(rest.select("before", "after", "first"), "open-links")
+    groups = components(rest.select(F.col("before").alias("a"), F.col("after").alias("b")))
+    sorted_links = rest.join(groups.withColumnRenamed("rid", "after"), "after").repartition("group").sortWithinPartitions("group", "first", "after")
+    return state.where("state = 2").select("rid").unionByName(sorted_links.select("group", "after", "before").mapInArrow(_in_order, "rid long"))
 
 
-def repeated_chunks(chunks: DataFrame, key: str, text: str, history: DataFrame, history_text: str, num: int = 7, den: int = 10, cell: int = CELL) -> DataFrame:
-    """``key`` of the chunks not to be stored again, going through them by ``key``.
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        bits[batch.column("key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)] = True
+    for at in range(0, FILTER_BITS, _SLICE):
+        if bits[at : at + _SLICE].any():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(bits[at : at + _SLICE]).tobytes()])], names=["at", "bits"])
 
-    A chunk is repeated if its text is alike to one of ``history`` or to an
-    earlier chunk which is itself not repeated.  Texts without a word (null,
-    blank) are alike to nothing.  Of equal keys with equal words the second
-    counts as later.  Empty tables give no rows; other columns are ignored.
-    """
-    new = chunks.select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words"), F.lit(False).alias("old"))
-    old = history.select(F.lit(None).cast(dict(chunks.dtypes)[key]).alias("_id"), word_hashes(F.col(history_text)).alias("words"), F.lit(True).alias("old"))
-    sets = distinct_sets(new.unionByName(old), "words", F.min("_id").alias("first"), F.max("old").alias("old")).withColumn("flag", F.col("old").cast("byte"))
-    pairs = stored(alike_pairs(sets.select("rid", "flag", "words"), num, den, cell), "alike-pairs")
-    about = sets.select("rid", "old")
-    told = pairs.join(about.withColumnsRenamed({"rid": "a", "old": "old_a"}), "a").join(about.withColumnsRenamed({"rid": "b", "old": "old_b"}), "b")
-    by_history = told.where("old_a <> old_b").select(F.when(F.col("old_a"), F.col("b")).otherwise(F.col("a")).alias("rid")).distinct()
-    among = told.where("NOT old_a AND NOT old_b").select("a", "b")
-    linked = among.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    nodes = linked.join(sets.select("rid", "first"), "rid").join(by_history.withColumn("known", F.lit(True)), "rid", "left").select("rid", "first", F.coalesce("known", F.lit(False)).alias("known"))
-    rejected = _first_accepted(nodes, among).unionByName(by_history).distinct().withColumn("rejected", F.lit(True))
-    fate = sets.where(F.col("first").isNotNull()).join(rejected, "rid", "left").select("set_hash_1", "set_hash_2", "first", (F.coalesce("rejected", F.lit(False)) | F.col("old")).alias("rejected"))
-    hashed = new.where(F.size("words") > 0).select("_id", F.xxhash64("words").alias("set_hash_1"), F.xxhash64(F.lit(1), "words").alias("set_hash_2"))
-    judged = hashed.join(fate, ["set_hash_1", "set_hash_2"])
-    return judged.where(F.col("rejected") | (F.col("_id") > F.col("first"))).select(F.col("_id").alias(key))
+
+def _joined_bits(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+    return pa.table({"at": pa.array([keys[0].as_py()], pa.int64()), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()])})
+
+
+def key_filter(rows: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits with one set for every ``key``; it tells nearly all other keys apart and never loses one."""
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.select("key").mapInArrow(_set_bits, "at long, bits binary").groupBy("at").applyInArrow(_joined_bits, "at long, bits binary").toLocalIterator():
+        total[r["at"] // 8 : r["at"] // 8 + _SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return total
+
+
+def _only(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
+            yield batch.filter(pa.array((bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0))
+
+    return run
 
 
 class HistoryIndex:
     """The accepted texts of all batches so far, as tables in a shared folder.
 
-    ``check`` reads only the block rows whose keys the batch has, never the
-    texts of the whole history; ``append`` adds the rows of the accepted texts.
-    The order of words is fixed when the index is made: any order gives exact
-    results, one from similar texts gives small cells.
+    ``blocks`` (key, text number) lies in ``parts`` folders by key and ``texts``
+    holds fingerprints and words.  ``check`` opens only the folders that the
+    batch has keys in, and of the texts it meets there only the fingerprints;
+    words are read for pairs whose fingerprints fit.  ``append`` adds a batch
+    under a number of its own, which counts once its mark is written, so a
+    failed batch leaves nothing behind that is read.  Choose ``parts`` so that a
+    folder has some 100 MB.  The order of words is fixed when the index is made:
+    any order gives exact results, one from similar texts gives small cells.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, num: int = 7, den: int = 10):
-        self.spark, self.folder, self.num, self.den = spark, folder.rstrip("/"), num, den
+    def __init__(self, spark: SparkSession, folder: str, num: int = 7, den: int = 10, parts: int = PARTS, cell: int = CELL):
+        self.spark, self.folder, self.num, self.den, self.parts, self.cell = spark, folder.rstrip("/"), num, den, parts, cell
 
     def create(self, sample: DataFrame, text: str) -> HistoryIndex:
         """Starts an empty index; ``sample`` gives the frequent words (a bounded number, see ``common_words``)."""
-        sets = distinct_sets(sample.select(word_hashes(F.col(text)).alias("words")), "words")
+        return self._create(sample.select(word_hashes(F.col(text)).alias("words")))
+
+    def _create(self, sets: DataFrame) -> HistoryIndex:
         words, ranks = common_words(sets)
         rows = list(zip(words.tolist(), ranks.tolist(), strict=True))
         self.spark.createDataFrame(rows, "word long, place long").coalesce(1).write.parquet(f"{self.folder}/common")
@@ -98,37 +152,110 @@ class HistoryIndex:
         rows = self.spark.read.parquet(f"{self.folder}/common").orderBy("word").toPandas()
         return rows["word"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
 
+    def _marks(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/marks")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches that count."""
+        path, files = self._marks()
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(path)) if files.exists(path) else []
+
+    def _mark(self, number: int) -> None:
+        path, files = self._marks()
+        files.create(self.spark._jvm.org.apache.hadoop.fs.Path(path, str(number)), True).close()
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        folders = [f"{self.folder}/{name}/batch={n}" for n in self.batches()]
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*folders)
+
+    def texts(self) -> DataFrame:
+        return self._table("texts", _TEXTS)
+
+    def blocks(self, keys: DataFrame | None = None) -> DataFrame:
+        """(part, key, rid) of all batches that count; with ``keys`` of the folders they fall in."""
+        blocks = self._table("blocks", _BLOCKS)
+        if keys is None:
+            return blocks
+        parts = sorted(r["part"] for r in keys.select(self._part(F.col("key")).alias("part")).distinct().collect())
+        return blocks.where(F.col("part").isin(parts))
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.shiftrightunsigned(key, 20), F.lit(self.parts)).cast("int")
+
+    def _keys(self, sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """Every key of every set with its fingerprint: the anchors, and the set as a whole."""
+        fine = anchors(sets, common, self.num, self.den)
+        return fine.unionByName(sets.select(F.xxhash64(F.lit(2), "words").alias("key"), "rid", F.col("about").bitwiseOR(F.col("flag").cast("long")).alias("about"), "sketch", "rest"))
+
+    def _sets(self, df: DataFrame, *aggregates: Column) -> DataFrame:
+        """Distinct word sets with fingerprints and numbers that no other batch has."""
+        number = max(self.batches(), default=-1) + 1
+        if number >= 1 << 15:
+            raise ValueError("too many batches; build the index anew from its texts")
+        partition = F.when(F.spark_partition_id() < 1 << 15, F.monotonically_increasing_id()).otherwise(F.raise_error(F.lit("a batch may have at most 32768 partitions")))
+        return fingerprints(distinct_sets(df, "words", *aggregates, rid=partition.bitwiseOR(F.lit(number << 48))))
+
+    def append(self, df: DataFrame, text: str) -> HistoryIndex:
+        """Takes over texts that were accepted elsewhere, without checking them."""
+        return self._append(self._sets(df.select(word_hashes(F.col(text)).alias("words"))))
+
+    def _append(self, sets: DataFrame) -> HistoryIndex:
+        number = max(self.batches(), default=-1) + 1
+        sets.select("rid", "words", "about", "sketch", "rest").write.mode("overwrite").parquet(f"{self.folder}/texts/batch={number}")
+        flagged = sets.withColumn("flag", F.lit(1).cast("byte"))
+        rows = self._keys(flagged, self._common()).select(self._part(F.col("key")).alias("part"), "key", "rid")
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/blocks/batch={number}")
+        self._mark(number)
+        return self
 
     def check(self, batch: DataFrame, key: str, text: str) -> DataFrame:
-        """``(key, repeated)`` for every row of the batch with a word in its text; accepted rows are appended to the index."""
+        """``(key, repeated)`` for every row of the batch with a key and a word in its text; accepted rows are appended.
+
+        A text is repeated if it is alike to an accepted one or to an earlier
+        one of the batch (by ``key``) which is itself not repeated.  Of equal
+        texts the first by key counts, equal keys count as one.
+        """
+        own = batch.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words"))
+        return self._check(own, self._sets(own, F.min("_id").alias("first")), key)
+
+    def _check(self, own: DataFrame, sets: DataFrame, key: str) -> DataFrame:
         common = self._common()
-        kind = dict(batch.dtypes)[key]
-        own = batch.select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words")).where(F.size("words") > 0)
-        own = stored(own.withColumns({"rid": F.xxhash64("words")}), "batch-words")
-        sets = stored(own.groupBy("rid").agg(F.any_value("words").alias("words"), F.min("_id").alias("first")).withColumn("flag", F.lit(0).cast("byte")), "batch-sets")
-        old_sets = self._table("sets", "rid long, words array<long>")
-        table = stored(anchors(sets, common, self.num, self.den), "batch-anchors")
-        met = self._table("blocks", "key long, rid long, about long, sketch long, rest long").join(table.select("key").distinct(), "key", "left_semi")
-        met = stored(met, "met-blocks")
-        again = sets.select("rid").join(old_sets.select("rid"), "rid", "left_semi")
-        reached = old_sets.join(met.select("rid").distinct(), "rid", "left_semi").join(sets.select("rid"), "rid", "left_anti").withColumn("flag", F.lit(1).cast("byte"))
-        known = met.join(sets.select("rid"), "rid", "left_anti")
-        universe = sets.select("rid", "flag", "words").unionByName(reached.select("rid", "flag", "words"))
-        pairs = stored(alike_pairs(universe, self.num, self.den, common=common, anchor_table=table.unionByName(known)), "alike-pairs")
-        side = sets.select("rid", F.lit(True).alias("mine")).join(again, "rid", "left_anti")
-        told = pairs.join(side.withColumnsRenamed({"rid": "a", "mine": "ma"}), "a", "left").join(side.withColumnsRenamed({"rid": "b", "mine": "mb"}), "b", "left")
-        by_history = told.where("ma IS NULL OR mb IS NULL").select(F.when(F.col("ma").isNull(), F.col("b")).otherwise(F.col("a")).alias("rid")).unionByName(again).distinct()
-        among = told.where("ma AND mb").select("a", "b")
-        nodes = sets.select("rid", "first").join(by_history.withColumn("known", F.lit(True)), "rid", "left").select("rid", "first", F.coalesce("known", F.lit(False)).alias("known"))
-        rejected = stored(_first_accepted(nodes, among), "rejected")
-        accepted = sets.join(rejected, "rid", "left_anti")
-        kept = table.join(accepted.select("rid"), "rid", "left_semi").withColumn("about", F.col("about").bitwiseOR(F.lit(1)))
-        kept.select("key", "rid", "about", "sketch", "rest").write.mode("append").parquet(f"{self.folder}/blocks")
-        accepted.select("rid", "words").write.mode("append").parquet(f"{self.folder}/sets")
-        fate = own.join(sets.select("rid", "first"), "rid").join(rejected.withColumn("bad", F.lit(True)), "rid", "left")
-        return fate.select(F.col("_id").cast(kind).alias(key), (F.coalesce("bad", F.lit(False)) | (F.col("_id") > F.col("first"))).alias("repeated"))
+        mine = sets.withColumn("flag", F.lit(0).cast("byte"))
+        rows = self._keys(mine, common)
+        old = self.texts()
+        hits = self.blocks(rows).select("key", "rid").mapInArrow(_only(key_filter(rows)), "key long, rid long")
+        met = hits.join(old.select("rid", "about", "sketch", "rest"), "rid").withColumn("about", F.col("about").bitwiseOR(F.lit(1)))
+        universe = mine.select("rid", "flag", "words").unionByName(old.select("rid", F.lit(1).cast("byte").alias("flag"), "words"))
+        pairs = stored(alike_pairs(universe, self.num, self.den, self.cell, common, rows.unionByName(met.select(*rows.columns))), "alike-pairs")
+        first = (max(self.batches(), default=-1) + 1) << 48
+        new = lambda c: F.col(c) >= first
+        by_history = stored(pairs.where(new("a") != new("b")).select(F.greatest("a", "b").alias("rid")).distinct(), "met-history")
+        among = pairs.where(new("a") & new("b"))
+        linked = among.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+        nodes = linked.join(sets.select("rid", "first"), "rid").join(by_history.withColumn("known", F.lit(True)), "rid", "left").select("rid", "first", F.coalesce("known", F.lit(False)).alias("known"))
+        rejected = stored(_first_accepted(nodes, among).unionByName(by_history).distinct(), "rejected")
+        self._append(sets.join(rejected, "rid", "left_anti"))
+        fate = sets.join(rejected.withColumn("bad", F.lit(True)), "rid", "left").select("set_hash_1", "set_hash_2", "first", F.coalesce("bad", F.lit(False)).alias("bad"))
+        hashed = own.where(F.size("words") > 0).select("_id", F.xxhash64("words").alias("set_hash_1"), F.xxhash64(F.lit(1), "words").alias("set_hash_2"))
+        return hashed.join(fate, ["set_hash_1", "set_hash_2"]).select(F.col("_id").alias(key), (F.col("bad") | (F.col("_id") > F.col("first"))).alias("repeated"))
+
+
+def repeated_chunks(chunks: DataFrame, key: str, text: str, history: DataFrame, history_text: str, num: int = 7, den: int = 10, cell: int = CELL, parts: int = PARTS) -> DataFrame:
+    """``key`` of the chunks not to be stored again, going through them by ``key``.
+
+    The history is loaded into a ``HistoryIndex`` and the chunks are checked
+    against it as one batch, whose order within is kept; so the result is that
+    of going chunk by chunk.  A chunk is repeated if its text is alike to one of
+    ``history`` or to an earlier chunk which is itself not repeated.  Texts
+    without a word (null, blank) are alike to nothing, chunks without a key are
+    left out.  Empty tables give no rows; other columns are ignored.
+    """
+    index = HistoryIndex(chunks.sparkSession, f"{shared_dir(chunks.sparkSession)}/history-{uuid.uuid4().hex}", num, den, parts, cell)
+    old = index._sets(history.select(word_hashes(F.col(history_text)).alias("words")))
+    own = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words"))
+    index._create(old.select("words").unionByName(own.select("words")))._append(old)
+    drop_stored(old)
+    return index._check(own, index._sets(own, F.min("_id").alias("first")), key).where("repeated").select(key)

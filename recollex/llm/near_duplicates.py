@@ -15,7 +15,7 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, num: int = 7, den:
     Two texts are linked if they share at least num/den of their distinct words;
     groups are the connected components.  Rows with the same word set form one
     class, ``links`` counts the other classes a class is linked to, and
-    ``group_id`` is the smallest class_id of the group.  Rows without a word
+    ``group_id`` is the class_id of one class of the group, the same for all.  Rows without a word
     (null, blank, signs only) are alike to nothing and left out.  Repeated rows
     come out each; an empty table gives no rows; other columns are ignored.
     Links are found exactly by anchor-point covering (``alike``).

@@ -150,3 +150,71 @@ def test_index_agrees_batch_by_batch(spark, tmp_path):
         batch = spark.createDataFrame(chunks[lo : lo + 25], "chunk_id long, content string")
         got |= {r.chunk_id for r in index.check(batch, "chunk_id", "content").where(F.col("repeated")).collect()}
     assert got == brute_repeated([], chunks)
+
+
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_of_long_paths(spark, shuffled):
+    n = 3000
+    x = np.random.default_rng(1).permutation(n) if shuffled else np.arange(n)
+    links = [(int(min(p)), int(max(p))) for p in zip(x[:-1], x[1:], strict=True)] + [(n + 1, n + 2)]
+    got = {r.rid: r["group"] for r in alike.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len(got) == n + 2 and len(set(got.values())) == 2 and got[n + 1] == got[n + 2] in (n + 1, n + 2)
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(4)
+    links = [(a, b) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(260)) if a != b]
+    parent = list(range(400))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    got = {r.rid: r["group"] for r in alike.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {x for p in links for x in p}
+    assert set(got) == nodes and all((got[a] == got[b]) == (find(a) == find(b)) for a in nodes for b in nodes)
+    assert alike.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chains_longer_than_the_rounds(spark):
+    """Each text is alike to the next two only: a link a round; the rest goes in order."""
+    n = 60
+    nodes = spark.createDataFrame([(i, i, i in (7, 30)) for i in range(n)], "rid long, first long, known boolean")
+    links = [(j, i) if (i + j) % 2 else (i, j) for i in range(n) for j in (i + 1, i + 2) if j < n]
+    got = {r.rid for r in history._first_accepted(nodes, spark.createDataFrame(links, "a long, b long"), rounds=3).collect()}
+    accepted, expected = set(), {7, 30}
+    for i in range(n):
+        if i not in expected:
+            (expected if {i - 1, i - 2} & accepted else accepted).add(i)
+    assert got == expected
+
+
+def test_a_small_batch_opens_few_folders(spark, tmp_path):
+    rng = random.Random(3)
+    texts = edited(rng, 60, 2)
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index", parts=64).create(df, "content").append(df, "content")
+    batch = spark.createDataFrame([(1, texts[0].split()[0] + " zeta eta"), (2, "alone")], "k long, content string")
+    own = batch.select(alike.word_hashes(F.col("content")).alias("words"), F.col("k").alias("rid"), F.lit(0).cast("byte").alias("flag"))
+    rows = index._keys(alike.fingerprints(own), index._common())
+    everything, opened = index.blocks(), index.blocks(rows)
+    scanned = opened.select("part").distinct().count()
+    assert scanned <= rows.select("key").distinct().count() < everything.select("part").distinct().count()
+    got = {r.k: r.repeated for r in index.check(batch, "k", "content").collect()}
+    assert got == {1: False, 2: False} and index.batches() == [0, 1]
+    again = {r.k: r.repeated for r in index.check(batch, "k", "content").collect()}
+    assert again == {1: True, 2: True}
+
+
+def test_a_batch_without_its_mark_does_not_count(spark, tmp_path):
+    df = spark.createDataFrame([("a b c d e f g",)], "content string")
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index").create(df, "content")
+    index._mark = lambda number: None
+    index.append(df, "content")
+    del index._mark
+    assert index.batches() == [] and index.texts().count() == 0
+    assert [r.repeated for r in index.check(spark.createDataFrame([(1, "a b c d e f g")], "k long, content string"), "k", "content").collect()] == [False]
+    assert index.texts().count() == 1
