@@ -23,7 +23,7 @@ from recollex.llm.alike import CELL, alike_pairs, anchors, common_words, compone
 from recollex.runtime import drop_stored, shared_dir, stored
 
 #: Folders that the block table is cut into by key, and bits of the filter that stands for a batch's keys.
-PARTS, FILTER_BITS = 16, 1 << 26
+PARTS, FILTER_BITS = 16, 1 << 25
 #: Bits of the filter that travel in one row.
 _SLICE = 1 << 20
 #: Rounds in which all texts decide at once; what is then still open is decided in order, component by component.

@@ -31,8 +31,8 @@ PART = 24
 RANK, OVERSAMPLE, POWER = 224, 24, 1
 #: A passage has this share of an item's words and one edit in so many words.
 SHARE, PER_EDIT = 0.6, 6
-#: Items of one pass over the corpus; more are taken in blocks.
-BLOCK_ITEMS = 5000
+#: Items, and characters of items, of one pass over the corpus; more are taken in blocks.
+BLOCK_ITEMS, BLOCK_CHARS = 5000, 20_000_000
 #: Rows of a matrix that are summed in one group.
 _ROWS = 256
 #: Lengths of the runs that are counted around a place, the cheapest first.
@@ -272,12 +272,13 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     of the item's answer stand in the document, null where there is no answer.
     Null and empty texts and items without words give nothing; repeated
     documents count each, repeated items too; ``item_key`` must be integral.
-    Items are taken ``BLOCK_ITEMS`` at a time, each block against all documents;
-    a block, with the words in it, is all that leaves the executors.
+    Items are taken about ``BLOCK_ITEMS`` or ``BLOCK_CHARS`` at a time, each
+    block against all documents; a block, with the words in it, is all that
+    leaves the executors.
     """
     kept = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("t"), F.col(answer).alias("a"))
-    total = kept.count()
-    blocks = max(1, -(-total // BLOCK_ITEMS))
+    total, chars = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t") + F.coalesce(F.length("a"), F.lit(0))), F.lit(0))).first()
+    blocks = max(1, -(-total // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     out = None
     for b in range(blocks):
         rows = kept.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).collect()

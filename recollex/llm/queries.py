@@ -139,7 +139,7 @@ WITH RECURSIVE m AS (SELECT id, {_WORD_SET.format(c="content")} AS w FROM memori
 _P5_MESSAGES = """
 WITH raw AS (SELECT conversation_id AS thread_id, true AS numbered, id AS pos, role, content FROM beam_turns),
   s AS (SELECT unnest(haystack_session_ids) AS thread_id, unnest(haystack_sessions) AS m FROM lme_questions),
-  nested AS (SELECT thread_id, false AS numbered, CAST(g AS BIGINT) AS pos, m[g].role AS role, m[g].content AS content FROM s, range(1, 10000) t(g) WHERE g <= len(m)),
+  nested AS (SELECT thread_id, false AS numbered, CAST(g AS BIGINT) AS pos, m[g].role AS role, m[g].content AS content FROM (SELECT thread_id, m, unnest(range(1, len(m) + 1)) AS g FROM s)),
   u AS (SELECT * FROM raw UNION ALL SELECT * FROM nested),
   c AS (SELECT thread_id, numbered, pos, content,
           CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant' WHEN lower(trim(role)) = 'system' THEN 'system' END AS role,
@@ -151,7 +151,32 @@ WITH raw AS (SELECT conversation_id AS thread_id, true AS numbered, id AS pos, r
   g AS (SELECT thread_id FROM f WHERE role = 'user' AND NOT coalesce(next_role = 'assistant' AND next_visible, false))
 """
 
+# Chunk by chunk: what is accepted so far is carried along.
+_P3_CASES = f"""
+WITH RECURSIVE m AS (SELECT DISTINCT {_WORD_SET.format(c="content")} AS w FROM memories WHERE content IS NOT NULL),
+  c AS (SELECT chunk_id, {_WORD_SET.format(c="content")} AS w, row_number() OVER (ORDER BY chunk_id) AS n FROM import_chunks WHERE content IS NOT NULL),
+  mx AS (SELECT w, len(w) AS k, unnest(w) AS t FROM m),
+  cx AS (SELECT chunk_id, len(w) AS k, unnest(w) AS t FROM c),
+  old AS (SELECT DISTINCT chunk_id FROM (SELECT chunk_id, mx.w FROM cx JOIN mx ON cx.t = mx.t AND 10 * least(cx.k, mx.k) >= 7 * greatest(cx.k, mx.k)
+          GROUP BY chunk_id, mx.w HAVING 17 * count(*) >= 7 * any_value(cx.k + mx.k))),
+  l AS (SELECT a.chunk_id AS before, b.chunk_id AS after FROM cx a JOIN cx b ON a.t = b.t AND a.chunk_id < b.chunk_id AND 10 * least(a.k, b.k) >= 7 * greatest(a.k, b.k)
+        GROUP BY a.chunk_id, b.chunk_id HAVING 17 * count(*) >= 7 * any_value(a.k + b.k)),
+  g AS (SELECT after, list(before) AS befores FROM l GROUP BY after),
+  todo AS MATERIALIZED (SELECT c.chunk_id, c.n, old.chunk_id IS NOT NULL AS known, coalesce(befores, []) AS befores
+           FROM c LEFT JOIN old ON old.chunk_id = c.chunk_id LEFT JOIN g ON g.after = c.chunk_id),
+  r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS accepted, CAST(NULL AS BIGINT) AS chunk_id, false AS repeated
+        UNION ALL
+        SELECT todo.n, CASE WHEN todo.known OR list_has_any(todo.befores, r.accepted) THEN r.accepted ELSE list_append(r.accepted, todo.chunk_id) END,
+               todo.chunk_id, todo.known OR list_has_any(todo.befores, r.accepted)
+        FROM r JOIN todo ON todo.n = r.n + 1),
+  cases AS (SELECT chunk_id FROM r WHERE repeated)
+"""
+
 ORACLES: dict[str, str] = {
+    "p3_found": _P3_CASES + "SELECT chunk_id FROM cases",
+    "p3_batches": _P3_CASES + """
+SELECT b.batch_no, b.chunks_deduplicated AS reported, count(cases.chunk_id) AS chunks_deduplicated
+FROM import_batches b LEFT JOIN import_chunks i ON i.batch_no = b.batch_no LEFT JOIN cases ON cases.chunk_id = i.chunk_id GROUP BY b.batch_no, b.chunks_deduplicated""",
     "p1_found": _P1_GROUPS + "SELECT DISTINCT s AS memory_id_a, e AS memory_id_b FROM r WHERE s < e",
     "p5_found": _P5_MESSAGES + """
 SELECT thread_id FROM t WHERE bad UNION SELECT thread_id FROM g UNION SELECT thread_id FROM s WHERE m IS NULL OR len(m) = 0""",

@@ -79,6 +79,18 @@ def test_clock_offset_is_taken_out(spark):
     assert np.diff(said) == pytest.approx([10.0] * 19)
 
 
+def test_late_rows_and_threads_without_id(spark):
+    """A delivery late by days neither bends the offset nor the order; said_at never falls; null is a thread of its own."""
+    rows = [(name, i, "user" if i % 2 == 0 else "assistant", "x", 1_700_000_000 + 10 * i + (60 if i % 2 else 0) + (300_000 if i == 7 else 0)) for name in ("t", None) for i in range(600)]
+    df = spark.createDataFrame(rows, "conversation_id string, id long, role string, content string, s long").withColumn("received_at", threads.F.timestamp_seconds("s"))
+    m = threads.turn_messages(df)
+    assert all(r.offset_s == pytest.approx(60, abs=1) and r.dropped is None for r in threads.thread_report(m).collect())
+    for name in ("t", None):
+        got = threads.rebuilt_threads(m).where(threads.F.col("thread_id").eqNullSafe(name)).orderBy("turn_no").collect()
+        said = [r.said_at.timestamp() for r in got]
+        assert [r.turn_no for r in got] == list(range(1, 601)) and said == sorted(said) and said[7] == pytest.approx(said[8], abs=1)
+
+
 def test_null_and_empty_sessions_are_dropped(spark):
     q = spark.createDataFrame(
         [(["a", "b", "c", "d"], [None, [], [("user", "hi"), ("bot", "yo")], [None, ("ai", "x")]])], "haystack_session_ids array<string>, haystack_sessions array<array<struct<role string, content string>>>"
