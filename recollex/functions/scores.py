@@ -23,12 +23,6 @@ def strength_after(strength: Column, accesses: Column, growth: float = 0.5) -> C
     return F.when(F.coalesce(accesses, F.lit(0)) > 0, grown).otherwise(strength.cast("double"))
 
 
-def token_bits(word: Column) -> Column:
-    """The 64 bits of a token: the first eight bytes of its md5, little-endian, as a signed long."""
-    digest = F.md5(word.cast("binary"))
-    return F.conv(F.concat(*[F.substring(digest, 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

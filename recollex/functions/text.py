@@ -14,6 +14,17 @@ RANK_STOP_WORDS = (
     "a an the and or in on at to for of is it its was be been i me my we you your he she they this that not with from "
     "have has do does did will can so if as up out are by no but had"
 ).split()
+RERANK_STOP_WORDS = (
+    "a an the and or but in on at to for of with by from is it as be was were been are have has had do does did will would could should may might can shall not "
+    "no so if then than that this these those i me my we us our you your he him his she her they them their its what which who whom how when where why all each every "
+    "both few more most some any also just about up out into over after before between under again very too here there now only"
+).split()
+ENTITY_STOP_WORDS = (
+    "i me my we our you your it its they the a an and or but in on at to for of is am are was were be been being have has had do does did will would could "
+    "should can may might not no so if that this these those some any all more much very just also too than then now here there when where how what which who "
+    "with from about into by as up out new really because something things think know want need like prefer enjoy love good great best better one ones get got going make "
+    "time way thing lot many few other well"
+).split()
 QUERY_STOP_WORDS = (
     "i me my we our you your it its they the a an and or but in on at to for of is am are was were be been being have has had do does did will would could "
     "should can may might shall not no so if that this these those some any all more much very just also too than then now here there when where how what which who "
@@ -35,6 +46,37 @@ def rank_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
 
 
+def has_text(text: Column) -> Column:
+    """Whether a text has more than white space and invisible characters; a null text has not."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x{1c}-\x{1f}\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\x{180e}]"), F.lit(False))
+
+
+def rerank_tokens(text: Column) -> Column:
+    """Lower-case runs of ASCII letters, digits and underscores of more than one character outside the stop list, in order."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: (F.length(w) > 1) & ~w.isin(*RERANK_STOP_WORDS))
+
+
+def word_runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` neighbouring words, joined by a blank."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
+    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def numbers_in(text: Column) -> Column:
+    """Distinct numbers of a text as written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b\d+(?:[.,]\d+)?\b"), 0))
+
+
+def how_many_in(wanted: Column, text: Column) -> Column:
+    """How many of the wanted strings stand in the text; a null text holds none."""
+    return F.size(F.filter(wanted, lambda w: F.coalesce(F.contains(text, w), F.lit(False))))
+
+
+def is_exchange(content: Column) -> Column:
+    """Whether both sides of an exchange are there."""
+    return F.coalesce(content.rlike(r"(?i)\[USER\]:") & content.rlike(r"(?i)\[ASSISTANT\]:"), F.lit(False))
+
+
 def _among(word: Column, words: list[str]) -> Column:
     return word.isin(*words)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollex.functions.text import proper_nouns
+from recollex.functions.text import how_many_in, numbers_in, proper_nouns
 
 
 def within_budget(df: DataFrame, query: str, order: list[Column], content: str, budget_chars: int, most: int = 1500) -> DataFrame:
@@ -34,15 +34,10 @@ def ranked(df: DataFrame, query: str, row: str, key: Column) -> DataFrame:
 
 def entity_overlap(query_text: Column, content: Column) -> Column:
     """How many of a question's names and numbers stand in the content."""
-    wanted = F.array_distinct(F.concat(F.transform(proper_nouns(query_text), lambda w: F.lower(w)), F.regexp_extract_all(query_text, F.lit(r"\b\d+(?:[.,]\d+)?\b"), 0)))
-    return F.size(F.filter(wanted, lambda w: F.contains(F.lower(content), w)))
+    wanted = F.array_distinct(F.concat(F.transform(proper_nouns(query_text), lambda w: F.lower(w)), numbers_in(query_text)))
+    return how_many_in(wanted, F.lower(content))
 
 
 def date_nearness(day: Column, target: Column) -> Column:
-    """Minus the days between; undated rows rank as ten years off."""
+    """Minus the days between; undated rows rank as a hundred years off."""
     return -F.coalesce(F.abs(F.datediff(day, target)), F.lit(36500))
-
-
-def is_exchange(content: Column) -> Column:
-    """Both sides of an exchange are there."""
-    return (content.rlike(r"(?i)\[USER\]:") & content.rlike(r"(?i)\[ASSISTANT\]:")).cast("int")

@@ -2,46 +2,71 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollex.functions.features import distinctive_words
-from recollex.functions.scores import hamming, token_bits
+from recollex.functions.scores import hamming
 
 
 def with_simhash(df: DataFrame, key: str, text: str, out: str = "simhash") -> DataFrame:
-    """``(key, out)``: 64-bit SimHash of each text, 0 for a text without tokens or null; ``key`` must be unique.
+    """``(key, out)``: 64-bit SimHash of each text, 0 for a text without tokens or null; one row in, one row out.
 
-    Token bits are summed in 64 generated aggregates with partial sums before the shuffle.
+    Tokens are what white space parts; each has the first eight bytes of its
+    md5, little-endian.  A row needs no other, so nothing is shuffled.
     """
-    tokens = df.select(key, F.explode_outer(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("w"))
-    bits = tokens.select(key, token_bits(F.col("w")).alias("b"))
-    sums = [F.sum(F.shiftrightunsigned("b", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)]
-    counted = bits.groupBy(key).agg(F.count("b").alias("n"), *sums)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(2 * F.col(f"s{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return counted.select(key, F.when(F.col("n") > 0, value).otherwise(F.lit(0).cast("long")).alias(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            if len(seen) > 500_000:
+                seen.clear()
+            tokens = [(t or "").lower().split() for t in batch.column(text).to_pylist()]
+            n = np.array([len(x) for x in tokens], np.int64)
+            flat = [w for x in tokens for w in x]
+            for w in flat:
+                if w not in seen:
+                    seen[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:8], "little")
+            prints = np.zeros(len(n), np.uint64)
+            if flat:
+                bits = np.unpackbits(np.fromiter((seen[w] for w in flat), np.uint64, len(flat)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                full = np.flatnonzero(n)
+                sums = np.add.reduceat(bits, (np.cumsum(n) - n)[full], axis=0, dtype=np.int64)
+                prints[full] = np.packbits(2 * sums > n[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(prints.view(np.int64))], names=[key, out])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {out} long")
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 3) -> DataFrame:
+def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 3, equal: int = 3) -> DataFrame:
     """``(bits_a, bits_b, distance)``: every two different fingerprints within ``most`` bits, a < b.
 
     Fingerprints are made distinct first (membership stays with the caller's
-    rows), cut into ``most + 1`` bands of which one must be equal, joined on the
-    bands and verified; a pair is reported by its first equal band only.
+    rows) and cut into ``most + equal`` blocks; ``most`` bits leave ``equal`` of
+    them untouched, so there is a table for every choice of ``equal`` blocks,
+    whose joined bits are the key.  For 3 bits these are 20 tables with keys of 32
+    bits, so a thousand million fingerprints meet less than one other by chance.
+    A pair is verified and reported by its first equal choice only.
     """
-    bands = most + 1
-    width = -(-64 // bands)
-    mask = (1 << width) - 1
+    blocks = most + equal
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    tables = [signed(sum(masks[i] for i in chosen)) for chosen in combinations(range(blocks), equal)]
     prints = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("bits")).distinct()
-    band = lambda c, i: F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit(mask).cast("long"))
-    rows = prints.select("bits", F.posexplode(F.array(*[band(F.col("bits"), i) for i in range(bands)])).alias("band", "value"))
+    value = lambda c, m: F.col(c).bitwiseAND(F.lit(m).cast("long"))
+    rows = prints.select("bits", F.posexplode(F.array(*[value("bits", m) for m in tables])).alias("band", "value"))
     a, b = rows.withColumnRenamed("bits", "bits_a"), rows.withColumnRenamed("bits", "bits_b")
-    met = a.join(b, ["band", "value"]).where(F.col("bits_a") < F.col("bits_b"))
-    first = F.coalesce(*[F.when(band(F.col("bits_a"), i) == band(F.col("bits_b"), i), F.lit(i)) for i in range(bands)])
     distance = hamming(F.col("bits_a"), F.col("bits_b"))
-    return met.where((F.col("band") == first) & (distance <= most)).select("bits_a", "bits_b", distance.cast("int").alias("distance"))
+    met = a.join(b, ["band", "value"]).where((F.col("bits_a") < F.col("bits_b")) & (distance <= most))
+    first = F.coalesce(*[F.when(value("bits_a", m) == value("bits_b", m), F.lit(i)) for i, m in enumerate(tables)])
+    return met.where(F.col("band") == first).select("bits_a", "bits_b", distance.cast("int").alias("distance"))
 
 
 def nouns_diverge(a: Column, b: Column, least: float = 0.3) -> Column:

@@ -24,9 +24,43 @@ def ranking_metrics(run: DataFrame, relevant: DataFrame, query: str, row: str, k
     )
 
 
+def retrieved_metrics(run: DataFrame, relevant: DataFrame, query: str, row: str, k: int) -> DataFrame:
+    """``(query, recall_any, recall_all, ndcg)`` at k for every query with a relevant row; the ideal order is that of what was retrieved."""
+    wanted = relevant.select(query, row).distinct()
+    hits = run.where(F.col("rank") <= k).join(wanted, [query, row]).groupBy(query).agg(F.count(F.lit(1)).alias("hits"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    told = wanted.groupBy(query).agg(F.count(F.lit(1)).alias("n")).join(hits, query, "left")
+    found = F.coalesce("hits", F.lit(0))
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), found)), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    return told.select(query, (found > 0).cast("double").alias("recall_any"), (found >= F.col("n")).cast("double").alias("recall_all"), F.when(found > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
+
+
+def session_of(corpus_id: Column) -> Column:
+    """The session of a turn-level id such as s_turn_4; other ids are sessions themselves."""
+    return F.regexp_replace(corpus_id, r"^(.*)_turn_.*$", "$1")
+
+
+def evidence_sessions(evidence: Column) -> Column:
+    """Distinct sessions that dialogue ids such as D3:7 lie in; others name none."""
+    numbers = F.filter(F.transform(evidence, lambda e: F.regexp_extract(e, r"^D(\d+):", 1)), lambda n: n != "")
+    return F.array_distinct(F.transform(numbers, lambda n: F.concat(F.lit("session_"), n)))
+
+
+def source_ids(written: Column) -> Column:
+    """Distinct ids of a JSON list, or of a JSON object of lists and numbers; none where there are none."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce(written, F.lit("")), r'"(?:[^"\\]|\\.)*"', ""), F.lit(r"-?\d+"), 0), lambda x: x.cast("long")))
+
+
+def numbered_facts(context: Column) -> Column:
+    """The facts of a list '0. ...' a line each, else its paragraphs."""
+    facts = F.filter(F.transform(F.regexp_extract_all(context, F.lit(r"(?m)^\d+\.[ \t]+(.+)$"), 1), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(context, "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(facts) > 0, facts).otherwise(parts)
+
+
 def normal_tokens(text: Column) -> Column:
-    """Answer tokens: lower case, signs and articles left out."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", ""), r"\s+"), lambda w: (w != "") & ~w.isin("a", "an", "the"))
+    """Answer tokens: without commas, lower-case articles and 'and', and ASCII punctuation, then in lower case."""
+    bare = F.regexp_replace(F.regexp_replace(text, ",", ""), r"\b(?:a|an|the|and)\b", " ")
+    return F.filter(F.split(F.lower(F.regexp_replace(bare, r"[!-/:-@\[-`{-~]", "")), r"\s+"), lambda w: w != "")
 
 
 def token_f1(predicted: Column, gold: Column) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollex.functions.text import RANK_STOP_WORDS, rank_tokens
+from recollex.functions.text import how_many_in, is_exchange, rank_tokens, rerank_tokens, word_runs
 
 
 def weighted_rrf(lists: list[tuple[DataFrame, float | Column]], query: str, row: str, k: int = 60) -> DataFrame:
@@ -21,31 +21,28 @@ def weighted_rrf(lists: list[tuple[DataFrame, float | Column]], query: str, row:
 
 
 def keyword_rerank(df: DataFrame, query_text: str, content: str, score: str = "score", tf_weight: float = 0.15, phrase_weight: float = 0.10) -> DataFrame:
-    """Adds word and phrase agreement to the score, capped at 1; a query without words changes nothing."""
-    words = F.filter(rank_tokens(F.col(query_text)), lambda w: ~w.isin(*RANK_STOP_WORDS))
-    body = rank_tokens(F.col(content))
-    df = df.withColumns({"_q": words, "_c": body})
+    """Adds word and phrase agreement to the score, capped at 1; a query without words changes nothing, a null content agrees in nothing."""
+    df = df.withColumns({"_q": rerank_tokens(F.col(query_text)), "_c": F.coalesce(rerank_tokens(F.col(content)), F.array().cast("array<string>"))})
     hits = F.aggregate(F.array_distinct("_q"), F.lit(0), lambda s, w: s + F.least(F.lit(2), F.size(F.filter("_c", lambda x: x == w))))
     tf = F.try_divide(hits.cast("double"), (2 * F.size(F.array_distinct("_q"))).cast("double"))
-    grams = lambda n: F.when(F.size("_q") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_q") - n + 1)), lambda i: F.array_join(F.slice("_q", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    phrases = F.concat(grams(2), grams(3))
-    shares = F.try_divide(F.size(F.filter(phrases, lambda p: F.contains(F.lower(F.col(content)), p))).cast("double"), F.size(phrases).cast("double"))
+    phrases = F.concat(word_runs(F.col("_q"), 2), word_runs(F.col("_q"), 3))
+    shares = F.try_divide(how_many_in(phrases, F.lower(F.col(content))).cast("double"), F.size(phrases).cast("double"))
     raised = F.least(F.lit(1.0), F.col(score) + tf_weight * F.coalesce(tf, F.lit(0.0)) + phrase_weight * F.coalesce(shares, F.lit(0.0)))
     return df.withColumn(score, F.when(F.size("_q") > 0, raised).otherwise(F.col(score))).drop("_q", "_c")
 
 
 def turn_pair_boost(df: DataFrame, query: str, content: str, order: list[Column], top: int = 10, boost: float = 0.008) -> DataFrame:
     """Lifts complete exchanges among the first ``top`` of each query."""
-    complete = F.col(content).rlike(r"(?i)\[USER\]:") & F.col(content).rlike(r"(?i)\[ASSISTANT\]:")
+    complete = is_exchange(F.col(content))
     place = F.row_number().over(Window.partitionBy(query).orderBy(*order))
     return df.withColumn("_p", place).withColumn("score", F.col("score") + F.when((F.col("_p") <= top) & complete, boost).otherwise(0.0)).drop("_p")
 
 
 def temporal_boost(df: DataFrame, day: str, target: Column, reference: Column, boost: float = 0.015) -> DataFrame:
-    """A Gaussian lift for days near the target; wide for far targets."""
+    """A Gaussian lift for days near the target, wide for far targets; lifts of 0.001 or less and undated rows are left out."""
     sigma = F.when(F.abs(F.datediff(reference, target)) > 25, 30.0).otherwise(3.5)
     near = F.exp(-0.5 * F.pow(F.datediff(F.col(day), target) / sigma, F.lit(2.0)))
-    return df.withColumn("score", F.col("score") + F.when(near > 0.001, boost * near).otherwise(0.0))
+    return df.withColumn("score", F.col("score") + F.when(boost * near > 0.001, boost * near).otherwise(0.0))
 
 
 def recency_boost(df: DataFrame, query: str, ordinal: str, boost: float = 0.015) -> DataFrame:
@@ -53,30 +50,35 @@ def recency_boost(df: DataFrame, query: str, ordinal: str, boost: float = 0.015)
     return df.withColumn("score", F.col("score") + F.coalesce(F.try_divide(boost * F.coalesce(F.col(ordinal), F.lit(0)), most), F.lit(0.0)))
 
 
-def near_tie_reorder(df: DataFrame, query: str, order: list[Column], keys: list[Column], eps: float = 0.005) -> DataFrame:
-    """Adds ``rank``: candidates within ``eps`` of the best are ordered by ``keys`` first, the rest by ``order``."""
-    best = F.max("score").over(Window.partitionBy(query))
-    close = (best - F.col("score") <= eps).cast("int")
-    return df.withColumn("_close", close).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("_close").desc(), *[F.when(F.col("_close") == 1, k).desc_nulls_last() for k in keys], *order))
-    ).drop("_close")
+def near_tie_reorder(df: DataFrame, query: str, rank: str, keys: list[Column], eps: float = 0.005) -> DataFrame:
+    """Renumbers ``rank``: the leading rows within ``eps`` of the first row's score go by ``keys``, highest first; ties and all others keep their order."""
+    whole = Window.partitionBy(query)
+    top = F.max(F.when(F.col(rank) == 1, F.col("score"))).over(whole)
+    far = F.max((top - F.col("score") > eps).cast("int")).over(whole.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    marked = df.withColumn("_top", top).withColumn("_far", far)
+    order = Window.partitionBy(query).orderBy("_far", *[F.when(F.col("_far") == 0, k).desc_nulls_last() for k in keys], "_old")
+    return marked.withColumn("_old", F.col(rank)).withColumn(rank, F.row_number().over(order)).drop("_top", "_far", "_old")
 
 
-def diversify(df: DataFrame, query: str, row: str, content: str, group: str, limit: int, trade: float = 0.7, cap: int = 2) -> DataFrame:
+def diversify(df: DataFrame, query: str, row: str, content: str, group: str, limit: int, trade: float = 0.7, cap: int = 2, rank: str | None = None, whole: str | None = None) -> DataFrame:
     """Greedy maximal marginal relevance: ``(query, row, rank, score)``, ``limit`` a query.
 
     Relevance is the score scaled to 0..1, redundancy the highest token overlap
-    with what is chosen; a group over its cap counts as full overlap.  A query's
-    candidates come from bounded lists, so one task holds one small pool.
+    with what is chosen; a group over its cap counts as full overlap, a null
+    group is one of its own.  Ties go by ``rank`` if given, else by score and
+    row.  Queries whose column ``whole`` is true come out whole in that order.  A
+    query's candidates come from bounded lists, so one task holds one small pool.
     """
     schema = f"{query} {dict(df.dtypes)[query]}, {row} {dict(df.dtypes)[row]}, rank int, score double"
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["score", row], ascending=[False, True], ignore_index=True)
+        pool = pool.sort_values(["_rank"], ignore_index=True) if rank else pool.sort_values(["score", row], ascending=[False, True], ignore_index=True)
+        if pool["_whole"].iloc[0]:
+            return pool.assign(rank=range(1, len(pool) + 1))[[query, row, "rank", "score"]]
         low, high = pool["score"].min(), pool["score"].max()
-        relevance = ((pool["score"] - low) / (high - low)).tolist() if high > low else [1.0] * len(pool)
+        relevance = ((pool["score"] - low) / max(high - low, 1e-10)).tolist()
         bags = [set(x) if x is not None else set() for x in pool["_tokens"]]
-        groups = [g if g is not None else r for g, r in zip(pool[group], pool[row], strict=True)]
+        groups = [("g", g) if g is not None else ("r", r) for g, r in zip(pool[group], pool[row], strict=True)]
         worst, count, chosen, left = [0.0] * len(pool), {}, [], list(range(len(pool)))
         while left and len(chosen) < limit:
             value = lambda i: trade * relevance[i] - (1 - trade) * (1.0 if count.get(groups[i], 0) >= cap else worst[i])
@@ -90,5 +92,8 @@ def diversify(df: DataFrame, query: str, row: str, content: str, group: str, lim
         out = pool.loc[chosen, [query, row, "score"]]
         return out.assign(rank=range(1, len(chosen) + 1))[[query, row, "rank", "score"]]
 
-    slim = df.select(query, row, "score", group, F.array_distinct(rank_tokens(F.col(content))).alias("_tokens"))
+    slim = df.select(
+        query, row, "score", group, F.array_distinct(rank_tokens(F.col(content))).alias("_tokens"),
+        (F.col(rank) if rank else F.lit(0)).alias("_rank"), (F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)).alias("_whole"),
+    )
     return slim.groupBy(query).applyInPandas(choose, schema)

@@ -68,7 +68,7 @@ def merged(members: DataFrame, group: str = "cluster_id") -> DataFrame:
 def conflicts(rows: DataFrame, key: str, vector: str, kind: str, at: str, confidence: str, least: float = 0.85, gap_days: float = 7.0) -> DataFrame:
     """``(newer, older, cosine, obsolete_older)``: for each row the closest older row of its kind, more than ``gap_days`` before, over ``least``."""
     info = lambda side: rows.select(F.col(key).alias(side), F.col(kind).alias(f"_k_{side}"), F.unix_micros(at).alias(f"_t_{side}"), F.col(confidence).cast("double").alias(f"_c_{side}"))
-    pairs = similarity_pairs(rows, key, vector, least)
+    pairs = similarity_pairs(rows, key, vector, least, group=kind)
     both = pairs.select(F.col("a").alias("newer"), F.col("b").alias("older"), "cosine").unionByName(pairs.select(F.col("b").alias("newer"), F.col("a").alias("older"), "cosine"))
     told = both.join(info("newer"), "newer").join(info("older"), "older").where((F.col("_k_newer") == F.col("_k_older")) & (F.col("_t_newer") - F.col("_t_older") > gap_days * 86_400_000_000))
     order = Window.partitionBy("newer").orderBy(F.round("cosine", 9).desc(), "older")

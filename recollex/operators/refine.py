@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollex.functions.features import context_words
 from recollex.functions.scores import maxsim, strength_after
-from recollex.functions.text import QUERY_STOP_WORDS, is_vague, proper_nouns, rank_tokens
+from recollex.functions.text import QUERY_STOP_WORDS, how_many_in, is_vague, rank_tokens
 
 # How a first-person preference and a question for advice begin.
-LIKES = r"(?i)\bI\s+(?:really\s+|always\s+|usually\s+)?(?:love|prefer|like|enjoy|use|choose)\b"
+LIKES = r"(?i)\bI\s+(?:love|prefer|like|use|always|usually|recommend|enjoy|find|tend\s+to|try\s+to|often|never|hate|dislike|avoid)\b"
 ADVICE = r"(?i)\b(?:any\s+(?:tips|advice|suggestions|ideas|recommendations)|what\s+(?:should|would|do)\s+(?:I|you)|how\s+(?:should|do)\s+I|do\s+you\s+(?:think|know|remember|recall))\b"
 
 
@@ -24,19 +25,19 @@ def maxsim_rerank(df: DataFrame, query: str, row: str, query_tokens: str, doc_to
     return df.withColumn("_r", F.row_number().over(order)).withColumn("score", (n - F.col("_r") + 1) / n).drop("_p", "_m", "_r")
 
 
-def context_entities(df: DataFrame, query: str, session: str, ordinal: str, content: str, row: str, sessions: int = 2, most: int = 5) -> DataFrame:
-    """``(query, names)``: names in the first memory of each of the latest sessions of a pool, the first ``most``."""
-    first = df.where(F.col(session).isNotNull()).groupBy(query, session).agg(F.max(F.coalesce(F.col(ordinal), F.lit(0))).alias("_o"), F.min_by(content, row).alias("_c"))
-    latest = first.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_o"), session))).where(F.col("_n") <= sessions)
+def context_entities(df: DataFrame, query: str, session: str, ordinal: str, content: str, place: str, sessions: int = 2, most: int = 5) -> DataFrame:
+    """``(query, names)``: words that name things in the first memory, by ``place``, of each of the latest sessions of a pool, the first ``most``."""
+    first = df.where(F.col(session).isNotNull()).groupBy(query, session).agg(F.max(F.coalesce(F.col(ordinal), F.lit(0))).alias("_o"), F.min(place).alias("_p"), F.min_by(content, place).alias("_c"))
+    latest = first.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_o"), "_p"))).where(F.col("_n") <= sessions)
     joined = latest.groupBy(query).agg(F.array_join(F.sort_array(F.collect_list(F.struct("_n", "_c")))["_c"], " ").alias("_t"))
-    return joined.select(query, F.slice(proper_nouns(F.col("_t")), 1, most).alias("names"))
+    return joined.select(query, context_words(F.col("_t"), most).alias("names"))
 
 
 def context_boost(df: DataFrame, names: DataFrame, query: str, query_text: str, content: str, boost: float = 0.012) -> DataFrame:
     """Lifts memories that hold the context's names, for vague questions only."""
     told = df.join(names, query, "left")
-    hits = F.size(F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda w: F.contains(F.lower(F.col(content)), F.lower(w))))
-    return told.withColumn("score", F.col("score") + F.when(is_vague(F.col(query_text)), boost * F.coalesce(hits, F.lit(0))).otherwise(0.0)).drop("names")
+    wanted = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda w: F.lower(w))
+    return told.withColumn("score", F.col("score") + F.when(is_vague(F.col(query_text)), boost * how_many_in(wanted, F.lower(F.col(content)))).otherwise(0.0)).drop("names")
 
 
 def preference_boost(df: DataFrame, query: str, query_text: str, content: str, order: list[Column], top: int = 20, boost: float = 0.015) -> DataFrame:

@@ -18,19 +18,44 @@ from recollex.functions.text import rank_tokens, set_similarity, trigrams
 QUERY_BLOCK = 4096
 
 
-def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame, row: str, vector: str, k: int, least: float | None = None, skip_self: bool = False) -> DataFrame:
+def _blocks(queries: DataFrame, query: str) -> Iterator[pa.Table]:
+    """The queries in blocks of about ``QUERY_BLOCK``, dealt by a hash of their key, so that each is in exactly one."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        yield part.toArrow().combine_chunks()
+
+
+def _groups(block: pa.Table, group: str | None) -> tuple[dict, np.ndarray]:
+    """Numbers of the block's groups, and that of each query; -1 sees all."""
+    if group is None:
+        return {}, np.full(block.num_rows, -1)
+    numbers: dict = {}
+    return numbers, np.array([-1 if g is None else numbers.setdefault(g, len(numbers)) for g in block.column("_g").to_pylist()], np.int64)
+
+
+def _visible(numbers: dict, asked: np.ndarray, batch: pa.RecordBatch, group: str | None) -> np.ndarray:
+    """Which rows of the batch each query may see."""
+    if group is None:
+        return np.ones((len(asked), batch.num_rows), bool)
+    own = np.array([numbers.get(g, -2) for g in batch.column(group).to_pylist()], np.int64)
+    return (asked[:, None] == -1) | (asked[:, None] == own[None, :])
+
+
+def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame, row: str, vector: str, k: int, least: float | None = None, skip_self: bool = False, group: str | None = None) -> DataFrame:
     """``(query, row, cosine, rank)``: the k rows of highest cosine for each query, exactly; ties go to the smaller row.
 
     Each partition multiplies its vectors with a block of queries and keeps k a
     query, a window keeps k of all.  Null, empty and zero vectors, and those of
-    another length, match nothing.  Queries are taken ``QUERY_BLOCK`` at a time.
-    ``least`` drops lower cosines, ``skip_self`` rows whose key equals the query's.
+    another length, match nothing.  Queries are taken about ``QUERY_BLOCK`` at a
+    time.  ``least`` drops lower cosines, ``skip_self`` rows whose key equals the
+    query's; with ``group``, a column of both sides, a query sees the rows of its
+    group, and all where its group is null.
     """
-    q = queries.where(F.size(query_vector) > 0).select(query, F.col(query_vector).alias("_v")).orderBy(query)
-    total = q.count()
+    q = queries.where(F.size(query_vector) > 0).select(query, F.col(query_vector).alias("_v"), *([F.col(group).alias("_g")] if group else []))
     out = None
-    for start in range(0, max(1, total), QUERY_BLOCK):
-        block = q.offset(start).limit(QUERY_BLOCK).toArrow().combine_chunks()
+    for block in _blocks(q, query):
+        numbers, asked = _groups(block, group)
         keys = block.column(query).to_pylist()
         width = max((len(v) for v in block.column("_v").to_pylist()), default=0)
         matrix = np.array([v if len(v) == width else [0.0] * width for v in block.column("_v").to_pylist()], np.float64).reshape(len(keys), width)
@@ -38,7 +63,7 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
         matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
         live = norm[:, 0] > 0
 
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix, live=live, width=width) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix, live=live, width=width, numbers=numbers, asked=asked) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = [i for i, v in enumerate(batch.column(vector).to_pylist()) if v is not None and len(v) == width and width]
                 if not at or not len(keys):
@@ -46,7 +71,8 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
                 v = np.array(batch.column(vector).take(pa.array(at)).to_pylist(), np.float64)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
                 v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-                cosines = np.where((size[:, 0] > 0)[None, :] & live[:, None], matrix @ v.T, -np.inf)
+                seen = _visible(numbers, asked, batch, group)[:, at]
+                cosines = np.where((size[:, 0] > 0)[None, :] & live[:, None] & seen, matrix @ v.T, -np.inf)
                 if least is not None:
                     cosines[cosines < least] = -np.inf
                 own = batch.column(row).take(pa.array(at)).to_pylist()
@@ -62,7 +88,7 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
 
         kind = StructType([StructField(query, queries.schema[query].dataType), StructField("_row", rows.schema[row].dataType), StructField("cosine", DoubleType())])
         schema = to_arrow_schema(kind)
-        part = rows.select(row, vector).mapInArrow(run, kind)
+        part = rows.select(row, vector, *([group] if group else [])).mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
     if skip_self:
         out = out.where(F.col(query) != F.col("_row"))
@@ -174,7 +200,7 @@ def _term_counts(text: str, tokens: Callable[[str], list[str]], vocabulary: dict
     return run
 
 
-def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, tokens, weigh, finish, digits: int, name: str, need_counts: bool) -> DataFrame:
+def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, tokens, weigh, finish, digits: int, name: str, need_counts: bool, group: str | None = None) -> DataFrame:
     """Exact top k of a score that sums over common terms, queries in blocks against all rows.
 
     A task turns its rows into postings of the block's terms, adds up dense
@@ -182,15 +208,14 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
     keeps k of all.  Only the block's queries and the statistics of their terms
     leave the executors.
     """
-    q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t")).orderBy(query)
-    total = q.count()
+    q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t"), *([F.col(group).alias("_g")] if group else []))
     kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField(name, DoubleType())])
     schema = to_arrow_schema(kind)
     out = None
-    for start in range(0, max(1, total), QUERY_BLOCK):
-        block = q.offset(start).limit(QUERY_BLOCK).collect()
-        keys = [r[0] for r in block]
-        lists = [tokens(r[1]) for r in block]
+    for block in _blocks(q, query):
+        numbers, who = _groups(block, group)
+        keys = block.column(query).to_pylist()
+        lists = [tokens(t) for t in block.column("_t").to_pylist()]
         vocabulary = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws}))}
         counts = np.zeros(len(vocabulary) + 2)
         if need_counts:
@@ -203,7 +228,7 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
             asked.append((ids, times.astype(np.float64)))
         lengths = np.array([len(x) for x in lists], np.float64)
 
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, vocabulary=vocabulary, counts=counts, asked=asked, lengths=lengths) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], keys=keys, vocabulary=vocabulary, counts=counts, asked=asked, lengths=lengths, numbers=numbers, who=who) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 term, place, count, size = _postings(batch.column(text).to_pylist(), tokens, vocabulary)
                 edges = np.searchsorted(term, np.arange(len(vocabulary) + 1))
@@ -218,13 +243,14 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
                             own = slice(edges[t], edges[t + 1])
                             table[i, place[own]] += n * value[own]
                     table = finish(table, lengths[at : at + len(table), None], size[None, :].astype(np.float64))
+                    table = np.where(_visible(numbers, who[at : at + len(table)], batch, group), table, 0.0)
                     keep = min(k, len(size))
                     bound = np.partition(table, len(size) - keep, axis=1)[:, len(size) - keep] - 2 * 10.0**-digits
                     i, j = np.nonzero((table > 0) & (table >= bound[:, None]))
                     found += [{query: keys[at + x], row: names[y], name: float(table[x, y])} for x, y in zip(i.tolist(), j.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-        part = rows.select(row, text).mapInArrow(run, kind)
+        part = rows.select(row, text, *([group] if group else [])).mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy(query).orderBy(F.round(name, digits).desc(), row)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -245,14 +271,14 @@ def bm25(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row:
     return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_rank_tokens, weigh, lambda x, _q, _r: x, 6, "score", True)
 
 
-def trigram_matches(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, least: float, k: int) -> DataFrame:
-    """``(query, row, similarity, rank)``: the k most similar rows by shared trigrams, above ``least``; ties go to the smaller row."""
+def trigram_matches(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, least: float, k: int, group: str | None = None) -> DataFrame:
+    """``(query, row, similarity, rank)``: the k most similar rows by shared trigrams, above ``least``; ties go to the smaller row; ``group`` as in ``nearest``."""
 
     def similarity(common, asked, size):
         x = common / np.maximum(asked + size - common, 1.0)
         return np.where(x > least, x, 0.0)
 
-    return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_trigrams, lambda term, count, size, counts: np.ones(len(term)), similarity, 9, "similarity", False)
+    return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_trigrams, lambda term, count, size, counts: np.ones(len(term)), similarity, 9, "similarity", False, group)
 
 
 def text_similarity(a, b):

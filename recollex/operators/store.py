@@ -21,6 +21,83 @@ def patched(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return both.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in changes.columns and c != key else F.col(c) for c in state.columns])
 
 
+def assigned(state: DataFrame, changes: DataFrame, key: str, only: Column | None = None) -> DataFrame:
+    """State after column updates that may set null: every other column of ``changes`` (one row a key) is set, where ``only`` (over the old row) holds."""
+    given = [c for c in changes.columns if c != key]
+    named = changes.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in given])
+    both = state.join(named, key, "left").withColumn("_set", F.coalesce(F.col("_hit") & (F.lit(True) if only is None else only), F.lit(False)))
+    return both.select(*[F.when(F.col("_set"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in state.columns])
+
+
+def created(existing: DataFrame, incoming: DataFrame, name: str) -> DataFrame:
+    """Existing rows and those incoming whose name is new; of equal new names the first by all columns counts."""
+    fresh = incoming.join(existing.select(name), name, "left_anti")
+    once = fresh.groupBy(name).agg(F.min(F.struct(*[c for c in incoming.columns if c != name])).alias("_f")).select(name, "_f.*")
+    return existing.unionByName(once, allowMissingColumns=True)
+
+
+def stored_memories(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """State with a batch of new memories; what they supersede becomes obsolete."""
+    gone = batch.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("id")).distinct().withColumn("_gone", F.lit(True))
+    old = state.join(gone, "id", "left").withColumn("obsolete", F.coalesce("_gone", F.col("obsolete"))).select(*state.columns)
+    return old.unionByName(batch, allowMissingColumns=True)
+
+
+def purged(memories: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, links) without obsolete memories and the links of memories that are gone; links are (memory_id, ...)."""
+    kept = memories.where(~F.coalesce("obsolete", F.lit(False)))
+    return kept, links.join(memories.where(F.coalesce("obsolete", F.lit(False))).select(F.col("id").alias("memory_id")), "memory_id", "left_anti").select(*links.columns)
+
+
+def logged(log: DataFrame, accesses: DataFrame) -> DataFrame:
+    """The access log with more rows (memory_id, accessed_at, context); contexts are cut to 200 characters."""
+    return log.unionByName(accesses.select("memory_id", "accessed_at", F.substring("context", 1, 200).alias("context")))
+
+
+def numbered_sessions(existing: DataFrame, incoming: DataFrame, key: str = "session_id", project: str = "project_id", at: str = "started_at") -> DataFrame:
+    """Incoming sessions with the next ``session_ordinal`` of their project (null is a project of its own), by start."""
+    last = existing.groupBy(F.col(project).alias("_p")).agg(F.max("session_ordinal").alias("_last"))
+    place = F.row_number().over(Window.partitionBy(project).orderBy(at, key))
+    met = incoming.withColumn("_n", place).join(last, F.col(project).eqNullSafe(F.col("_p")), "left")
+    return met.select(*incoming.columns, (F.coalesce("_last", F.lit(0)) + F.col("_n")).alias("session_ordinal"))
+
+
+def sessions_of(memories: DataFrame) -> DataFrame:
+    """``(session_id, project_id, started_at, last_at, memories)``: sessions as their memories tell."""
+    return memories.where("session_id IS NOT NULL").groupBy("session_id").agg(
+        F.min("project_id").alias("project_id"), F.min("created_at").alias("started_at"), F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("memories")
+    )
+
+
+def open_sessions(sessions: DataFrame, as_of: Column, hours: float | None = None, ended: str = "ended_at", at: str = "started_at") -> DataFrame:
+    """Sessions without an end, those started more than some hours before ``as_of`` if given."""
+    old = F.lit(True) if hours is None else (F.unix_micros(as_of) - F.unix_micros(at)) > hours * 3_600_000_000
+    return sessions.where(F.col(ended).isNull() & old)
+
+
+def plain_rows(df: DataFrame) -> DataFrame:
+    """Rows for interchange: timestamps as ISO text in UTC, arrays, maps and structs as JSON with [] and {} for null."""
+    def plain(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind.startswith("timestamp"):
+            return F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias(name)
+        if kind.startswith(("array", "map", "struct")):
+            return F.coalesce(F.to_json(c), F.lit("[]" if kind.startswith("array") else "{}")).alias(name)
+        return c.alias(name)
+
+    return df.select(*[plain(n, k) for n, k in df.dtypes])
+
+
+def typed_memories(rows: DataFrame) -> DataFrame:
+    """Rows with defaults for what is missing: tags from an array or JSON text (else none), version 1, strengths 0 and 1, counts 0, flags false; '__global__' is no project."""
+    tags = F.col("tags") if dict(rows.dtypes)["tags"].startswith("array") else F.from_json(F.col("tags"), "array<string>")
+    return rows.withColumns({
+        "tags": F.coalesce(tags, F.array().cast("array<string>")), "project_id": F.nullif("project_id", F.lit("__global__")), "version": F.coalesce("version", F.lit(1)),
+        "storage_strength": F.coalesce("storage_strength", F.lit(0.0).cast("float")), "retrieval_strength": F.coalesce("retrieval_strength", F.lit(1.0).cast("float")),
+        "access_count": F.coalesce("access_count", F.lit(0)), "obsolete": F.coalesce("obsolete", F.lit(False)), "pinned": F.coalesce("pinned", F.lit(False)),
+    })
+
+
 def new_version(state: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Old rows become obsolete; each change adds a row of the next version under the same root, inheriting what it leaves null.
 

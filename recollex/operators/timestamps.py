@@ -9,7 +9,11 @@ one that never occurs moves forward by the skipped hour.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Abbreviations of the supported zones and their offsets.
@@ -146,47 +150,89 @@ def normalise_timestamps(df: DataFrame, text: str, locale: str, zone: str, out:
     return staged.withColumn(out, value).drop(clean, cut, home, parts, own)
 
 
-def estimate_zones(df: DataFrame, key: str, order: str, text: str, locale: str, zone: str, candidates: list[str]) -> DataFrame:
-    """The zone history that best explains the written order, for every key whose zone is null.
-
-    Dates of one key are written in rising order.  Those that fix their own
-    instant (offsets, epoch numbers) are anchors; each candidate zone is tried
-    for the others and counted for the neighbours that would then run
-    backwards.  Out comes one row a key: ``(key, zone, violations, dates)``;
-    ties go to the earlier candidate, so put the default first.  Keys without a
-    readable date give the first candidate and 0 violations.  The list of
-    candidates is bounded by the caller; rows grow by its length for the keys
-    without a zone only.
+def _histories(prior: float, change: float):
+    """The cheapest sequence of zones for each row's dates, by dynamic programming over (date, zone)."""
+
+    def cheapest(dates: list[np.ndarray], n: int) -> tuple[list[int], int]:
+        cost, came = np.where(np.arange(n) > 0, prior, 0.0), []
+        away = np.where(np.eye(n, dtype=bool), 0.0, change)
+        for last, now in zip(dates, dates[1:], strict=False):
+            step = cost[:, None] + away + (last[:, None] > now[None, :])
+            came.append(step.argmin(axis=0))
+            cost = step.min(axis=0)
+        path = [int(cost.argmin())]
+        for back in reversed(came):
+            path.append(int(back[path[-1]]))
+        path.reverse()
+        return path, sum(int(a[i] > b[j]) for a, b, i, j in zip(dates, dates[1:], path, path[1:], strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen, bad = [], []
+            for row in batch.column("_tried").to_pylist():
+                read = [np.array(d["us"], np.int64) for d in row if d["us"]]
+                path, wrong = cheapest(read, len(read[0])) if read else ([], 0)
+                ways = iter(path)
+                chosen.append([next(ways) if d["us"] else None for d in row])
+                bad.append(wrong)
+            names = [*batch.schema.names, "_chosen", "violations"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32())), pa.array(bad, pa.int64())], names=names)
+
+    return run
+
+
+def estimate_zones(df: DataFrame, keys: list[str], order: str, text: str, locale: str, zone: str, candidates: list[str], prior: float = 1.5, change: float = 1.5) -> DataFrame:
+    """The zones that best explain the written order, for every record whose zone is null.
+
+    Dates of one record (equal ``keys``, null being a key of its own) are
+    written in rising order.  Each date is read in every candidate zone; those
+    that fix their own instant (offsets, epoch numbers) are anchors, equal in
+    all.  Of all histories of zones the cheapest is taken: one for two
+    neighbours that run backwards, ``prior`` for beginning in another zone than
+    the first candidate, ``change`` for going from one zone to another.  So the
+    first candidate holds unless at least two violations speak against it.  Out
+    comes one row a record: ``(keys, history, violations, dates)``, where
+    ``history`` is an array of (order, zone, utc_us) in order, with null zone and
+    instant for what cannot be read, and ``dates`` counts what can.  Records are
+    taken to be bounded (they come from one row's array); only those without a
+    zone are grouped.  Other columns are ignored.
     """
-    missing = df.where(F.col(zone).isNull()).select(key, order, text, locale)
+    missing = df.where(F.col(zone).isNull()).select(*keys, order, text, locale)
     tried = missing.withColumn("_try", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("z")) for i, z in enumerate(candidates)])))
     timed = normalise_timestamps(tried.withColumn("_zone", F.col("_try.z")), text, locale, "_zone", "_us")
-    ordered = Window.partitionBy(key, "_try").orderBy(order)
-    steps = timed.where(F.col("_us").isNotNull()).withColumn("_back", (F.col("_us") < F.lag("_us").over(ordered)).cast("int"))
-    counted = tried.select(key, "_try").distinct().join(
-        steps.groupBy(key, "_try").agg(F.sum("_back").alias("_bad"), F.count(F.lit(1)).alias("_n")), [key, "_try"], "left"
+    dates = timed.groupBy(*keys, order, text, locale).agg(F.array_sort(F.collect_list(F.when(F.col("_us").isNotNull(), F.struct(F.col("_try.i").alias("i"), F.col("_us").alias("us"))))).alias("_read"))
+    # Equal dates of one position come out of the group once; their instants repeat, a multiple of the candidates.
+    once = F.transform(F.array_distinct("_read"), lambda r: r["us"])
+    records = dates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.when(F.size("_read") > 0, once).alias("us")))).alias("_tried"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in records.dtypes)
+    told = records.mapInArrow(_histories(prior, change), f"{schema}, _chosen array<int>, violations long")
+    names = F.array(*[F.lit(z) for z in candidates])
+    history = F.transform(
+        F.arrays_zip("_tried", "_chosen"),
+        lambda x: F.struct(x["_tried"]["o"].alias("order"), F.get(names, x["_chosen"]).alias("zone"), F.get(x["_tried"]["us"], x["_chosen"]).alias("utc_us")),
     )
-    best = counted.groupBy(key).agg(F.min(F.struct(F.coalesce("_bad", F.lit(0)).alias("bad"), F.col("_try.i").alias("i"), F.col("_try.z").alias("z"), F.coalesce("_n", F.lit(0)).alias("n"))).alias("b"))
-    return best.select(key, F.col("b.z").alias("zone"), F.col("b.bad").cast("long").alias("violations"), F.col("b.n").cast("long").alias("dates"))
+    return told.select(*keys, history.alias("history"), "violations", F.size(F.filter("_chosen", lambda c: c.isNotNull())).cast("long").alias("dates"))
 
 
 def question_stamps(questions: DataFrame) -> DataFrame:
-    """(record_id, stamp_no, written, time_zone, locale): one row for each entry of ``haystack_dates``."""
-    return questions.select(F.col("question_id").alias("record_id"), "time_zone", "locale", F.posexplode("haystack_dates").alias("pos", "written")).select(
-        "record_id", (F.col("pos") + 1).cast("int").alias("stamp_no"), "written", "time_zone", "locale"
-    )
+    """(record_id, stamp_no, written, time_zone, locale, row): one row for each entry of ``haystack_dates``; ``row`` numbers the records."""
+    rows = questions.select(F.col("question_id").alias("record_id"), "time_zone", "locale", F.monotonically_increasing_id().alias("row"), F.posexplode("haystack_dates").alias("pos", "written"))
+    return rows.select("record_id", (F.col("pos") + 1).cast("int").alias("stamp_no"), "written", "time_zone", "locale", "row")
 
 
 def sample_stamps(samples: DataFrame) -> DataFrame:
     """The same for the ``session_N_date_time`` keys of the conversation objects; texts that are no JSON object give no rows."""
     entries = samples.select(
-        F.col("sample_id").alias("record_id"), "time_zone", "locale", F.explode(F.from_json("conversation", "map<string,string>")).alias("name", "written")
+        F.col("sample_id").alias("record_id"), "time_zone", "locale", (-1 - F.monotonically_increasing_id()).alias("row"), F.explode(F.from_json("conversation", "map<string,string>")).alias("name", "written")
     )
     number = F.regexp_extract("name", r"^session_(\d+)_date_time$", 1).try_cast("int")
-    return entries.where(number.isNotNull()).select("record_id", number.alias("stamp_no"), "written", "time_zone", "locale")
+    return entries.where(number.isNotNull()).select("record_id", number.alias("stamp_no"), "written", "time_zone", "locale", "row")
 
 
-def found_stamps(questions: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every date of both tables that denotes an instant."""
+def found_stamps(questions: DataFrame, samples: DataFrame, zones: list[str]) -> DataFrame:
+    """Every date of both tables that denotes an instant; records without a zone get the history of ``zones`` that fits them best."""
     stamps = question_stamps(questions).unionByName(sample_stamps(samples))
-    return normalise_timestamps(stamps, "written", "locale", "time_zone").where("utc_us IS NOT NULL").select("record_id", "stamp_no", "utc_us")
+    known = normalise_timestamps(stamps.where("time_zone IS NOT NULL"), "written", "locale", "time_zone").select("record_id", "stamp_no", "utc_us")
+    guessed = estimate_zones(stamps, ["record_id", "row"], "stamp_no", "written", "locale", "time_zone", zones)
+    guessed = guessed.select("record_id", F.inline("history")).select("record_id", F.col("order").alias("stamp_no"), "utc_us")
+    return known.unionByName(guessed).where("utc_us IS NOT NULL")

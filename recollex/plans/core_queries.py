@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
-from recollex.operators import dedup, evaluation, fusion, graph, maintenance, retrieval, store
+from recollex.operators import dedup, evaluation, graph, maintenance, retrieval, store
 from recollex.sources import text_files
 from recollex.streaming import activity
 
@@ -71,9 +71,11 @@ def o06_pinned(spark, sf_dir):
     return _live(_t(spark, sf_dir, "memories")).where("pinned").select("id")
 
 
-@query(f"SELECT id, access_count FROM memories WHERE NOT coalesce(obsolete, false) AND {_AS_OF_US} - epoch_us(created_at) > 7 * 86400000000")
+@query(f"SELECT id, access_count FROM memories WHERE NOT coalesce(obsolete, false) AND {_AS_OF_US} - epoch_us(created_at) > 7 * 86400000000 ORDER BY access_count NULLS FIRST, created_at, id LIMIT 5000")
 def o08_old_memories(spark, sf_dir):
-    return _live(_t(spark, sf_dir, "memories")).where(F.unix_micros(_as_of()) - F.unix_micros("created_at") > 7 * 86_400_000_000).select("id", "access_count")
+    """The first 5 000 candidates for fading: least read, then oldest."""
+    old = _live(_t(spark, sf_dir, "memories")).where(F.unix_micros(_as_of()) - F.unix_micros("created_at") > 7 * 86_400_000_000)
+    return old.orderBy("access_count", "created_at", "id").limit(5000).select("id", "access_count")
 
 
 @query("SELECT id FROM memories WHERE list_has_all(coalesce(tags, []), ['cache'])")
@@ -135,9 +137,11 @@ def o120_by_project(spark, sf_dir):
     return counted.join(projects, "project_id").groupBy("name").agg(F.sum("c").alias("n"))
 
 
-@query("SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM memories GROUP BY 1")
+@query("SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM memories WHERE epoch_us(TIMESTAMP '2025-06-01 00:00:00') - epoch_us(created_at) BETWEEN 0 AND 7 * 86400000000 GROUP BY 1")
 def o121_daily(spark, sf_dir):
-    return _t(spark, sf_dir, "memories").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """Memories a day over the seven days before a given instant, the end of the data."""
+    back = F.unix_micros(F.lit("2025-06-01 00:00:00").cast("timestamp")) - F.unix_micros("created_at")
+    return _t(spark, sf_dir, "memories").where(back.between(0, 7 * 86_400_000_000)).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT project_id, max(epoch_us(last_accessed)) AS last_us, CAST(sum(coalesce(access_count, 0)) AS BIGINT) AS heat FROM memories GROUP BY project_id")
@@ -182,7 +186,7 @@ def o80_strength(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT id, unnest(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) AS w FROM memories WHERE content IS NOT NULL),
+    """WITH w AS (SELECT id, unnest(list_filter(string_split_regex(lower(content), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '')) AS w FROM memories WHERE content IS NOT NULL),
        h AS (SELECT id, md5_number_lower(w) AS b, md5(w) AS m FROM w),
        v AS (SELECT id, CAST(concat('0x', m[15:16], m[13:14], m[11:12], m[9:10], m[7:8], m[5:6], m[3:4], m[1:2]) AS UBIGINT) AS b FROM h),
        c AS (SELECT id, i, 2 * sum((b >> i) & 1) > count(*) AS bit FROM v, range(64) r(i) GROUP BY id, i),
@@ -259,37 +263,6 @@ def o64_trigram(spark, sf_dir):
     return found.select("question_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(
-    _BM25 + ", " + _TRI + """, r AS (SELECT question_id, id, sum(w) AS score FROM (
-         SELECT question_id, id, 1.0::DOUBLE / (60 + rank) AS w FROM b WHERE rank <= 30 UNION ALL SELECT question_id, id, 0.3::DOUBLE / (60 + rank) FROM z WHERE rank <= 30) GROUP BY question_id, id)
-       SELECT question_id, id, round(score, 9) AS score FROM r"""
-)
-def o90_rrf(spark, sf_dir):
-    return _fused(spark, sf_dir).withColumn("score", F.round("score", 9))
-
-
-def _fused(spark, sf_dir) -> DataFrame:
-    m = _t(spark, sf_dir, "memories")
-    q = _questions(spark, sf_dir)
-    lexical = retrieval.bm25(q, "question_id", "question", m.select("id", "content"), "id", "content", 30)
-    fuzzy = retrieval.trigram_matches(q, "question_id", "question", m.select("id", "subject"), "id", "subject", 0.1, 30)
-    return fusion.weighted_rrf([(lexical, 1.0), (fuzzy, 0.3)], "question_id", "id")
-
-
-@query()
-def o102_recall(spark, sf_dir):
-    """Part of the recall pipeline for every question: fusion of BM25 and trigrams, decay, word agreement, recency, exchanges, diversity; ten a question.  README lists what is left out."""
-    m = _live(_t(spark, sf_dir, "memories")).select("id", "content", "session_id", "last_accessed", "storage_strength", "created_at", "tags")
-    ordinals = o128_session_ordinals(spark, sf_dir).groupBy("session_id").agg(F.max("session_ordinal").alias("ordinal"))
-    pool = _fused(spark, sf_dir).join(_questions(spark, sf_dir), "question_id").join(m, "id").join(ordinals, "session_id", "left")
-    r = scores.retrievability(F.col("last_accessed"), F.col("storage_strength").cast("double"), _as_of())
-    pool = pool.withColumn("score", F.col("score") * scores.decay_boost(r))
-    pool = fusion.keyword_rerank(pool, "question", "content")
-    pool = fusion.recency_boost(pool, "question_id", "ordinal")
-    pool = fusion.turn_pair_boost(pool, "question_id", "content", [F.desc("score"), F.asc("id")])
-    return fusion.diversify(pool, "question_id", "id", "content", "session_id", 10).withColumn("score", F.round("score", 9))
-
-
 @query(
     """SELECT question_id, regexp_matches(question, '(?i)\\b(?:how\\s+many|how\\s+much|count(?:ed)?|total(?:\\s+number)?(?:\\s+of)?|number\\s+of|sum\\s+of|tally|aggregate|all\\s+(?:the\\s+)?(?:times?|instances?|occasions?|events?))\\b') AS counting,
        len(list_filter(regexp_extract_all(question, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{3,}'))) AS words FROM lme_questions"""
@@ -299,12 +272,6 @@ def o70_intents(spark, sf_dir):
     return _questions(spark, sf_dir).select("question_id", text.is_counting(F.col("question")).alias("counting"), F.size(words).cast("long").alias("words"))
 
 
-@query()
-def o69_vague_questions(spark, sf_dir):
-    q = F.col("question")
-    return _questions(spark, sf_dir).select("question_id", text.is_vague(q).alias("vague"), text.wants_recent(q).alias("recent"), text.asks_interval(q).alias("interval"), text.keyword_weight(q, 0.75).alias("keyword_weight"))
-
-
 @query("SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(content, '\\[Date:\\s*(\\d{4}-\\d{2}-\\d{2})\\]', 1), '') AS DATE), CAST(created_at AT TIME ZONE 'UTC' AS DATE))::VARCHAR AS day FROM memories")
 def o171_memory_dates(spark, sf_dir):
     return _t(spark, sf_dir, "memories").select("id", text.memory_date(F.col("content"), F.col("tags"), F.col("created_at")).cast("string").alias("day"))
@@ -437,9 +404,3 @@ def o162_metrics(spark, sf_dir):
     relevant = r.select("query_id", "memory_id", by("k").alias("n")).where("n <= 5").select("query_id", "memory_id", F.lit(1.0).alias("gain"))
     m = evaluation.ranking_metrics(run, relevant, "query_id", "memory_id", 10)
     return m.select("query_id", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "ndcg")], "any_hit", "all_hit")
-
-
-@query()
-def o165_answer_f1(spark, sf_dir):
-    q = _t(spark, sf_dir, "lme_questions")
-    return q.select("question_id", F.round(evaluation.token_f1(F.col("question"), F.col("answer")), 9).alias("f1"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recollex.functions import features, text
-from recollex.operators import context, dedup, fulltext, fusion, graph, refine, remember, retrieval, store
-from recollex.plans.core_queries import _COS, _EDGES, _as_of, _edges, _fused, _questions, _t
+from recollex.functions import features
+from recollex.operators import context, fulltext, graph, refine, remember, retrieval, store
+from recollex.plans.core_queries import _COS, _EDGES, _edges, _t
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,14 +68,6 @@ def o58_embedded_memories(spark, sf_dir):
     return _t(spark, sf_dir, "memories").select("id", features.hashing_embedder()(F.col("content")).alias("embedding"))
 
 
-@query()
-def o59_maxsim(spark, sf_dir):
-    """Late interaction of all vectors of each label with all those of the next label."""
-    e = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("a"), "vec_id", "embedding")
-    scored = retrieval.maxsim_scores(e, e.withColumn("a", F.col("a") - 1), "a", "vec_id", "embedding")
-    return scored.select("a", (F.col("a") + 1).alias("b"), F.round("score", 6).alias("score"))
-
-
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> ''))"
 
 
@@ -88,7 +80,8 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+')
 def o63_fulltext(spark, sf_dir):
     m = _t(spark, sf_dir, "memories").select("id", "subject", "content")
     q = m.where("subject IS NOT NULL").select(F.col("subject").alias("q")).distinct().withColumn("words", F.col("q"))
-    found = fulltext.fulltext_matches(q, "q", "words", m, "id", {"subject": "A", "content": "D"}, 20)
+    vectors = fulltext.text_vectors(m, ["id"], {"subject": "A", "content": "D"}, stemmed=False)
+    found = fulltext.search(q, "q", "words", vectors, "id", 20, stemmed=False)
     return found.select("q", "id", F.round("score", 6).alias("score"))
 
 
@@ -97,68 +90,6 @@ def o65_date_terms(spark, sf_dir):
     return _t(spark, sf_dir, "memories").select("id", features.date_terms(F.col("content")).alias("terms"))
 
 
-@query()
-def o76_preference_terms(spark, sf_dir):
-    return _t(spark, sf_dir, "memories").select("id", features.preference_terms(F.col("content")).alias("terms"))
-
-
-@query()
-def o75_proper_nouns(spark, sf_dir):
-    return _t(spark, sf_dir, "memories").select("id", text.proper_nouns(F.col("content")).alias("nouns"))
-
-
-@query()
-def o170_divergent_duplicates(spark, sf_dir):
-    """Pairs of classes of memories whose fingerprints are near or equal, and whether their distinctive words differ all the same."""
-    return dedup.divergent_pairs(dedup.fingerprint_classes(_t(spark, sf_dir, "memories"), "id", "content"))
-
-
-@query()
-def o170_duplicate_classes(spark, sf_dir):
-    """The class of every memory in ``o170_divergent_duplicates``."""
-    return dedup.fingerprint_classes(_t(spark, sf_dir, "memories"), "id", "content").select("id", "class", "simhash")
-
-
-def _pool(spark, sf_dir) -> DataFrame:
-    m = _t(spark, sf_dir, "memories").select("id", "content", "tags", "created_at")
-    return _fused(spark, sf_dir).join(_questions(spark, sf_dir), "question_id").join(m, "id")
-
-
-@query()
-def o85_entity_ranks(spark, sf_dir):
-    return context.ranked(_pool(spark, sf_dir), "question_id", "id", context.entity_overlap(F.col("question"), F.col("content")))
-
-
-@query()
-def o86_date_ranks(spark, sf_dir):
-    pool = _pool(spark, sf_dir).withColumn("day", text.memory_date(F.col("content"), F.col("tags"), F.col("created_at")))
-    return context.ranked(pool, "question_id", "id", context.date_nearness(F.col("day"), F.to_date(_as_of())))
-
-
-@query()
-def o100_temporal_boost(spark, sf_dir):
-    pool = _pool(spark, sf_dir).withColumn("day", text.memory_date(F.col("content"), F.col("tags"), F.col("created_at")))
-    reference = F.max("day").over(Window.partitionBy("question_id"))
-    pool = pool.withColumn("_ref", reference).withColumn("_target", F.coalesce(text.target_date(F.col("question"), F.col("_ref")), F.col("_ref")))
-    return fusion.temporal_boost(pool, "day", F.col("_target"), F.col("_ref")).select("question_id", "id", F.round("score", 9).alias("score"))
-
-
-@query()
-def o142_prompt_lines(spark, sf_dir):
-    pool = _pool(spark, sf_dir).where("content IS NOT NULL")
-    return context.within_budget(pool, "question_id", [F.desc("score"), F.asc("id")], "content", 2000).select("question_id", "id", "line")
-
-
-@query("SELECT (SELECT count(*) FROM projects) AS projects, (SELECT count(*) FROM memories) AS memories, (SELECT count(*) FROM import_chunks) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents) AS documents")
-def o118_table_counts(spark, sf_dir):
-    names = {"projects": "projects", "memories": "memories", "chunks": "import_chunks", "vectors": "embeddings", "documents": "documents"}
-    out = None
-    for alias, table in names.items():
-        one = _t(spark, sf_dir, table).agg(F.count(F.lit(1)).alias("n")).select(F.lit(alias).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out.agg(*[F.sum(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])
-
-
 @query("SELECT project_id, max(n) AS n, arg_max(kind, (n, kind)) AS kind FROM (SELECT project_id, lower(trim(kind)) AS kind, count(*) AS n FROM memories WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY project_id")
 def o126_main_kind(spark, sf_dir):
     n = _t(spark, sf_dir, "memories").where("kind IS NOT NULL").groupBy("project_id", F.lower(F.trim("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
@@ -211,38 +142,6 @@ def o60_maxsim_rerank(spark, sf_dir):
     return refine.maxsim_rerank(both, "query", "vec_id", "qt", "dt").select("query", "vec_id", F.round("score", 9).alias("score"))
 
 
-@query()
-def o97_context_boost(spark, sf_dir):
-    m = _t(spark, sf_dir, "memories").select("id", "content", "session_id", F.unix_micros("created_at").alias("ordinal"))
-    pool = _fused(spark, sf_dir).join(_questions(spark, sf_dir), "question_id").join(m, "id")
-    names = refine.context_entities(pool, "question_id", "session_id", "ordinal", "content", "id")
-    lifted = refine.context_boost(pool, names, "question_id", "question", "content")
-    return refine.preference_boost(lifted, "question_id", "question", "content", [F.desc("score"), F.asc("id")]).select("question_id", "id", F.round("score", 9).alias("score"))
-
-
-@query()
-def o98_feedback_search(spark, sf_dir):
-    """A second lexical search with the words of the first results added, fused with a low weight."""
-    m = _t(spark, sf_dir, "memories").select("id", "content")
-    first = retrieval.bm25(_questions(spark, sf_dir), "question_id", "question", m, "id", "content", 30)
-    terms = refine.feedback_terms(first.where("rank <= 5").join(m, "id"), "question_id", "content")
-    wider = _questions(spark, sf_dir).join(terms, "question_id").select("question_id", F.concat_ws(" ", "question", F.array_join("terms", " ")).alias("question"))
-    second = retrieval.bm25(wider, "question_id", "question", m, "id", "content", 30)
-    return fusion.weighted_rrf([(first, 1.0), (second, 0.3)], "question_id", "id").withColumn("score", F.round("score", 9))
-
-
-@query()
-def o105_date_filter(spark, sf_dir):
-    pool = _pool(spark, sf_dir).withColumn("day", text.memory_date(F.col("content"), F.col("tags"), F.col("created_at")))
-    return refine.date_filter(pool, "question_id", "day", F.lit("2025-01-01").cast("date"), days=120, least=3).select("question_id", "id")
-
-
-@query()
-def o106_access_effects(spark, sf_dir):
-    ranks = context.ranked(_fused(spark, sf_dir), "question_id", "id", F.round("score", 9))
-    return refine.access_effects(ranks, _t(spark, sf_dir, "memories"), "id", _as_of()).drop("last_accessed")
-
-
 @query(
     """SELECT p.id AS project_id, p.name, count(m.id) AS memories, count(m.id) FILTER (NOT coalesce(m.obsolete, false)) AS live,
        arg_max(m.session_id, (m.created_at, m.id)) FILTER (m.session_id IS NOT NULL) AS last_session FROM projects p LEFT JOIN memories m ON m.project_id = p.id GROUP BY 1, 2"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,13 +13,23 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests, local runs)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    A folder of our own, deleted at exit, is used only where the setting is
+    absent and all tasks run in the driver's process (tests, local runs); on a
+    cluster its absence is an error, as executors share no local folder.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="recollex-")
+        folder = tempfile.mkdtemp(prefix="recollex-")
+        atexit.register(shutil.rmtree, folder, True)
+        _OWN[app] = f"file://{folder}"
     return _OWN[app]
 
 

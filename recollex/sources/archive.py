@@ -46,3 +46,11 @@ def read_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         columns = {c: (kind, F.lit(v)) for c, (kind, v) in ADDED.get(r["table"], {}).items()}
         out[r["table"]] = upgraded(df, columns) if columns else df
     return out
+
+
+def list_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """``(name, created_us, format_version, total_rows)`` of the archives below ``folder``, from their manifests only; newest first."""
+    rows = spark.read.schema("table string, n_rows long, format_version int, created_us long").json(f"{folder.rstrip('/')}/archive-*/_manifest")
+    name = F.regexp_extract(F.input_file_name(), r"/(archive-[^/]*)/_manifest/", 1)
+    told = rows.withColumn("name", name).groupBy("name").agg(F.max("created_us").alias("created_us"), F.max("format_version").alias("format_version"), F.sum("n_rows").alias("total_rows"))
+    return told.orderBy(F.desc("name"))

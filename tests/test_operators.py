@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions import scores, text
 from recollex.operators import dedup, evaluation, fusion, graph, maintenance, retrieval, store
-from recollex.plans import more_queries
+from recollex.plans import store_queries
 from recollex.sources import text_files
 from recollex.streaming import activity
 
@@ -66,9 +66,10 @@ def test_rrf_and_near_ties(spark):
     lists = [spark.createDataFrame([("q", x, i + 1) for i, x in enumerate(xs)], "q string, r string, rank int") for xs in ("abc", "bda")]
     got = {r.r: r.score for r in fusion.weighted_rrf([(x, 1.0) for x in lists], "q", "r").collect()}
     assert got["b"] == pytest.approx(1 / 62 + 1 / 61) and got["b"] > got["a"] and len(got) == 4
-    df = spark.createDataFrame([("q", "x", 0.1, 0), ("q", "y", 0.098, 5), ("q", "z", 0.08, 9)], "q string, r string, score double, k int")
-    ranks = {r.r: r["rank"] for r in fusion.near_tie_reorder(df, "q", [F.desc("score"), F.asc("r")], [F.col("k")]).collect()}
-    assert ranks == {"y": 1, "x": 2, "z": 3}
+    df = spark.createDataFrame([("q", "x", 0.1, 1, 0), ("q", "y", 0.098, 2, 5), ("q", "z", 0.08, 3, 9), ("q", "u", 0.099, 4, 9)], "q string, r string, score double, rank int, k int")
+    ranks = {r.r: r["rank"] for r in fusion.near_tie_reorder(df, "q", "rank", [F.col("k")]).collect()}
+    # Only the leading rows may swap: u is near the top, but behind a row that isn't.
+    assert ranks == {"y": 1, "x": 2, "z": 3, "u": 4}
 
 
 def test_diversify_without_trade_keeps_order(spark):
@@ -128,7 +129,7 @@ def test_maxsim_meets_every_vector(spark):
 def test_maxsim_query_scores_whole_labels(spark, tmp_path):
     rows = [(20 * i, label, [1.0 if i == 30 else 0.1, 0.5]) for i in range(31) for label in (0, 1)]
     spark.createDataFrame([(2 * k + g, g, v) for k, g, v in rows], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    (row,) = more_queries.o59_maxsim(spark, str(tmp_path)).collect()
+    (row,) = store_queries.o59_maxsim(spark, str(tmp_path)).collect()
     assert row.score == pytest.approx(30 * (0.1 + 0.25) + 1.25)
 
 
@@ -138,9 +139,9 @@ def test_every_text_of_a_fingerprint_is_judged(spark, tmp_path):
     texts = [base + "zebra yakk", base + "yakk zebra", base + "lion tiger", base, None, "something else that no other text here repeats at all"]
     rows = [(i, t, 7 if i % 2 else None) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "id long, content string, simhash long").write.parquet(str(tmp_path / "memories.parquet"))
-    classes = {r.id: r["class"] for r in more_queries.o170_duplicate_classes(spark, str(tmp_path)).collect()}
+    classes = {r.id: r["class"] for r in store_queries.o170_duplicate_classes(spark, str(tmp_path)).collect()}
     assert classes == {0: 0, 1: 0, 2: 2, 3: 3, 5: 5}
-    got = {(r.class_a, r.class_b): (r.distance, r.diverge) for r in more_queries.o170_divergent_duplicates(spark, str(tmp_path)).collect()}
+    got = {(r.class_a, r.class_b): (r.distance, r.diverge) for r in store_queries.o170_divergent_duplicates(spark, str(tmp_path)).collect()}
     assert got == {(0, 2): (0, True), (0, 3): (0, False), (2, 3): (0, False)}
 
 
@@ -206,23 +207,88 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_date_forms(spark):
     from recollex.functions import features
 
-    forms = features.dates_in("We met on May 1st, 2022 and 03/04/2023, not 2024-02-30.")
-    assert {"2022-05-01", "may 1 2022", "1 may 2022", "5/1/2022", "1/5/2022", "may 2022", "2023-03-04", "2023-04-03"} <= set(forms) and not any(f.startswith("2024") for f in forms)
-    assert features.dates_in(None) == features.dates_in("") == []
-    df = spark.createDataFrame([("I prefer dark roast coffee. It rained.",), (None,), ("",)], "t string")
-    assert [r[0] for r in df.select(features.preference_terms(F.col("t"))).collect()][:1] == [["prefer", "dark", "roast", "coffee"]]
+    texts = ["We met on May 1st, 2022 and 03/04/2023.", "two  Weeks ago and 2 jan 2022", "2024-13-01, 1 may 1700", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", features.date_terms(F.col("t"), None).alias("d")).collect()}
+    assert {"2022-05-01", "may 1 2022", "1 may 2022", "5/1/2022", "1/5/2022", "may 2022", "2023-03-04", "2023-04-03"} <= set(got[0]) and "may 1" not in got[0]
+    assert got[1] == ["2022-01-02", "january 2 2022", "jan 2 2022", "2 january 2022", "2 jan 2022", "1/2/2022", "2/1/2022", "january 2022", "two weeks ago"]
+    assert got[2] == got[3] == got[4] == []
+    many = spark.createDataFrame([(" ".join(f"2024-01-{d:02d}" for d in range(1, 29)),)], "t string")
+    assert len(many.select(features.date_terms(F.col("t"))).first()[0]) == 40
+    df = spark.createDataFrame([("I prefer Dark roast coffee, dark. It rained.",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(features.preference_terms(F.col("t"))).collect()] == [["prefer", "Dark", "roast", "coffee"], [], []]
     assert df.select(features.hashing_embedder(8)(F.col("t")).alias("e")).where("e IS NOT NULL").count() == 1
 
 
-def test_web_search(spark):
+def test_distinctive_words_tell_red_from_blue(spark):
+    from recollex.functions import features
+
+    df = spark.createDataFrame([("I like the red one", "I like the blue one"), ("PostgreSQL on port 5432", "database uses port 5432"), ("", "red"), (None, "red")], "a string, b string")
+    words = [features.distinctive_words(F.col(c)) for c in "ab"]
+    assert [r[0] for r in df.select(F.coalesce(dedup.nouns_diverge(*words), F.lit(False))).collect()] == [True, False, False, False]
+    assert df.select(features.context_words(F.lit("The PowerBank has USB ports, a powerbank for Lisbon and iPads"))).first()[0] == ["PowerBank", "USB", "ports", "Lisbon", "iPads"]
+
+
+def test_stems_of_the_published_sample():
+    from recollex.functions.stemming import lexemes, stem
+
+    # Words and stems of the algorithm's published sample vocabulary.
+    told = "consigned consign consistency consist consolation consol consolidating consolid conspiracy conspiraci constables constabl knackeries knackeri kneeling kneel knightly knight knives knive knitted knit generously generous hoping hope sky sky cries cri by by"
+    words = told.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
+    assert lexemes("The databases are running, été!") == ["_", "databas", "_", "run", "été"] and lexemes("") == []
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_web_search(spark, stemmed):
     from recollex.operators import fulltext
 
-    rows = spark.createDataFrame([(1, "red car", "a fast red car"), (2, None, "the blue car is fast"), (3, "bike", "fast bike, not a car red"), (4, None, None)], "id int, subject string, content string").repartition(2)
-    q = spark.createDataFrame([("and", "fast car"), ("phrase", '"red car"'), ("or", "blue or bike"), ("not", "car -blue"), ("none", "--"), ("null", None)], "q string, t string")
+    rows = spark.createDataFrame([(1, "red car", "a fast red car", "p"), (2, None, "the blue car is fast", "q"), (3, "bike", "fast bike, not a car red", "p"), (4, None, None, "p")], "id int, subject string, content string, g string").repartition(2)
+    q = spark.createDataFrame(
+        [("and", "fast car", None), ("phrase", '"red car"', None), ("or", "blue or bike", None), ("not", "car -blue", None), ("none", "--", None), ("null", None, None), ("own", "fast", "q"), ("barred", 'car -"red car"', None), ("unknown", "zebra car", None), ("cars", "CARS", None)],
+        "q string, t string, g string",
+    )
+    vectors = fulltext.text_vectors(rows, ["id", "g"], {"subject": "A", "content": "D"}, stemmed=stemmed)
     got = {}
-    for r in fulltext.fulltext_matches(q, "q", "t", rows, "id", {"subject": "A", "content": "D"}, 10).orderBy("rank").collect():
+    for r in fulltext.search(q, "q", "t", vectors, "id", 10, group="g", stemmed=stemmed).orderBy("q", "rank").collect():
         got.setdefault(r.q, []).append(r.id)
-    assert got == {"and": [1, 2, 3], "phrase": [1], "or": [3, 2], "not": [1, 3]}
+    expected = {"and": [1, 2, 3], "phrase": [1], "or": [3, 2], "not": [1, 3], "own": [2], "barred": [2, 3]}
+    assert got == (expected | {"cars": [1, 2, 3]} if stemmed else expected)
+    assert fulltext.search(q.limit(0), "q", "t", vectors, "id", 10, group="g", stemmed=stemmed).count() == 0
+
+
+def test_answers_metrics_and_ids(spark):
+    from recollex.operators import evaluation
+
+    df = spark.createDataFrame([("The cat, and a dog.", "cat dog"), ("1,000 rows", "1000 rows"), ("", ""), ("x", "")], "p string, g string")
+    assert [r[0] for r in df.select(evaluation.token_f1(F.col("p"), F.col("g"))).collect()] == [pytest.approx(0.8), 1.0, 1.0, 0.0]
+    run = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3), ("z", "a", 1)], "q string, r string, rank int")
+    relevant = spark.createDataFrame([("q", "b"), ("q", "c"), ("q", "c"), ("z", "x")], "q string, r string")
+    got = {r.q: (r.recall_any, r.recall_all, round(r.ndcg, 6)) for r in evaluation.retrieved_metrics(run, relevant, "q", "r", 3).collect()}
+    assert got == {"q": (1.0, 1.0, round((1 / 1.5849625 + 0.5) / (1 + 1 / 1.5849625), 6)), "z": (0.0, 0.0, 0.0)}
+    ids = spark.createDataFrame([("s_1_turn_4", ["D3:7", "D3:9", "x"], '{"first": [58, 3], "n": 4}', "0. One.\n1. Two.\n"), ("s_2", [], None, "A\n\n B ")], "c string, e array<string>, j string, f string")
+    told = ids.select(evaluation.session_of(F.col("c")), evaluation.evidence_sessions(F.col("e")), evaluation.source_ids(F.col("j")), evaluation.numbered_facts(F.col("f"))).collect()
+    assert [tuple(r) for r in told] == [("s_1", ["session_3"], [58, 3, 4], ["One.", "Two."]), ("s_2", [], [], ["A", "B"])]
+
+
+def test_conflicts_and_clusters_stay_in_their_group(spark):
+    """More nearer rows of another group than a row may have neighbours."""
+    rows = [(i, [1.0, i / 10_000], "far", i) for i in range(30)] + [(100 + i, [1.0, 0.001 + i / 1000], "own", i) for i in range(4)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, g string, t int")
+    got = maintenance.clusters(df, "id", "v", "g", "t", least=0.9, neighbours=5).where("g = 'own'").toPandas()
+    assert sorted(got["id"]) == [100, 101, 102, 103]
+
+
+def test_hamming_pairs_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) for b in base * 6} | {0, (1 << 64) - 1}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([*signed, signed[0], None])], "i int, p long")
+    expected = {(min(a, b), max(a, b), bin((a ^ b) & ((1 << 64) - 1)).count("1")) for a in signed for b in signed if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3}
+    assert expected and set(values(dedup.hamming_pairs(df, "i", "p", 3))) == expected
 
 
 def test_archive_round_trip(spark, tmp_path):

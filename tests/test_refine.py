@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from recollex.functions import text
 from recollex.operators import context, refine
 
 
@@ -53,4 +54,4 @@ def test_pool_rankers(spark):
     assert got[:2] == ["a", "b"]
     nearness = spark.sql("SELECT date'2024-01-03' AS d, cast(null AS date) AS n").select(context.date_nearness(F.col("d"), F.lit("2024-01-01").cast("date")), context.date_nearness(F.col("n"), F.lit("2024-01-01").cast("date"))).first()
     assert tuple(nearness) == (-2, -36500)
-    assert spark.sql("SELECT '[user]: a [ASSISTANT]: b' AS c").select(context.is_exchange(F.col("c"))).first()[0] == 1
+    assert spark.sql("SELECT '[user]: a [ASSISTANT]: b' AS c").select(text.is_exchange(F.col("c"))).first()[0] is True

@@ -78,5 +78,24 @@ def test_zone_is_estimated_from_order(spark, zone):
     df = spark.createDataFrame(rows, "k string, n int, us long, fixed boolean")
     local = F.date_format(F.from_utc_timestamp(F.timestamp_micros("us"), zone), "yyyy-MM-dd HH:mm:ss")
     df = df.select("k", "n", F.when(F.col("fixed"), F.concat(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise(local).alias("t"), F.lit("en_GB").alias("l"), F.lit(None).cast("string").alias("z"))
-    best = estimate_zones(df, "k", "n", "t", "l", "z", ["UTC", "Asia/Tokyo", "America/New_York"]).collect()
-    assert [(r.zone, r.violations, r.dates) for r in best] == [(zone, 0, 12)]
+    best = estimate_zones(df, ["k"], "n", "t", "l", "z", ["UTC", "Asia/Tokyo", "America/New_York"]).collect()
+    # A date that is an instant of its own is in any zone.
+    assert [(r.violations, r.dates, {h.zone for h, x in zip(r.history, rows, strict=True) if not x[3]}) for r in best] == [(0, 12, {zone})]
+    assert [h.utc_us for h in best[0].history] == [x[2] for x in rows]
+
+
+def test_history_of_zones_and_the_first_candidate(spark):
+    """A record that moves from one zone to another; records whose order says nothing, or speaks once only against UTC, stay in UTC."""
+    hour, start = 3_600_000_000, us(2024, 5, 1)
+    rows = []
+    for i in range(24):
+        instant, shift = start + i * 2 * hour, 9 if i < 12 else -4
+        rows.append(("moved", i, f"{instant // 1_000_000}" if i % 2 else str(datetime.fromtimestamp(instant / 1e6 + shift * 3600, timezone.utc).replace(tzinfo=None))))
+    rows += [("few", 0, "2024-05-01 10:00:00"), ("few", 1, "2024-05-01 09:00:00Z"), ("none", 0, "someday"), (None, 0, "2024-05-01"), (None, 0, "2024-05-01")]
+    df = spark.createDataFrame([(*r, "en_GB", None, 1) for r in rows], "k string, n int, t string, l string, z string, history int")
+    got = {r.k: r for r in estimate_zones(df, ["k"], "n", "t", "l", "z", ["UTC", "Asia/Tokyo", "America/New_York"]).collect()}
+    assert [h.zone for h in got["moved"].history][2:23:2] == ["Asia/Tokyo"] * 5 + ["America/New_York"] * 6 and got["moved"].violations == 0
+    assert [h.utc_us for h in got["moved"].history] == [start + i * 2 * hour for i in range(24)]
+    assert [h.zone for h in got["few"].history] == ["UTC", "UTC"] and got["few"].violations == 1
+    assert got["none"].dates == 0 and got["none"].history[0].zone is None and got[None].history[0].utc_us == start
+    assert estimate_zones(df.limit(0), ["k"], "n", "t", "l", "z", ["UTC"]).count() == 0
