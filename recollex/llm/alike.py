@@ -48,14 +48,15 @@ def word_hashes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
 
 
-def distinct_sets(df: DataFrame, words: str, *aggregates: Column, rid: Column | None = None) -> DataFrame:
-    """One row ``(rid, words, aggregates...)`` for each distinct non-empty word set, stored, so that ``rid`` doesn't change.
-
-    Equality of sets is that of a 128-bit hash.
-    """
+def word_sets(df: DataFrame, words: str, *aggregates: Column) -> DataFrame:
+    """One row ``(set_hash_1, set_hash_2, words, aggregates...)`` for each distinct non-empty word set; equality of sets is that of a 128-bit hash."""
     keyed = df.where(F.size(words) > 0).withColumns({"_h1": F.xxhash64(words), "_h2": F.xxhash64(F.lit(1), words)})
-    sets = keyed.groupBy("_h1", "_h2").agg(F.any_value(words).alias("words"), *aggregates)
-    return stored(sets.withColumn("rid", F.monotonically_increasing_id() if rid is None else rid).withColumnsRenamed({"_h1": "set_hash_1", "_h2": "set_hash_2"}), "word-sets")
+    return keyed.groupBy(F.col("_h1").alias("set_hash_1"), F.col("_h2").alias("set_hash_2")).agg(F.any_value(words).alias("words"), *aggregates)
+
+
+def distinct_sets(df: DataFrame, words: str, *aggregates: Column) -> DataFrame:
+    """``word_sets`` with a number ``rid``, stored, so that it doesn't change."""
+    return stored(word_sets(df, words, *aggregates).withColumn("rid", F.monotonically_increasing_id()), "word-sets")
 
 
 def common_words(sets: DataFrame, share: float = COMMON_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +95,11 @@ def _sketches(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np
     return low.view(np.int64), (mid << np.uint64(32)).view(np.int64), np.where(n > _LONG, rest, none).view(np.int64)
 
 
-def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int, hot: tuple[np.ndarray, np.ndarray] | None = None):
+def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int, hot: tuple[np.ndarray, np.ndarray] | None = None, whole: bool = False):
     """(key, rid, about, sketch, rest) of every anchor of every text; ``about`` is 2 * size + flag, and 32 bits of the sketch above.
 
     With ``hot``, the (record, key) of crowded anchors, it gives the anchors of
-    three words that replace these.
+    three words that replace these; with ``whole`` one more, of the text as a set.
     """
     n = np.diff(offsets)
     record = np.repeat(np.arange(len(n)), n)
@@ -147,6 +148,9 @@ def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets:
                     anchor = _mixed(one * np.uint64(0xC2B2AE3D27D4EB4F) + two + size_class[i : i + 1].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                     keys.append(_mixed(anchor * np.uint64(0xFF51AFD7ED558CCD) + mixed[third]).view(np.int64))
                     owners.append(np.full(len(third), i))
+    if whole:
+        keys.append(_mixed(np.add.reduceat(_mixed(values), offsets[:-1], dtype=np.uint64)).view(np.int64))
+        owners.append(np.arange(len(n)))
     key = np.concatenate(keys) if keys else np.empty(0, np.int64)
     owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
     return key, rid[owner], (high | (2 * n + flag))[owner], low[owner], rest[owner]
@@ -155,11 +159,12 @@ def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets:
 _ANCHOR = "key long, rid long, about long, sketch long, rest long"
 
 
-def anchors(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], num: int = 7, den: int = 10) -> DataFrame:
+def anchors(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], num: int = 7, den: int = 10, whole: bool = False) -> DataFrame:
     """The anchor table of ``(rid, flag, words)``; it can be kept and appended to, as long as ``common`` stays the same.
 
     With a column ``keys``, the crowded anchors of each text, it gives the
-    anchors of three words that replace these.
+    anchors of three words that replace these; with ``whole`` also one of each
+    text as a set, so that equal sets of two tables meet, however short.
     """
     columns = ["rid", "flag", "words", *(["keys"] if "keys" in sets.columns else [])]
 
@@ -172,7 +177,7 @@ def anchors(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], num: int = 7
             if "keys" in columns:
                 keys, ends = _flat(batch.column("keys"))
                 hot = (np.repeat(np.arange(batch.num_rows), np.diff(ends)), keys)
-            out = anchor_rows(batch.column("rid").to_numpy(), batch.column("flag").to_numpy().astype(np.int64), values, offsets, common, num, den, hot)
+            out = anchor_rows(batch.column("rid").to_numpy(), batch.column("flag").to_numpy().astype(np.int64), values, offsets, common, num, den, hot, whole)
             for at in range(0, len(out[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in out], names=["key", "rid", "about", "sketch", "rest"])
 
@@ -185,21 +190,6 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def fingerprints(sets: DataFrame) -> DataFrame:
-    """Adds ``about`` (32 bits of the sketch above twice the number of words), ``sketch`` and ``rest`` to non-empty word sets."""
-    schema = ", ".join(f"{c} {t}" for c, t in [*sets.dtypes, ("about", "long"), ("sketch", "long"), ("rest", "long")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values, offsets = _flat(batch.column("words"))
-                n = np.diff(offsets)
-                low, high, rest = _sketches(values, offsets[:-1], n)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (high | 2 * n, low, rest))], names=[*batch.schema.names, "about", "sketch", "rest"])
-
-    return sets.mapInArrow(run, schema)
-
-
 def _may_be_alike(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Pairs of positions that the flags, sizes and sketches allow."""
     about_a, about_b = x["about"][a], x["about"][b]

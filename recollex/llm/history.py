@@ -19,18 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.llm.alike import CELL, alike_pairs, anchors, common_words, components, distinct_sets, fingerprints, word_hashes
+from recollex.llm.alike import CELL, alike_pairs, anchors, common_words, components, word_hashes, word_sets
 from recollex.runtime import drop_stored, shared_dir, stored
 
 #: Folders that the block table is cut into by key, and bits of the filter that stands for a batch's keys.
-PARTS, FILTER_BITS = 16, 1 << 25
+PARTS, FILTER_BITS = 4, 1 << 26
 #: Bits of the filter that travel in one row.
 _SLICE = 1 << 20
 #: Rounds in which all texts decide at once; what is then still open is decided in order, component by component.
 ROUNDS = 12
 
-_TEXTS = "rid long, words array<long>, about long, sketch long, rest long"
-_BLOCKS = "part int, key long, rid long"
+_TEXTS = "rid long, words array<long>"
+_BLOCKS = "rid long, about long, sketch long, rest long, keys array<long>, part int"
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +91,14 @@ def _first_accepted(nodes: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) ->
     return state.where("state = 2").select("rid").unionByName(sorted_links.select("group", "after", "before").mapInArrow(_in_order, "rid long"))
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint64) % np.uint64(FILTER_BITS)
+
+
 def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS, bool)
     for batch in batches:
-        bits[batch.column("key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)] = True
+        bits[_places(batch.column("key").to_numpy())] = True
     for at in range(0, FILTER_BITS, _SLICE):
         if bits[at : at + _SLICE].any():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(bits[at : at + _SLICE]).tobytes()])], names=["at", "bits"])
@@ -113,11 +117,35 @@ def key_filter(rows: DataFrame) -> np.ndarray:
     return total
 
 
-def _only(bits: np.ndarray):
+def _by_part(parts: int):
+    """One row for each text and folder that it has keys in, from rows of equal texts together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy() for c in ("key", "rid", "about", "sketch", "rest")}
+            part = (_places(x["key"]) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((x["rid"], part))
+            rid, part = x["rid"][order], part[order]
+            first = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (part[1:] != part[:-1])]) if len(rid) else np.zeros(0, np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rid)].astype(np.int32)), pa.array(x["key"][order]))
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[c][order[first]]) for c in ("rid", "about", "sketch", "rest")], keys, pa.array(part[first])], names=["rid", "about", "sketch", "rest", "keys", "part"])
+
+    return run
+
+
+def _met(bits: np.ndarray):
+    """(key, rid, about, sketch, rest) of the keys that the filter lets through; ``about`` marks them as old."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
-            yield batch.filter(pa.array((bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0))
+            column = batch.column("keys")
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            keys = column.values.to_numpy()[offsets[0] : offsets[-1]]
+            at = _places(keys)
+            hit = np.flatnonzero((bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1))
+            own = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[hit]
+            told = {c: batch.column(c).to_numpy()[own] for c in ("rid", "about", "sketch", "rest")}
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[hit], told["rid"], told["about"] | 1, told["sketch"], told["rest"])], names=["key", "rid", "about", "sketch", "rest"])
 
     return run
 
@@ -125,17 +153,21 @@ def _only(bits: np.ndarray):
 class HistoryIndex:
     """The accepted texts of all batches so far, as tables in a shared folder.
 
-    ``blocks`` (key, text number) lies in ``parts`` folders by key and ``texts``
-    holds fingerprints and words.  ``check`` opens only the folders that the
-    batch has keys in, and of the texts it meets there only the fingerprints;
-    words are read for pairs whose fingerprints fit.  ``append`` adds a batch
-    under a number of its own, which counts once its mark is written, so a
-    failed batch leaves nothing behind that is read.  Choose ``parts`` so that a
-    folder has some 100 MB.  The order of words is fixed when the index is made:
+    ``blocks`` holds the keys and the fingerprint of every text, in ``parts``
+    folders by key, and ``texts`` its words.  ``check`` opens only the folders
+    that the batch has keys in, takes from them the keys that a bitmap of the
+    batch's own lets through, and reads words only for pairs whose fingerprints
+    fit.  Accepted texts are added under a batch number of their own, which
+    counts once its mark is written, so a failed batch leaves nothing behind that
+    is read.  Choose ``parts`` so that a folder has some 100 MB, and batches of at
+    most some millions of texts, which the bitmap is made for (larger ones are as
+    right, but open more).  The order of words is fixed when the index is made:
     any order gives exact results, one from similar texts gives small cells.
     """
 
     def __init__(self, spark: SparkSession, folder: str, num: int = 7, den: int = 10, parts: int = PARTS, cell: int = CELL):
+        if parts < 1 or FILTER_BITS % parts:
+            raise ValueError("parts must be a power of two")
         self.spark, self.folder, self.num, self.den, self.parts, self.cell = spark, folder.rstrip("/"), num, den, parts, cell
 
     def create(self, sample: DataFrame, text: str) -> HistoryIndex:
@@ -174,39 +206,42 @@ class HistoryIndex:
     def texts(self) -> DataFrame:
         return self._table("texts", _TEXTS)
 
-    def blocks(self, keys: DataFrame | None = None) -> DataFrame:
-        """(part, key, rid) of all batches that count; with ``keys`` of the folders they fall in."""
+    def blocks(self, bits: np.ndarray | None = None) -> DataFrame:
+        """The block table of all batches that count; with the bitmap of some keys, of the folders they fall in."""
         blocks = self._table("blocks", _BLOCKS)
-        if keys is None:
+        if bits is None or self.parts == 1:
             return blocks
-        parts = sorted(r["part"] for r in keys.select(self._part(F.col("key")).alias("part")).distinct().collect())
-        return blocks.where(F.col("part").isin(parts))
-
-    def _part(self, key: Column) -> Column:
-        return F.pmod(F.shiftrightunsigned(key, 20), F.lit(self.parts)).cast("int")
+        hit = np.unpackbits(bits).reshape(-1, self.parts).any(axis=0)
+        return blocks.where(F.col("part").isin([int(p) for p in np.flatnonzero(hit)]))
 
     def _keys(self, sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """Every key of every set with its fingerprint: the anchors, and the set as a whole."""
-        fine = anchors(sets, common, self.num, self.den)
-        return fine.unionByName(sets.select(F.xxhash64(F.lit(2), "words").alias("key"), "rid", F.col("about").bitwiseOR(F.col("flag").cast("long")).alias("about"), "sketch", "rest"))
+        return anchors(sets, common, self.num, self.den, whole=True)
 
-    def _sets(self, df: DataFrame, *aggregates: Column) -> DataFrame:
-        """Distinct word sets with fingerprints and numbers that no other batch has."""
+    def _next(self) -> int:
         number = max(self.batches(), default=-1) + 1
         if number >= 1 << 15:
             raise ValueError("too many batches; build the index anew from its texts")
+        return number
+
+    def _sets(self, df: DataFrame, *aggregates: Column) -> DataFrame:
+        """Distinct word sets with numbers that no other batch has."""
         partition = F.when(F.spark_partition_id() < 1 << 15, F.monotonically_increasing_id()).otherwise(F.raise_error(F.lit("a batch may have at most 32768 partitions")))
-        return fingerprints(distinct_sets(df, "words", *aggregates, rid=partition.bitwiseOR(F.lit(number << 48))))
+        return word_sets(df, "words", *aggregates).withColumn("rid", partition.bitwiseOR(F.lit(self._next() << 48)))
 
     def append(self, df: DataFrame, text: str) -> HistoryIndex:
         """Takes over texts that were accepted elsewhere, without checking them."""
-        return self._append(self._sets(df.select(word_hashes(F.col(text)).alias("words"))))
+        number = self._next()
+        return self._add_blocks(self._add_texts(self._sets(df.select(word_hashes(F.col(text)).alias("words"))), number), number)
 
-    def _append(self, sets: DataFrame) -> HistoryIndex:
-        number = max(self.batches(), default=-1) + 1
-        sets.select("rid", "words", "about", "sketch", "rest").write.mode("overwrite").parquet(f"{self.folder}/texts/batch={number}")
-        flagged = sets.withColumn("flag", F.lit(1).cast("byte"))
-        rows = self._keys(flagged, self._common()).select(self._part(F.col("key")).alias("part"), "key", "rid")
+    def _add_texts(self, sets: DataFrame, number: int) -> DataFrame:
+        path = f"{self.folder}/texts/batch={number}"
+        sets.select("rid", "words").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(_TEXTS).parquet(path)
+
+    def _add_blocks(self, texts: DataFrame, number: int) -> HistoryIndex:
+        flagged = texts.select("rid", F.lit(1).cast("byte").alias("flag"), "words")
+        rows = self._keys(flagged, self._common()).mapInArrow(_by_part(self.parts), _BLOCKS)
         rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/blocks/batch={number}")
         self._mark(number)
         return self
@@ -218,44 +253,49 @@ class HistoryIndex:
         one of the batch (by ``key``) which is itself not repeated.  Of equal
         texts the first by key counts, equal keys count as one.
         """
+        number = self._next()
         own = batch.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words"))
-        return self._check(own, self._sets(own, F.min("_id").alias("first")), key)
+        sets = stored(self._sets(own, F.min("_id").alias("first")), "batch-sets")
+        rejected, fate = self._judged(own, sets, key, number)
+        self._add_blocks(self._add_texts(sets.join(rejected, "rid", "left_anti"), number), number)
+        return fate
 
-    def _check(self, own: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    def _judged(self, own: DataFrame, sets: DataFrame, key: str, number: int) -> tuple[DataFrame, DataFrame]:
+        """(rid of the rejected sets, check's result) of a batch of that number."""
         common = self._common()
-        mine = sets.withColumn("flag", F.lit(0).cast("byte"))
+        mine = sets.select("rid", F.lit(0).cast("byte").alias("flag"), "words")
         rows = self._keys(mine, common)
-        old = self.texts()
-        hits = self.blocks(rows).select("key", "rid").mapInArrow(_only(key_filter(rows)), "key long, rid long")
-        met = hits.join(old.select("rid", "about", "sketch", "rest"), "rid").withColumn("about", F.col("about").bitwiseOR(F.lit(1)))
-        universe = mine.select("rid", "flag", "words").unionByName(old.select("rid", F.lit(1).cast("byte").alias("flag"), "words"))
-        pairs = stored(alike_pairs(universe, self.num, self.den, self.cell, common, rows.unionByName(met.select(*rows.columns))), "alike-pairs")
-        first = (max(self.batches(), default=-1) + 1) << 48
-        new = lambda c: F.col(c) >= first
+        bits = key_filter(rows)
+        met = self.blocks(bits).select("rid", "about", "sketch", "rest", "keys").mapInArrow(_met(bits), "key long, rid long, about long, sketch long, rest long")
+        universe = mine.unionByName(self.texts().select("rid", F.lit(1).cast("byte").alias("flag"), "words"))
+        pairs = stored(alike_pairs(universe, self.num, self.den, self.cell, common, rows.unionByName(met)), "alike-pairs")
+        new = lambda c: F.col(c) >= number << 48
         by_history = stored(pairs.where(new("a") != new("b")).select(F.greatest("a", "b").alias("rid")).distinct(), "met-history")
         among = pairs.where(new("a") & new("b"))
         linked = among.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         nodes = linked.join(sets.select("rid", "first"), "rid").join(by_history.withColumn("known", F.lit(True)), "rid", "left").select("rid", "first", F.coalesce("known", F.lit(False)).alias("known"))
         rejected = stored(_first_accepted(nodes, among).unionByName(by_history).distinct(), "rejected")
-        self._append(sets.join(rejected, "rid", "left_anti"))
         fate = sets.join(rejected.withColumn("bad", F.lit(True)), "rid", "left").select("set_hash_1", "set_hash_2", "first", F.coalesce("bad", F.lit(False)).alias("bad"))
         hashed = own.where(F.size("words") > 0).select("_id", F.xxhash64("words").alias("set_hash_1"), F.xxhash64(F.lit(1), "words").alias("set_hash_2"))
-        return hashed.join(fate, ["set_hash_1", "set_hash_2"]).select(F.col("_id").alias(key), (F.col("bad") | (F.col("_id") > F.col("first"))).alias("repeated"))
+        judged = hashed.join(fate, ["set_hash_1", "set_hash_2"]).select(F.col("_id").alias(key), (F.col("bad") | (F.col("_id") > F.col("first"))).alias("repeated"))
+        return rejected, judged
 
 
 def repeated_chunks(chunks: DataFrame, key: str, text: str, history: DataFrame, history_text: str, num: int = 7, den: int = 10, cell: int = CELL, parts: int = PARTS) -> DataFrame:
     """``key`` of the chunks not to be stored again, going through them by ``key``.
 
-    The history is loaded into a ``HistoryIndex`` and the chunks are checked
+    The history is appended to a new ``HistoryIndex`` and the chunks are checked
     against it as one batch, whose order within is kept; so the result is that
-    of going chunk by chunk.  A chunk is repeated if its text is alike to one of
-    ``history`` or to an earlier chunk which is itself not repeated.  Texts
-    without a word (null, blank) are alike to nothing, chunks without a key are
-    left out.  Empty tables give no rows; other columns are ignored.
+    of going chunk by chunk.  As the index ends with this batch, its blocks are
+    not appended (``HistoryIndex.check`` does).  A chunk is repeated if its text
+    is alike to one of ``history`` or to an earlier chunk which is itself not
+    repeated.  Texts without a word (null, blank) are alike to nothing, chunks
+    without a key are left out.  Empty tables give no rows; other columns are
+    ignored.
     """
     index = HistoryIndex(chunks.sparkSession, f"{shared_dir(chunks.sparkSession)}/history-{uuid.uuid4().hex}", num, den, parts, cell)
-    old = index._sets(history.select(word_hashes(F.col(history_text)).alias("words")))
+    old = index._add_texts(index._sets(history.select(word_hashes(F.col(history_text)).alias("words"))), 0)
+    index._create(old)._add_blocks(old, 0)
     own = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words"))
-    index._create(old.select("words").unionByName(own.select("words")))._append(old)
-    drop_stored(old)
-    return index._check(own, index._sets(own, F.min("_id").alias("first")), key).where("repeated").select(key)
+    sets = stored(index._sets(own, F.min("_id").alias("first")), "batch-sets")
+    return index._judged(own, sets, key, 1)[1].where("repeated").select(key)

@@ -199,8 +199,10 @@ def test_a_small_batch_opens_few_folders(spark, tmp_path):
     index = history.HistoryIndex(spark, f"file://{tmp_path}/index", parts=64).create(df, "content").append(df, "content")
     batch = spark.createDataFrame([(1, texts[0].split()[0] + " zeta eta"), (2, "alone")], "k long, content string")
     own = batch.select(alike.word_hashes(F.col("content")).alias("words"), F.col("k").alias("rid"), F.lit(0).cast("byte").alias("flag"))
-    rows = index._keys(alike.fingerprints(own), index._common())
-    everything, opened = index.blocks(), index.blocks(rows)
+    rows = index._keys(own, index._common())
+    everything, opened = index.blocks(), index.blocks(history.key_filter(rows))
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan.replace("isnotnull(part", "part")
     scanned = opened.select("part").distinct().count()
     assert scanned <= rows.select("key").distinct().count() < everything.select("part").distinct().count()
     got = {r.k: r.repeated for r in index.check(batch, "k", "content").collect()}
