@@ -40,18 +40,70 @@ REFINE = 4096
 COMMON_SHARE = 1 / 2000
 _PAIRWISE = 64
 _LONG = 64
+#: Bits of a bitmap that stands for a set of keys, and how many of them travel in one row.
+FILTER_BITS = 1 << 26
+_SLICE = 1 << 20
+
+
+def places(keys: np.ndarray) -> np.ndarray:
+    """The bits of keys in a bitmap."""
+    return _mixed(keys) % np.uint64(FILTER_BITS)
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        bits[places(batch.column("key").to_numpy())] = True
+    for at in range(0, FILTER_BITS, _SLICE):
+        if bits[at : at + _SLICE].any():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(bits[at : at + _SLICE]).tobytes()])], names=["at", "bits"])
+
+
+def _joined_bits(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+    return pa.table({"at": pa.array([keys[0].as_py()], pa.int64()), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()])})
+
+
+def key_filter(rows: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits with one set for every ``key``; it tells nearly all other keys apart and never loses one."""
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.select("key").mapInArrow(_set_bits, "at long, bits binary").groupBy("at").applyInArrow(_joined_bits, "at long, bits binary").toLocalIterator():
+        total[r["at"] // 8 : r["at"] // 8 + _SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return total
+
+
+def is_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = places(keys)
+    return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
+
+
+def only(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``column`` may be among the ``key`` of ``wanted``, by a bitmap; a join that follows has little left to shuffle."""
+    bits = key_filter(wanted.select(F.col(key).alias("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_set(bits, batch.column(column).to_numpy())))
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
 
 
 def word_hashes(text: Column) -> Column:
-    """Distinct words (maximal runs of letters and digits of the lower-cased text) as sorted 64-bit hashes; null text gives null."""
+    """Distinct words (maximal runs of letters and digits of the lower-cased text) as sorted 48-bit hashes; null text gives null."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
+    short = F.lit((1 << 48) - 1).cast("long")
+    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w).bitwiseAND(short))))
+
+
+def set_hashes(words: str) -> dict[str, Column]:
+    """The 128 bits that name a word set."""
+    return {"set_hash_1": F.xxhash64(words), "set_hash_2": F.xxhash64(F.lit(1), words)}
 
 
 def word_sets(df: DataFrame, words: str, *aggregates: Column) -> DataFrame:
     """One row ``(set_hash_1, set_hash_2, words, aggregates...)`` for each distinct non-empty word set; equality of sets is that of a 128-bit hash."""
-    keyed = df.where(F.size(words) > 0).withColumns({"_h1": F.xxhash64(words), "_h2": F.xxhash64(F.lit(1), words)})
-    return keyed.groupBy(F.col("_h1").alias("set_hash_1"), F.col("_h2").alias("set_hash_2")).agg(F.any_value(words).alias("words"), *aggregates)
+    keyed = df if "set_hash_1" in df.columns else df.where(F.size(words) > 0).withColumns(set_hashes(words))
+    return keyed.groupBy("set_hash_1", "set_hash_2").agg(F.any_value(words).alias("words"), *aggregates)
 
 
 def distinct_sets(df: DataFrame, words: str, *aggregates: Column) -> DataFrame:
@@ -139,7 +191,7 @@ def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets:
                 keys.append(pair)
                 owners.append(rec[first])
             else:
-                here = np.flatnonzero(np.isin(_mixed(pair) ^ _mixed(rec[first]), _mixed(hot[1]) ^ _mixed(hot[0])))
+                here = np.flatnonzero(np.isin(_mixed(pair & ((1 << 48) - 1)) ^ _mixed(rec[first]), _mixed(hot[1]) ^ _mixed(hot[0])))
                 for i, one, two in zip(rec[first[here]], keep[first[here]], keep[first[here] + lag], strict=True):
                     # The n - shared + 3 rarest words hold three shared ones, so at least one besides the two of the anchor.
                     third = offsets[i] + np.arange(min(n[i], n[i] - shared[i] + 3))
@@ -151,7 +203,8 @@ def anchor_rows(rid: np.ndarray, flag: np.ndarray, values: np.ndarray, offsets:
     if whole:
         keys.append(_mixed(np.add.reduceat(_mixed(values), offsets[:-1], dtype=np.uint64)).view(np.int64))
         owners.append(np.arange(len(n)))
-    key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+    # 48 bits of a key: a chance meeting costs a comparison, shorter rows save more.
+    key = np.concatenate(keys) & ((1 << 48) - 1) if keys else np.empty(0, np.int64)
     owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
     return key, rid[owner], (high | (2 * n + flag))[owner], low[owner], rest[owner]
 
@@ -331,14 +384,15 @@ def alike_pairs(sets: DataFrame, num: int = 7, den: int = 10, cell: int = CELL,
     met = compared(table, min(REFINE, cell))
     found = met.where("b IS NOT NULL").select("a", "b")
     crowded = met.where("key IS NOT NULL").groupBy(F.col("a").alias("rid")).agg(F.collect_set("key").alias("keys"))
+    crowded = stored(crowded, "crowded")
     if not crowded.isEmpty():
-        finer = anchors(crowded.join(sets.select("rid", "flag", "words"), "rid"), common, num, den)
+        finer = anchors(crowded.join(only(sets.select("rid", "flag", "words"), "rid", crowded, "rid"), "rid"), common, num, den)
         met = compared(finer, cell)
         found = found.unionByName(met.where("b IS NOT NULL").select("a", "b"))
         crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("rid")).distinct()
     pairs = stored(found.distinct(), "candidates")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    words = stored(sets.select("rid", "words").join(needed, "rid"), "candidate-words")
+    words = stored(only(sets.select("rid", "words"), "rid", needed, "rid").join(needed, "rid"), "candidate-words")
     pairs = pairs.join(words.withColumnsRenamed({"rid": "a", "words": "wa"}), "a").join(words.withColumnsRenamed({"rid": "b", "words": "wb"}), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     pairs = pairs.where(shared * (num + den) >= num * (F.size("wa") + F.size("wb"))).select("a", "b")

@@ -19,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollex.llm.alike import CELL, alike_pairs, anchors, common_words, components, word_hashes, word_sets
+from recollex.llm.alike import CELL, FILTER_BITS, alike_pairs, anchors, common_words, components, is_set, key_filter, places, set_hashes, word_hashes, word_sets
 from recollex.runtime import drop_stored, shared_dir, stored
 
-#: Folders that the block table is cut into by key, and bits of the filter that stands for a batch's keys.
-PARTS, FILTER_BITS = 4, 1 << 26
-#: Bits of the filter that travel in one row.
-_SLICE = 1 << 20
+#: Folders that the block table is cut into by key.
+PARTS = 4
 #: Rounds in which all texts decide at once; what is then still open is decided in order, component by component.
 ROUNDS = 12
 
@@ -91,39 +89,13 @@ def _first_accepted(nodes: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) ->
     return state.where("state = 2").select("rid").unionByName(sorted_links.select("group", "after", "before").mapInArrow(_in_order, "rid long"))
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return keys.view(np.uint64) % np.uint64(FILTER_BITS)
-
-
-def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        bits[_places(batch.column("key").to_numpy())] = True
-    for at in range(0, FILTER_BITS, _SLICE):
-        if bits[at : at + _SLICE].any():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(bits[at : at + _SLICE]).tobytes()])], names=["at", "bits"])
-
-
-def _joined_bits(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
-    return pa.table({"at": pa.array([keys[0].as_py()], pa.int64()), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()])})
-
-
-def key_filter(rows: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits with one set for every ``key``; it tells nearly all other keys apart and never loses one."""
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.select("key").mapInArrow(_set_bits, "at long, bits binary").groupBy("at").applyInArrow(_joined_bits, "at long, bits binary").toLocalIterator():
-        total[r["at"] // 8 : r["at"] // 8 + _SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
-    return total
-
-
 def _by_part(parts: int):
     """One row for each text and folder that it has keys in, from rows of equal texts together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = {c: batch.column(c).to_numpy() for c in ("key", "rid", "about", "sketch", "rest")}
-            part = (_places(x["key"]) % np.uint64(parts)).astype(np.int32)
+            part = (places(x["key"]) % np.uint64(parts)).astype(np.int32)
             order = np.lexsort((x["rid"], part))
             rid, part = x["rid"][order], part[order]
             first = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (part[1:] != part[:-1])]) if len(rid) else np.zeros(0, np.int64)
@@ -141,8 +113,7 @@ def _met(bits: np.ndarray):
             column = batch.column("keys")
             offsets = column.offsets.to_numpy().astype(np.int64)
             keys = column.values.to_numpy()[offsets[0] : offsets[-1]]
-            at = _places(keys)
-            hit = np.flatnonzero((bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1))
+            hit = np.flatnonzero(is_set(bits, keys))
             own = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[hit]
             told = {c: batch.column(c).to_numpy()[own] for c in ("rid", "about", "sketch", "rest")}
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[hit], told["rid"], told["about"] | 1, told["sketch"], told["rest"])], names=["key", "rid", "about", "sketch", "rest"])
@@ -150,6 +121,12 @@ def _met(bits: np.ndarray):
     return run
 
 
+def _batch_words(batch: DataFrame, key: str, text: str) -> DataFrame:
+    """``(_id, words, set_hash_1, set_hash_2)`` of the rows with a key and a word, stored."""
+    own = batch.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words")).where(F.size("words") > 0)
+    return stored(own.withColumns(set_hashes("words")), "batch-words")
+
+
 class HistoryIndex:
     """The accepted texts of all batches so far, as tables in a shared folder.
 
@@ -254,7 +231,7 @@ class HistoryIndex:
         texts the first by key counts, equal keys count as one.
         """
         number = self._next()
-        own = batch.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words"))
+        own = _batch_words(batch, key, text)
         sets = stored(self._sets(own, F.min("_id").alias("first")), "batch-sets")
         rejected, fate = self._judged(own, sets, key, number)
         self._add_blocks(self._add_texts(sets.join(rejected, "rid", "left_anti"), number), number)
@@ -276,8 +253,7 @@ class HistoryIndex:
         nodes = linked.join(sets.select("rid", "first"), "rid").join(by_history.withColumn("known", F.lit(True)), "rid", "left").select("rid", "first", F.coalesce("known", F.lit(False)).alias("known"))
         rejected = stored(_first_accepted(nodes, among).unionByName(by_history).distinct(), "rejected")
         fate = sets.join(rejected.withColumn("bad", F.lit(True)), "rid", "left").select("set_hash_1", "set_hash_2", "first", F.coalesce("bad", F.lit(False)).alias("bad"))
-        hashed = own.where(F.size("words") > 0).select("_id", F.xxhash64("words").alias("set_hash_1"), F.xxhash64(F.lit(1), "words").alias("set_hash_2"))
-        judged = hashed.join(fate, ["set_hash_1", "set_hash_2"]).select(F.col("_id").alias(key), (F.col("bad") | (F.col("_id") > F.col("first"))).alias("repeated"))
+        judged = own.select("_id", "set_hash_1", "set_hash_2").join(fate, ["set_hash_1", "set_hash_2"]).select(F.col("_id").alias(key), (F.col("bad") | (F.col("_id") > F.col("first"))).alias("repeated"))
         return rejected, judged
 
 
@@ -296,6 +272,6 @@ def repeated_chunks(chunks: DataFrame, key: str, text: str, history: DataFrame,
     index = HistoryIndex(chunks.sparkSession, f"{shared_dir(chunks.sparkSession)}/history-{uuid.uuid4().hex}", num, den, parts, cell)
     old = index._add_texts(index._sets(history.select(word_hashes(F.col(history_text)).alias("words"))), 0)
     index._create(old)._add_blocks(old, 0)
-    own = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("words"))
+    own = _batch_words(chunks, key, text)
     sets = stored(index._sets(own, F.min("_id").alias("first")), "batch-sets")
     return index._judged(own, sets, key, 1)[1].where("repeated").select(key)
