@@ -90,9 +90,9 @@ def only(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
 
 def word_hashes(text: Column) -> Column:
     """Distinct words (maximal runs of letters and digits of the lower-cased text) as sorted 48-bit hashes; null text gives null."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    short = F.lit((1 << 48) - 1).cast("long")
-    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w).bitwiseAND(short))))
+    short = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1).cast("long"))
+    hashes = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), short)
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, short(F.lit("")))))
 
 
 def set_hashes(words: str) -> dict[str, Column]:

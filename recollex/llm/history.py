@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from recollex.llm.alike import CELL, FILTER_BITS, alike_pairs, anchors, common_words, components, is_set, key_filter, places, set_hashes, word_hashes, word_sets
 from recollex.runtime import drop_stored, shared_dir, stored
 
-#: Folders that the block table is cut into by key.
-PARTS = 4
+#: Folders that the block table is cut into by key; one for some 100 MB.
+PARTS = 1
 #: Rounds in which all texts decide at once; what is then still open is decided in order, component by component.
 ROUNDS = 12
 
@@ -136,7 +136,7 @@ class HistoryIndex:
     batch's own lets through, and reads words only for pairs whose fingerprints
     fit.  Accepted texts are added under a batch number of their own, which
     counts once its mark is written, so a failed batch leaves nothing behind that
-    is read.  Choose ``parts`` so that a folder has some 100 MB, and batches of at
+    is read.  Choose ``parts`` so, and batches of at
     most some millions of texts, which the bitmap is made for (larger ones are as
     right, but open more).  The order of words is fixed when the index is made:
     any order gives exact results, one from similar texts gives small cells.
