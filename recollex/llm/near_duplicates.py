@@ -32,10 +32,15 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, num: int = 7, den:
     )
 
 
-def grouped_pairs(groups: DataFrame, key: str, first: str, second: str) -> DataFrame:
-    """Every two different keys of one group, the smaller first."""
+def grouped_pairs(groups: DataFrame, key: str, first: str, second: str, block: int = 2048) -> DataFrame:
+    """Every two different keys of one group, the smaller first.
+
+    Members of a group are dealt into blocks of about ``block``, and every pair of
+    blocks meets on a key of its own, so that no task has a whole large group.
+    """
     member = groups.select("group_id", F.col(key))
-    sizes = member.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("group_id")
-    member = member.join(sizes, "group_id", "left_semi")
-    one, two = member.withColumnRenamed(key, first), member.withColumnRenamed(key, second)
-    return one.join(two, "group_id").where(F.col(first) < F.col(second)).select(first, second)
+    sizes = member.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("group_id", F.ceil(F.col("_n") / block).cast("int").alias("_b"))
+    dealt = member.join(sizes, "group_id").select("group_id", key, F.pmod(F.xxhash64(key), F.col("_b")).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_other"))
+    one = dealt.select("group_id", F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col(key).alias(first))
+    two = dealt.select("group_id", F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col(key).alias(second))
+    return one.join(two, ["group_id", "_x", "_y"]).where(F.col(first) < F.col(second)).select(first, second)
