@@ -12,20 +12,26 @@ def explore(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "ou
     """``(seed, node, depth)``: nodes reached from each seed in at most ``depth`` (1..5) steps, with the fewest.
 
     ``edges`` is (src, dst), ``seeds`` is (seed).  Each step joins the frontier
-    with the edges and drops what was visited; the visited set is stored, so
-    lineage doesn't grow.  Cycles and repeated edges do no harm, the seed itself
+    with the edges and drops what earlier steps reached; what a step adds is
+    stored once, so lineage doesn't grow and nothing is rewritten.  Cycles and repeated edges do no harm, the seed itself
     is left out, unknown seeds reach nothing.
     """
     depth = min(5, max(1, depth))
     out, back = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     links = {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction].where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    visited = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
+    frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    steps: list[DataFrame] = []
     for step in range(1, depth + 1):
-        frontier = visited.where(F.col("depth") == step - 1).select("seed", F.col("node").alias("src"))
-        met = frontier.join(links, "src").select("seed", F.col("dst").alias("node")).distinct()
-        fresh = met.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(step))
-        visited = stored(visited.unionByName(fresh), "visited")
-    return visited.where("depth > 0")
+        met = frontier.join(links.withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node")).where("seed <> node").distinct()
+        for before in steps:
+            met = met.join(before.select("seed", "node"), ["seed", "node"], "left_anti")
+        fresh = stored(met.withColumn("depth", F.lit(step)), "reached")
+        steps.append(fresh)
+        frontier = fresh.select("seed", "node")
+    out = steps[0]
+    for later in steps[1:]:
+        out = out.unionByName(later)
+    return out
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -306,14 +306,13 @@ def _edges(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE e AS ({_EDGES}), x AS (SELECT DISTINCT src AS seed, src AS node, 0 AS depth FROM e WHERE src LIKE 'p%0'
+    f"""WITH RECURSIVE e AS ({_EDGES}), x AS (SELECT DISTINCT src AS seed, src AS node, 0 AS depth FROM e
          UNION SELECT x.seed, e.dst, x.depth + 1 FROM x JOIN e ON e.src = x.node WHERE x.depth < 3)
        SELECT seed, node, min(depth) AS depth FROM x WHERE node <> seed GROUP BY seed, node"""
 )
 def o137_explore(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    seeds = edges.where("src LIKE 'p%0'").select(F.col("src").alias("seed")).distinct()
-    return graph.explore(edges, seeds, 3)
+    return graph.explore(edges, edges.select(F.col("src").alias("seed")).distinct(), 3)
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")

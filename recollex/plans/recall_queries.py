@@ -249,6 +249,25 @@ def o104_near_ties(spark, sf_dir):
     return recall.untied(_pool(spark, sf_dir).withColumn("rank", F.col("pos"))).select("query", "id", "rank")
 
 
+@query(
+    f"""{_POOL}, f AS (SELECT *, coalesce(abs(day - target) <= 60, false) AS near FROM pool WHERE target IS NOT NULL), g AS (SELECT *, count(*) FILTER (near) OVER (PARTITION BY query) AS kept FROM f)
+        SELECT query, id FROM g WHERE near OR kept < 3"""
+)
+def o105_date_filter(spark, sf_dir):
+    pool = _pool(spark, sf_dir).where("target IS NOT NULL")
+    return refine.date_filter(pool, "query", "day", F.col("target"), days=60, least=3).select("query", "id")
+
+
+@query(
+    f"""{_POOL}, l AS (SELECT query, id, pos, CASE WHEN length(content) > 1500 THEN substring(content, 1, 1497) || '…' ELSE content END AS line FROM pool WHERE content IS NOT NULL),
+        r AS (SELECT *, 2000 - coalesce(sum(length(line) + 1) OVER (PARTITION BY query ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM l)
+        SELECT query, id, CASE WHEN length(line) + 1 <= room THEN line ELSE substring(line, 1, CAST(room AS INTEGER) - 1) END AS line FROM r WHERE length(line) + 1 <= room OR room > 20"""
+)
+def o142_prompt_lines(spark, sf_dir):
+    pool = _pool(spark, sf_dir).where("content IS NOT NULL")
+    return context.within_budget(pool, "query", [F.asc("pos")], "content", 2000).select("query", "id", "line")
+
+
 def _asked(spark, sf_dir) -> DataFrame:
     q = timestamps.normalise_timestamps(_t(spark, sf_dir, "lme_questions"), "question_date", "locale", "time_zone", "_us")
     return q.select(F.col("question_id").alias("query"), "question", "project_id", F.to_date(F.timestamp_micros("_us")).alias("reference"))
