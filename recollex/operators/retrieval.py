@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from recollex.functions.text import rank_tokens, set_similarity, trigrams
@@ -56,38 +56,33 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
     out = None
     for block in _blocks(q, query):
         numbers, asked = _groups(block, group)
-        keys = block.column(query).to_pylist()
+        names = pa.array(block.column(query).to_pylist(), block.schema.field(query).type)
         width = max((len(v) for v in block.column("_v").to_pylist()), default=0)
-        matrix = np.array([v if len(v) == width else [0.0] * width for v in block.column("_v").to_pylist()], np.float64).reshape(len(keys), width)
+        matrix = np.array([v if len(v) == width else [0.0] * width for v in block.column("_v").to_pylist()], np.float64).reshape(len(names), width)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
         live = norm[:, 0] > 0
 
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix, live=live, width=width, numbers=numbers, asked=asked) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix, live=live, width=width, numbers=numbers, asked=asked) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = [i for i, v in enumerate(batch.column(vector).to_pylist()) if v is not None and len(v) == width and width]
-                if not at or not len(keys):
+                fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(vector)), width), False)
+                at = np.flatnonzero(fits.to_numpy(zero_copy_only=False)) if width else np.zeros(0, np.int64)
+                if not len(at) or not len(names):
                     continue
-                v = np.array(batch.column(vector).take(pa.array(at)).to_pylist(), np.float64)
+                v = batch.column(vector).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
                 v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
                 seen = _visible(numbers, asked, batch, group)[:, at]
                 cosines = np.where((size[:, 0] > 0)[None, :] & live[:, None] & seen, matrix @ v.T, -np.inf)
                 if least is not None:
                     cosines[cosines < least] = -np.inf
-                own = batch.column(row).take(pa.array(at)).to_pylist()
-                qs, rs, cs = [], [], []
                 # Rows tied with the k-th stay, so that ties are broken over all partitions.
                 keep = min(k + (1 if skip_self else 0), len(at))
                 bound = np.partition(cosines, len(at) - keep, axis=1)[:, len(at) - keep]
-                for i, j in zip(*np.nonzero((cosines >= bound[:, None] - 1e-12) & np.isfinite(cosines)), strict=True):
-                    qs.append(keys[i])
-                    rs.append(own[j])
-                    cs.append(cosines[i, j])
-                yield pa.RecordBatch.from_pylist([{query: a, "_row": b, "cosine": float(c)} for a, b, c in zip(qs, rs, cs, strict=True)], schema=schema)
+                i, j = np.nonzero((cosines >= bound[:, None] - 1e-12) & np.isfinite(cosines))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch.column(row).take(pa.array(at[j])), pa.array(cosines[i, j])], names=[query, "_row", "cosine"])
 
         kind = StructType([StructField(query, queries.schema[query].dataType), StructField("_row", rows.schema[row].dataType), StructField("cosine", DoubleType())])
-        schema = to_arrow_schema(kind)
         part = rows.select(row, vector, *([group] if group else [])).mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
     if skip_self:
@@ -210,11 +205,10 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
     """
     q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t"), *([F.col(group).alias("_g")] if group else []))
     kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField(name, DoubleType())])
-    schema = to_arrow_schema(kind)
     out = None
     for block in _blocks(q, query):
         numbers, who = _groups(block, group)
-        keys = block.column(query).to_pylist()
+        keys = pa.array(block.column(query).to_pylist(), block.schema.field(query).type)
         lists = [tokens(t) for t in block.column("_t").to_pylist()]
         vocabulary = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws}))}
         counts = np.zeros(len(vocabulary) + 2)
@@ -230,11 +224,12 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
 
         def run(batches: Iterator[pa.RecordBatch], keys=keys, vocabulary=vocabulary, counts=counts, asked=asked, lengths=lengths, numbers=numbers, who=who) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 term, place, count, size = _postings(batch.column(text).to_pylist(), tokens, vocabulary)
                 edges = np.searchsorted(term, np.arange(len(vocabulary) + 1))
                 value = weigh(term, count, size[place], counts)
-                names = batch.column(row).to_pylist()
-                found = []
+                asks, rests, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
                 for at in range(0, len(keys), 64):
                     table = np.zeros((min(64, len(keys) - at), len(size)))
                     for i in range(len(table)):
@@ -247,8 +242,10 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
                     keep = min(k, len(size))
                     bound = np.partition(table, len(size) - keep, axis=1)[:, len(size) - keep] - 2 * 10.0**-digits
                     i, j = np.nonzero((table > 0) & (table >= bound[:, None]))
-                    found += [{query: keys[at + x], row: names[y], name: float(table[x, y])} for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pylist(found, schema=schema)
+                    asks.append(at + i)
+                    rests.append(j)
+                    values.append(table[i, j])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(asks))), batch.column(row).take(pa.array(np.concatenate(rests))), pa.array(np.concatenate(values))], names=[query, row, name])
 
         part = rows.select(row, text, *([group] if group else [])).mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
