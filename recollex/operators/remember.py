@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollex.functions.features import distinctive_words
 from recollex.operators.dedup import hamming_pairs, nouns_diverge, with_simhash
+from recollex.operators.retrieval import nearest
 from recollex.runtime import drop_stored, stored
 
 
@@ -49,3 +50,36 @@ def remembered(batch: DataFrame, existing: DataFrame, key: str, content: str, or
     judged = all_rows.where("NOT old").select("k", "simhash", "_words").join(fate, ["simhash", "_words"])
     blocked = judged.select(F.col("k").alias(key), F.when(F.col("k") == F.col("_first"), F.col("by")).otherwise(F.coalesce("by", "_first")).alias("blocked_by"))
     return batch.select(key).join(blocked, key, "left").select(key, "blocked_by", F.col("blocked_by").isNull().alias("stored"))
+
+
+def semantic_repeats(batch: DataFrame, existing: DataFrame, key: str, content: str, vector: str, group: str = "project_id", least: float = 0.92, each: int = 3) -> DataFrame:
+    """``(key, blocked_by, cosine)``: rows of a batch whose nearest existing rows, of their group, mean the same.
+
+    Of the ``each`` nearest with a cosine of ``least`` or more the first counts
+    whose distinctive words don't diverge.  Rows that supersede another (a column
+    ``supersedes`` that isn't null) are never blocked; rows without a vector
+    match nothing; a null group sees all.
+    """
+    asked = batch.where(F.col("supersedes").isNull()) if "supersedes" in batch.columns else batch
+    asked = asked.select(F.col(key).alias("_k"), F.col(vector).alias("_q"), group, distinctive_words(F.col(content)).alias("_w"))
+    near = nearest(asked, "_k", "_q", existing, key, vector, each, least=least, group=group)
+    told = near.join(asked.select("_k", "_w"), "_k").join(existing.select(key, distinctive_words(F.col(content)).alias("_e")), key)
+    same = told.where(~F.coalesce(nouns_diverge(F.col("_w"), F.col("_e")), F.lit(False)))
+    first = same.groupBy("_k").agg(F.min(F.struct("rank", F.col(key).alias("by"), "cosine")).alias("_f"))
+    return first.select(F.col("_k").alias(key), F.col("_f.by").alias("blocked_by"), F.col("_f.cosine").alias("cosine"))
+
+
+def surfaced_conflicts(batch: DataFrame, existing: DataFrame, key: str, vector: str, kinds: tuple[str, ...] = ("fact", "decision"), least: float = 0.80, each: int = 3) -> DataFrame:
+    """``(key, conflicts)``: for new rows of some kinds the (cosine, id) of the nearest existing rows of that kind, best first.
+
+    Rows of a project see that project, rows of none see all; rows that supersede
+    another surface nothing.
+    """
+    kind = F.lower(F.trim("kind"))
+    asked = batch.where(kind.isin(*kinds) & F.col("supersedes").isNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_q"), "project_id", kind.alias("_kind"))
+    rows = existing.where(kind.isin(*kinds)).select(key, vector, "project_id", kind.alias("_kind"))
+    both = F.concat_ws("\x1f", "project_id", "_kind")
+    own = nearest(asked.where("project_id IS NOT NULL").withColumn("_both", both), "_k", "_q", rows.where("project_id IS NOT NULL").withColumn("_both", both), key, vector, each, least=least, group="_both")
+    all_ = nearest(asked.where("project_id IS NULL"), "_k", "_q", rows, key, vector, each, least=least, group="_kind")
+    met = own.unionByName(all_)
+    return met.groupBy(F.col("_k").alias(key)).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cosine", F.col(key).alias("id")))), lambda x: F.struct(x["cosine"].alias("cosine"), x["id"].alias("id"))).alias("conflicts"))

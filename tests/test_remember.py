@@ -34,3 +34,20 @@ def test_same_as_one_by_one(spark):
     assert set(got) == set(expected) and 0 < sum(not s for _, s in got.values()) < 43
     assert all(s == (not expected[k]) and (by is None if s else by in expected[k]) for k, (by, s) in got.items())
     assert remembered(batch.limit(0), existing, "id", "content", "n").count() == 0
+
+
+def test_meaning_and_conflicts(spark):
+    from recollex.operators.remember import semantic_repeats, surfaced_conflicts
+
+    schema = "id string, content string, v array<double>, project_id string, kind string, supersedes string"
+    old = [("o1", "cache port alpha", [1.0, 0.0], "p", "fact", None), ("o2", "queue port beta", [0.99, 0.1], "p", "Decision ", None), ("o3", "cache port alpha", [1.0, 0.0], "q", "fact", None), ("o4", None, None, "p", "fact", None)]
+    new = [
+        ("n1", "alpha port cache", [1.0, 0.01], "p", "fact", None), ("n2", "another thing entirely", [1.0, 0.02], "p", "fact", None), ("n3", "alpha port cache", [1.0, 0.0], "p", "fact", "o1"),
+        ("n4", "cache port alpha", [1.0, 0.0], None, "FACT", None), ("n5", "x", None, "p", "fact", None), ("n6", "cache port alpha", [0.0, 1.0], "p", "fact", None), ("n7", "alpha port", [1.0, 0.0], "p", "note", None),
+    ]
+    batch, existing = spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)
+    got = {r.id: r.blocked_by for r in semantic_repeats(batch, existing, "id", "content", "v").collect()}
+    assert got == {"n1": "o1", "n4": "o1", "n7": "o1"}
+    told = {r.id: [c.id for c in r.conflicts] for r in surfaced_conflicts(batch, existing, "id", "v").collect()}
+    assert told == {"n1": ["o1"], "n2": ["o1"], "n4": ["o1", "o3"]}
+    assert semantic_repeats(batch.limit(0), existing, "id", "content", "v").count() == 0
