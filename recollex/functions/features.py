@@ -26,6 +26,10 @@ PLAIN_WORDS = (
     "really because something things think know want need looking interested tried trying started been using recently currently actually going getting got one ones good great best"
 ).split()
 
+# What counts as a word of a preference, as a distinctive word, and as a word that names a thing.
+WISHED = r"\b([A-Za-z0-9][\w\-]{2,})\b"
+DISTINCTIVE = r"(?<![a-z0-9_])([a-z0-9][a-z0-9_\-]{2,})(?![a-z0-9_])"
+NAMED = r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+|[A-Z]{2,}|[a-zA-Z][\w\-]{3,})\b"
 # Relative expressions that are searched for as they stand.
 RELATIVE = (
     r"(?i)\b(last\s+(?:week|month|year)|(?:a\s+)?(?:few|couple\s+of)\s+(?:weeks|months|years)\s+ago|(?:the\s+)?(?:previous|prior|following|next)\s+(?:week|month|year|day)|"
@@ -80,20 +84,20 @@ def _first_spellings(words: Column) -> Column:
 def preference_terms(text: Column, most: int = 20) -> Column:
     """Words of three signs or more in sentences of preference, as first written, in order, the first ``most``; a null text has none."""
     sentences = F.filter(F.split(text, r"[.!?\n]+"), lambda s: s.rlike(PREFERENCE))
-    words = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"\b([A-Za-z0-9][\w\-]{2,})\b"), 1)))
+    words = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(WISHED), 1)))
     kept = F.filter(words, lambda w: ~F.lower(w).isin(*PLAIN_WORDS))
     return F.coalesce(F.slice(_first_spellings(kept), 1, most), F.array().cast("array<string>"))
 
 
 def distinctive_words(text: Column) -> Column:
     """Lower-case words of three signs or more that tell one memory from another, each once."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9_])([a-z0-9][a-z0-9_\-]{2,})(?![a-z0-9_])"), 1)
+    words = F.regexp_extract_all(F.lower(text), F.lit(DISTINCTIVE), 1)
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*ENTITY_STOP_WORDS)))
 
 
 def context_words(text: Column, most: int = 5) -> Column:
     """Product names, acronyms and words of four letters or more, as written, each once without regard to case; the first ``most``."""
-    words = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+|[A-Z]{2,}|[a-zA-Z][\w\-]{3,})\b"), 1)
+    words = F.regexp_extract_all(text, F.lit(NAMED), 1)
     kept = F.filter(words, lambda w: ~F.lower(w).isin(*sorted({*PLAIN_WORDS, *QUERY_STOP_WORDS})))
     return F.slice(_first_spellings(kept), 1, most)
 
