@@ -131,7 +131,16 @@ def o23_sessions_from_gaps(spark, sf_dir):
     return e.groupBy("user_id", "sid").agg(F.min("us").alias("start_us"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_HALF = "list_dot_product(CAST(list_slice(q.embedding, {a}, {b}) AS DOUBLE[]), CAST(list_slice(e.embedding, {c}, {d}) AS DOUBLE[]))"
+_MAXSIM = " + ".join("greatest(" + ", ".join(_HALF.format(a=a, b=a + 31, c=c, d=c + 31) for c in (1, 33)) + ")" for a in (1, 33))
+
+
+@query(
+    f"""WITH n AS (SELECT q.vec_id AS query, e.vec_id, {_MAXSIM} AS m, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='q.embedding', b='e.embedding')}, 9) DESC, e.vec_id) AS place
+          FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id QUALIFY place <= 30),
+        r AS (SELECT query, vec_id, count(*) OVER (PARTITION BY query) AS n, row_number() OVER (PARTITION BY query ORDER BY place > 20, CASE WHEN place <= 20 THEN m END DESC NULLS LAST, place) AS r FROM n)
+        SELECT query, vec_id, round((n - r + 1) / n::DOUBLE, 9) AS score FROM r"""
+)
 def o60_maxsim_rerank(spark, sf_dir):
     """The nearest vectors of each query, reordered by late interaction of halves of the vectors."""
     e = _t(spark, sf_dir, "embeddings")

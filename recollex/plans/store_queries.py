@@ -410,7 +410,12 @@ def o168_evidence_sessions(spark, sf_dir):
     return q.select("sample_id", "question_no", F.coalesce(F.size(evaluation.evidence_sessions(F.col("evidence"))), F.lit(0)).cast("long").alias("sessions"))
 
 
-@query()
+@query(
+    """WITH k AS (SELECT sample_id, conversation, unnest(json_keys(conversation)) AS k FROM locomo_samples WHERE json_valid(conversation)),
+       s AS (SELECT sample_id, k, from_json(json_extract(conversation, '$."' || k || '"'), '[{"dia_id":"VARCHAR","speaker":"VARCHAR","text":"VARCHAR"}]') AS t FROM k WHERE regexp_full_match(k, 'session_\\d+')),
+       u AS (SELECT sample_id, k, unnest(range(len(t))) AS n, unnest(t) AS t FROM s)
+       SELECT sample_id, CAST(substring(k, 9) AS INTEGER) AS session_no, CAST(n AS INTEGER) AS turn_no, t.dia_id AS dia_id, t.speaker AS speaker, t.text AS text FROM u"""
+)
 def o20_dialogue_turns(spark, sf_dir):
     return corpora.dialogue_turns(_t(spark, sf_dir, "locomo_samples"))
 
