@@ -1,5 +1,6 @@
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -287,6 +288,29 @@ def test_english_without_function_words_is_english(spark):
     assert (got[100], got[101], got[102]) == ("en", "de", None)
 
 
+def test_few_texts_of_a_language_teach_it_among_many(spark):
+    """Four German texts among 12 000 English ones: no text is left out of the model of languages."""
+    text = threads.F.when(threads.F.col("id") < 12_000, "The cat was on the mat and it is here.").when(threads.F.col("id") < 12_004, "Die Darstellung der Verarbeitung ist nicht die Bereinigung und wir haben auch die Verwaltung.")
+    docs = spark.range(12_005).select(threads.F.col("id").alias("doc_id"), text.otherwise("Bereinigung Verarbeitung Darstellung").alias("text"))
+    labels = spark.createDataFrame([], "doc_id long, grade int")
+    got = {r.doc_id: r.language for r in reading.reading_levels(docs, "doc_id", "text", labels, "grade").where("doc_id >= 11999").collect()}
+    assert got == {11_999: "en", **{i: "de" for i in range(12_000, 12_005)}}
+    read = spark.createDataFrame([(3.0, 0.0, 0.0, 0.0, "cat"), (0.0, 3.0, 0.0, 0.0, "hut"), (2.0, 0.0, 0.0, 0.0, "fez"), (0.0, 0.0, 0.0, 0.0, "")], "en float, de float, fr float, es float, spelt string")
+    cat, hut, fez = (reading.language_votes(read)[reading._grams([w])[0]].sum(axis=0) for w in ("cat", "hut", "fez"))
+    assert cat.argmax() == 0 and hut.argmax() == 1 and np.abs(fez).max() < 0.05
+
+
+def test_all_ratings_are_fitted(spark, monkeypatch):
+    """More ratings than go to the driver give the model of all ratings, not that of some."""
+    for name in ("fit_ordinal", "fit_ordinal_rows"):
+        monkeypatch.setattr(reading, name, partial(getattr(reading, name, reading.fit_ordinal), steps=25), raising=False)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(" ".join(rng.choice(["cat", "organization", "table", "infrastructure"][: 2 + i % 3]) for _ in range(3 + i % 9)).capitalize() + "." for _ in range(4))) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, max(1, min(18, 2 * (i % 9) + rng.randrange(-2, 3)))) for i in range(120)], "doc_id long, grade int")
+    every, few = (reading.reading_levels(docs, "doc_id", "text", labels, "grade", most_labels=n).orderBy("doc_id").toPandas() for n in (120, 10))
+    assert (every.grade == few.grade).all() and np.allclose(every.above_12, few.above_12, atol=1e-9) and every.grade.nunique() > 5
+
+
 def test_rarity_counts_words_and_not_places(spark):
     """Words below the least share are equally rare however many there are; frequent ones are counted exactly."""
     common, rare = reading.RAREST * 4, np.log(1 / reading.RAREST)
