@@ -92,6 +92,37 @@ def test_late_rows_and_threads_without_id(spark):
         assert [r.turn_no for r in got] == list(range(1, 601)) and said == sorted(said) and said[7] == pytest.approx(said[8], abs=1)
 
 
+def test_offset_keeps_the_order_of_messages(spark):
+    """Quick replies and slow questions: plain least squares would put replies behind the next question."""
+    at = np.cumsum([0, 1, 10, 1, 10, 1, 10_000, 1])
+    rows = [("t", i, "user" if i % 2 == 0 else "assistant", "x", 1_700_000_000 + int(at[i])) for i in range(8)]
+    rows += [("ends of spans", i, "user" if i % 2 else "assistant", "x", 1_700_000_000 + 10 * i + (0 if i % 2 else 20)) for i in (254, 255, 256)]
+    df = spark.createDataFrame(rows, "conversation_id string, id long, role string, content string, s long").withColumn("received_at", threads.F.timestamp_seconds("s"))
+    m = threads.turn_messages(df)
+    report = {r.thread_id: r for r in threads.thread_report(m).collect()}
+    assert -10 <= report["t"].offset_s <= 1 and {k: r.dropped for k, r in report.items()} == {"t": None, "ends of spans": None} and report["ends of spans"].offset_s == pytest.approx(20)
+    said = [r.said_at.timestamp() for r in threads.rebuilt_threads(m).where("thread_id = 't'").orderBy("turn_no").collect()]
+    assert said[::2] == [r[4] for r in rows[:8:2]] and said == sorted(said)
+
+
+def test_times_far_apart_end_no_run(spark):
+    rows = [("t", i, "user" if i % 2 == 0 else "assistant", "x", s) for i, s in enumerate([-9_000_000_000_000, 9_000_000_000_000, 5, 6])]
+    df = spark.createDataFrame(rows, "conversation_id string, id long, role string, content string, s long").withColumn("received_at", threads.F.timestamp_seconds("s"))
+    m = threads.turn_messages(df)
+    assert [r.dropped for r in threads.thread_report(m).collect()] == [None]
+    said = threads.rebuilt_threads(m).selectExpr("turn_no", "unix_seconds(said_at) AS s").orderBy("turn_no").collect()
+    assert [r.s for r in said] == [-9_000_000_000_000, 5, 5, 6]
+
+
+def test_conversations_are_judged_by_corrected_times(spark):
+    """The fit and the merge are steps of the plan that finds the conversations to drop."""
+    turns = spark.createDataFrame([("t", 0, "user", "a", None)], "conversation_id string, id long, role string, content string, received_at timestamp")
+    questions = spark.createDataFrame([(["a"], [[("user", "hi")]])], "haystack_session_ids array<string>, haystack_sessions array<array<struct<role string, content string>>>")
+    found = threads.dropped_threads(turns, questions)
+    assert str(threads.LATE_S) in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.thread_id for r in found.collect()} == {"t", "a"}
+
+
 def test_null_and_empty_sessions_are_dropped(spark):
     q = spark.createDataFrame(
         [(["a", "b", "c", "d"], [None, [], [("user", "hi"), ("bot", "yo")], [None, ("ai", "x")]])], "haystack_session_ids array<string>, haystack_sessions array<array<struct<role string, content string>>>"
