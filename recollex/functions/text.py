@@ -69,7 +69,8 @@ def numbers_in(text: Column) -> Column:
 
 def how_many_in(wanted: Column, text: Column) -> Column:
     """How many of the wanted strings stand in the text; a null text holds none."""
-    return F.size(F.filter(wanted, lambda w: F.coalesce(F.contains(text, w), F.lit(False))))
+    # The text as a variable of its own, so that it is made once and not for each of the wanted.
+    return F.get(F.transform(F.array(text), lambda t: F.size(F.filter(wanted, lambda w: F.coalesce(F.contains(t, w), F.lit(False))))), F.lit(0))
 
 
 def is_exchange(content: Column) -> Column:

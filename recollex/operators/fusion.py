@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions.text import how_many_in, is_exchange, rank_tokens, rerank_tokens, word_runs
+from recollex.runtime import whole_groups
 
 
 def weighted_rrf(lists: list[tuple[DataFrame, float | Column]], query: str, row: str, k: int = 60) -> DataFrame:
@@ -23,7 +25,7 @@ def weighted_rrf(lists: list[tuple[DataFrame, float | Column]], query: str, row:
 def keyword_rerank(df: DataFrame, query_text: str, content: str, score: str = "score", tf_weight: float = 0.15, phrase_weight: float = 0.10) -> DataFrame:
     """Adds word and phrase agreement to the score, capped at 1; a query without words changes nothing, a null content agrees in nothing."""
     df = df.withColumns({"_q": rerank_tokens(F.col(query_text)), "_c": F.coalesce(rerank_tokens(F.col(content)), F.array().cast("array<string>"))})
-    hits = F.aggregate(F.array_distinct("_q"), F.lit(0), lambda s, w: s + F.least(F.lit(2), F.size(F.filter("_c", lambda x: x == w))))
+    hits = F.aggregate(F.array_distinct("_q"), F.lit(0), lambda s, w: s + F.least(F.lit(2), F.size("_c") - F.size(F.array_remove("_c", w))))
     tf = F.try_divide(hits.cast("double"), (2 * F.size(F.array_distinct("_q"))).cast("double"))
     phrases = F.concat(word_runs(F.col("_q"), 2), word_runs(F.col("_q"), 3))
     shares = F.try_divide(how_many_in(phrases, F.lower(F.col(content))).cast("double"), F.size(phrases).cast("double"))
@@ -71,29 +73,57 @@ def diversify(df: DataFrame, query: str, row: str, content: str, group: str, lim
     """
     schema = f"{query} {dict(df.dtypes)[query]}, {row} {dict(df.dtypes)[row]}, rank int, score double"
 
-    def choose(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["_rank"], ignore_index=True) if rank else pool.sort_values(["score", row], ascending=[False, True], ignore_index=True)
-        if pool["_whole"].iloc[0]:
-            return pool.assign(rank=range(1, len(pool) + 1))[[query, row, "rank", "score"]]
-        low, high = pool["score"].min(), pool["score"].max()
-        relevance = ((pool["score"] - low) / max(high - low, 1e-10)).tolist()
-        bags = [set(x) if x is not None else set() for x in pool["_tokens"]]
-        groups = [("g", g) if g is not None else ("r", r) for g, r in zip(pool[group], pool[row], strict=True)]
-        worst, count, chosen, left = [0.0] * len(pool), {}, [], list(range(len(pool)))
-        while left and len(chosen) < limit:
-            value = lambda i: trade * relevance[i] - (1 - trade) * (1.0 if count.get(groups[i], 0) >= cap else worst[i])
-            pick = max(left, key=lambda i: (value(i), -i))
-            left.remove(pick)
+    def overlaps(bags: list[list[str]]) -> np.ndarray:
+        """Shared tokens as a share of all tokens, of every two bags."""
+        places: dict[str, int] = {}
+        at = [[places.setdefault(w, len(places)) for w in bag] for bag in bags]
+        size = np.array([len(x) for x in at], np.float64)
+        held = np.zeros((len(bags), max(1, len(places))), np.float32)
+        held[np.repeat(np.arange(len(bags)), size.astype(np.int64)), np.array([i for x in at for i in x], np.int64)] = 1.0
+        shared = (held @ held.T).astype(np.float64)
+        union = size[:, None] + size[None, :] - shared
+        return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+    def choose(score: np.ndarray, groups: list, bags: list[list[str]]) -> list[int]:
+        low, high = score.min(), score.max()
+        relevance = (score - low) / max(high - low, 1e-10)
+        alike, worst, count, chosen = overlaps(bags), np.zeros(len(score)), {}, []
+        full, left = np.zeros(len(score), bool), np.ones(len(score), bool)
+        number = np.unique(groups, return_inverse=True)[1]
+        for _ in range(min(limit, len(score))):
+            value = trade * relevance - (1 - trade) * np.where(full, 1.0, worst)
+            pick = int(np.argmax(np.where(left, value, -np.inf)))
+            left[pick] = False
             chosen.append(pick)
-            count[groups[pick]] = count.get(groups[pick], 0) + 1
-            for i in left:
-                union = len(bags[i] | bags[pick])
-                worst[i] = max(worst[i], len(bags[i] & bags[pick]) / union if union else 0.0)
-        out = pool.loc[chosen, [query, row, "score"]]
-        return out.assign(rank=range(1, len(chosen) + 1))[[query, row, "rank", "score"]]
-
+            count[number[pick]] = count.get(number[pick], 0) + 1
+            if count[number[pick]] >= cap:
+                full |= number == number[pick]
+            worst = np.maximum(worst, alike[pick])
+        return chosen
+
+    def judge(pools: pa.Table) -> pa.Table:
+        # The rows of a query are together; within it they go by rank.
+        keys, number = {}, []
+        for q in pools.column(query).to_pylist():
+            number.append(keys.setdefault(q, len(keys)))
+        number = np.array(number, np.int64)
+        score = pools.column("score").to_numpy()
+        order = np.lexsort((pools.column("_rank").to_numpy(), number))
+        groups, bags, whole = pools.column(group).to_pylist(), pools.column("_tokens").to_pylist(), pools.column("_whole").to_pylist()
+        kept, ranks = [], []
+        for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            at = part.tolist()
+            if not whole[at[0]]:
+                own = [f"g{groups[i]}" if groups[i] is not None else f"r{i}" for i in at]
+                at = [at[i] for i in choose(score[part], own, [bags[i] or [] for i in at])]
+            kept += at
+            ranks += range(1, len(at) + 1)
+        at = pa.array(kept, pa.int64())
+        return pa.table([pools.column(query).take(at), pools.column(row).take(at), pa.array(ranks, pa.int32()), pools.column("score").take(at)], names=[query, row, "rank", "score"])
+
+    place = F.col(rank).cast("long") if rank else F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), row)).cast("long")
     slim = df.select(
-        query, row, "score", group, F.array_distinct(rank_tokens(F.col(content))).alias("_tokens"),
-        (F.col(rank) if rank else F.lit(0)).alias("_rank"), (F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)).alias("_whole"),
+        query, row, F.col("score").cast("double").alias("score"), F.col(group).cast("string").alias(group), F.array_distinct(rank_tokens(F.col(content))).alias("_tokens"),
+        place.alias("_rank"), (F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)).alias("_whole"),
     )
-    return slim.groupBy(query).applyInPandas(choose, schema)
+    return whole_groups(slim, query, judge, schema)

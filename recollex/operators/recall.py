@@ -14,15 +14,20 @@ day that the question means, counted from it.  Ties keep the order of the pool.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from recollex.functions import scores, text
 from recollex.functions.features import date_terms, hashing_embedder, preference_terms
 from recollex.operators import context, fulltext, fusion, refine, retrieval
-from recollex.runtime import stored
+from recollex.runtime import stored, whole_groups
 
 @dataclass(frozen=True)
 class Settings:
@@ -76,12 +81,13 @@ def candidates(by_vector: DataFrame, by_words: DataFrame, questions: DataFrame,
     """The pool: rows of both lists, each once, those by vector first; scores are 0.
 
     ``questions`` is (query, question, reference), ``memories`` has the columns of
-    a pool and tags and created_at, ``ordinals`` is (session_id, ordinal).
+    a pool and tags and created_at, ``ordinals`` is (session_id, ordinal).  The
+    ranks in the lists stay as ``_v`` and ``_f`` until ``fused`` takes them.
     """
     both = by_vector.select("query", "id", F.col("rank").alias("v"), F.lit(None).cast("int").alias("w")).unionByName(by_words.select("query", "id", F.lit(None).cast("int").alias("v"), F.col("rank").alias("w")))
     once = both.groupBy("query", "id").agg(F.min("v").alias("v"), F.min("w").alias("w"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("v").asc_nulls_last(), "w"))
-    placed = once.select("query", "id", place.alias("pos"))
+    placed = once.select("query", "id", place.alias("pos"), F.col("v").alias("_v"), F.col("w").alias("_f"))
     known = memories.select("id", "content", "session_id", text.memory_date(F.col("content"), F.col("tags"), F.col("created_at")).alias("day"), "last_accessed", "storage_strength")
     pool = placed.join(questions.select("query", "question", "reference"), "query").join(known, "id").join(ordinals, "session_id", "left")
     return pool.withColumns({"target": text.target_date(F.col("question"), F.col("reference")), "score": F.lit(0.0)})
@@ -97,23 +103,37 @@ def _place(*keys: Column) -> Column:
 
 def bm25_places(pool: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Adds ``bm25``, the score with statistics of the pool alone, and ``bm25_place``; repeated words of a question count as often as they occur."""
-    own = pool.select("query", "id", F.coalesce(text.rank_tokens(F.col("content")), F.array().cast("array<string>")).alias("_t"), text.rank_tokens(F.col("question")).alias("_q"))
-    sized = own.withColumns({"_n": F.size("_t"), "_docs": F.count(F.lit(1)).over(_by_query()), "_mean": F.avg(F.size("_t")).over(_by_query())})
-    terms = sized.withColumn("_w", F.explode(F.array_distinct("_q"))).select(
-        "query", "id", "_w", "_n", "_docs", "_mean", F.size(F.filter("_q", lambda x: x == F.col("_w"))).alias("_times"), F.size(F.filter("_t", lambda x: x == F.col("_w"))).alias("_tf")
-    )
-    terms = terms.withColumn("_df", F.count_if(F.col("_tf") > 0).over(Window.partitionBy("query", "_w")))
-    idf = F.log((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1.0)
-    value = F.col("_times") * idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_n") / F.greatest(F.col("_mean"), F.lit(1e-9))))
-    summed = terms.groupBy("query", "id").agg(F.sum(F.when(F.col("_tf") > 0, value).otherwise(0.0)).alias("bm25"))
-    scored = pool.join(summed, ["query", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    return scored.withColumn("bm25_place", _place(F.round("bm25", 9).desc()))
-
-
-def fused(pool: DataFrame, by_vector: DataFrame, by_words: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The score: weight / (60 + place) over vectors, full text, BM25, names, dates (where the question means one) and exchanges."""
-    weighted = bm25_places(pool)
-    weighted = weighted.join(by_vector.select("query", "id", F.col("rank").alias("_v")), ["query", "id"], "left").join(by_words.select("query", "id", F.col("rank").alias("_f")), ["query", "id"], "left")
+    kind = StructType([*pool.schema.fields, StructField("bm25", DoubleType())])
+
+    def judge(pools: pa.Table) -> pa.Table:
+        values, held = np.zeros(pools.num_rows), [_words(t) for t in pools.column("content").to_pylist()]
+        keys, questions = pools.column("query").to_pylist(), pools.column("question").to_pylist()
+        edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            own, asked = held[low:high], Counter(_words(questions[low]))
+            size = np.array([len(t) for t in own], np.float64)
+            flat = k1 * (1 - b + b * size / max(size.mean(), 1e-9))
+            for word, times in asked.items():
+                tf = np.array([t.count(word) for t in own], np.float64)
+                df = np.count_nonzero(tf)
+                if df:
+                    values[low:high] += times * np.log((len(own) - df + 0.5) / (df + 0.5) + 1.0) * tf * (k1 + 1) / (tf + flat)
+        return pools.append_column("bm25", pa.array(values))
+
+    return whole_groups(pool, "query", judge, kind).withColumn("bm25_place", _place(F.round("bm25", 9).desc()))
+
+
+def _words(of: str | None) -> list[str]:
+    """``text.rank_tokens`` in Python."""
+    return [w for w in re.split("[^a-z0-9]+", of.lower()) if len(w) > 1] if of else []
+
+
+def fused(pool: DataFrame, by_vector: DataFrame | None = None, by_words: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
+    """The score: weight / (60 + place) over vectors, full text, BM25, names, dates (where the question means one) and exchanges; without lists, the pool has their ranks as ``_v`` and ``_f``."""
+    weighted = pool
+    if by_vector is not None:
+        weighted = weighted.join(by_vector.select("query", "id", F.col("rank").alias("_v")), ["query", "id"], "left").join(by_words.select("query", "id", F.col("rank").alias("_f")), ["query", "id"], "left")
+    weighted = bm25_places(weighted)
     by_name = _place(context.entity_overlap(F.col("question"), F.col("content")).desc())
     by_day = _place(context.date_nearness(F.col("day"), F.col("target")).desc())
     by_pair = _place(text.is_exchange(F.col("content")).desc())
@@ -145,10 +165,11 @@ def recent_first(pool: DataFrame, s: Settings = Settings(), boost: float = 0.015
     return pool.withColumn("score", F.col("score") + F.when(wanted, s.recency / (60 + _place(number.desc())) + boost * share).otherwise(0.0))
 
 
-def in_context(pool: DataFrame) -> DataFrame:
-    """For vague questions, lifts what speaks of the things that the latest sessions of the pool are about."""
-    told = pool.where("ordinal IS NOT NULL").select("query").distinct()
-    names = refine.context_entities(pool, "query", "session_id", "ordinal", "content", "pos").join(told, "query", "left_semi")
+def in_context(pool: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """For vague questions, lifts what speaks of the things that the latest sessions of the pool are about; ``base``, the pool before its scores, spares making them again."""
+    vague = (pool if base is None else base).where(text.is_vague(F.col("question")))
+    told = vague.where("ordinal IS NOT NULL").select("query").distinct()
+    names = refine.context_entities(vague, "query", "session_id", "ordinal", "content", "pos").join(told, "query", "left_semi")
     return refine.context_boost(pool, names, "query", "question", "content")
 
 
@@ -162,10 +183,13 @@ def near_in_time(pool: DataFrame, as_of: Column) -> DataFrame:
     latest = F.coalesce("reference", F.max("day").over(_by_query()), F.to_date(as_of))
     top = F.row_number().over(_by_query().orderBy(F.col("score").desc(), "pos"))
     placed = pool.withColumns({"_ref": latest, "_top": top})
-    days = placed.where((F.col("_top") <= 10) & F.col("day").isNotNull() & F.coalesce(text.asks_interval(F.col("question")), F.lit(False)))
-    modal = days.groupBy("query", "day").agg(F.count(F.lit(1)).alias("n"), F.min("_top").alias("t")).groupBy("query").agg(F.max_by("day", F.struct("n", -F.col("t"))).alias("_modal"))
-    meant = placed.join(modal, "query", "left").withColumn("_target", F.coalesce(text.target_date(F.col("question"), F.col("_ref")), "_modal"))
-    return fusion.temporal_boost(meant, "day", F.col("_target"), F.col("_ref")).drop("_ref", "_top", "_modal", "_target")
+    counts = (F.col("_top") <= 10) & F.col("day").isNotNull() & F.coalesce(text.asks_interval(F.col("question")), F.lit(False))
+    same = Window.partitionBy("query", "day")
+    placed = placed.withColumn("_t", F.when(counts, F.col("_top")))
+    often = F.when(F.col("_t").isNotNull(), F.struct(F.count("_t").over(same).alias("n"), (-F.min("_t").over(same)).alias("t")))
+    modal = F.max_by("day", "_often").over(_by_query())
+    meant = placed.withColumn("_often", often).withColumn("_modal", modal).withColumn("_target", F.coalesce(text.target_date(F.col("question"), F.col("_ref")), "_modal"))
+    return fusion.temporal_boost(meant, "day", F.col("_target"), F.col("_ref")).drop("_ref", "_top", "_t", "_often", "_modal", "_target")
 
 
 def pairs_first(pool: DataFrame) -> DataFrame:
@@ -215,9 +239,9 @@ def recall(questions: DataFrame, memories: DataFrame, ordinals: DataFrame, as_of
     by_vector = stored(vector_lists(asked, live, s.fetch, embed), "vector-list")
     vectors = stored(memory_vectors(live, ["id", "project_id", "confidence", "created_at"]), "text-vectors")
     by_words = stored(word_lists(asked, live, s.fetch, vectors), "word-lists")
-    pool = stored(candidates(by_vector, by_words, asked, live, ordinals), "pool")
-    pool = decayed(name_boost(fused(pool, by_vector, by_words, s)), as_of)
-    pool = in_context(recent_first(fusion.keyword_rerank(pool, "question", "content"), s))
+    base = stored(candidates(by_vector, by_words, asked, live, ordinals), "pool")
+    pool = decayed(name_boost(fused(base, s=s)), as_of)
+    pool = in_context(recent_first(fusion.keyword_rerank(pool, "question", "content"), s), base)
     if s.feedback:
         pool = with_feedback(stored(pool, "pool"), asked, live, vectors, ordinals, s)
     pool = ordered(pairs_first(near_in_time(liked(pool), as_of)))

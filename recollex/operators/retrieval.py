@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from recollex.functions.text import rank_tokens, set_similarity, trigrams
+from recollex.runtime import stored
 
 #: Queries that go to the executors at once; more are taken in blocks.
 QUERY_BLOCK = 4096
+#: The most rows and queries that meet in a cell, and values of a cell that are held at once.
+CELL_ROWS, CELL_QUERIES, CELL_VALUES = 65536, 8192, 1 << 22
 
 
 def _blocks(queries: DataFrame, query: str) -> Iterator[pa.Table]:
@@ -26,20 +29,107 @@ def _blocks(queries: DataFrame, query: str) -> Iterator[pa.Table]:
         yield part.toArrow().combine_chunks()
 
 
-def _groups(block: pa.Table, group: str | None) -> tuple[dict, np.ndarray]:
-    """Numbers of the block's groups, and that of each query; -1 sees all."""
-    if group is None:
-        return {}, np.full(block.num_rows, -1)
-    numbers: dict = {}
-    return numbers, np.array([-1 if g is None else numbers.setdefault(g, len(numbers)) for g in block.column("_g").to_pylist()], np.int64)
-
+def _met_in_cells(queries: DataFrame, query: str, rows: DataFrame, row: str, judge: Callable[[pa.Table, pa.Table], pa.Table], kind: StructType, most_rows: int = CELL_ROWS, most_queries: int = CELL_QUERIES) -> DataFrame:
+    """What ``judge`` makes of the queries and of the rows that they may see, met in cells.
 
-def _visible(numbers: dict, asked: np.ndarray, batch: pa.RecordBatch, group: str | None) -> np.ndarray:
-    """Which rows of the batch each query may see."""
-    if group is None:
-        return np.ones((len(asked), batch.num_rows), bool)
-    own = np.array([numbers.get(g, -2) for g in batch.column(group).to_pylist()], np.int64)
-    return (asked[:, None] == -1) | (asked[:, None] == own[None, :])
+    Both sides have a column ``_g``: a query sees the rows of its group, and all
+    where its group is null.  A group is dealt into blocks of queries and of rows,
+    every two of which meet in one cell; many small cells go to ``judge`` at once,
+    which takes them apart by ``_cells``.  Only counts of groups are joined and
+    only one number goes to the driver.
+    """
+    spread = rows.withColumn("_g", F.explode(F.array_distinct(F.array("_g", F.lit(None).cast(rows.schema["_g"].dataType)))))
+    asks = queries.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / most_queries).cast("int").alias("_nq"))
+    holds = spread.groupBy(F.col("_g").alias("_h")).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.count(F.lit(1)) / most_rows).cast("int").alias("_nr"))
+    cells = stored(asks.join(holds, F.col("_g").eqNullSafe(F.col("_h"))).select("_h", "_n", "_nq", "_nr", F.monotonically_increasing_id().alias("_i")), "cells")
+    moved = cells.agg(F.sum(F.col("_n") * F.col("_nq"))).first()[0] or 0
+    buckets = max(64, 2 * -(-moved // most_rows))
+
+    def dealt(df: DataFrame, key: str, own: str, others: str, x: str, y: str) -> DataFrame:
+        placed = df.join(cells, F.col("_g").eqNullSafe(F.col("_h"))).withColumns({x: F.pmod(F.xxhash64(key), F.col(own)).cast("int"), y: F.explode(F.sequence(F.lit(0), F.col(others) - 1))})
+        placed = placed.withColumn("_b", F.pmod(F.xxhash64("_i", "_x", "_y"), F.lit(buckets)).cast("int")).drop("_g", "_h", "_n", "_nq", "_nr")
+        return placed.select(*[F.col(c).alias(c) for c in placed.columns])  # columns of its own, as both sides come from one table
+
+    left, right = dealt(queries, query, "_nq", "_nr", "_y", "_x"), dealt(spread, row, "_nr", "_nq", "_x", "_y")
+    return left.groupBy("_b").cogroup(right.groupBy("_b")).applyInArrow(judge, kind)
+
+
+def _cells(asked: pa.Table, held: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The cells of a bucket that have both sides: places of the queries, and of the rows."""
+
+    def sides(table: pa.Table) -> dict[tuple, np.ndarray]:
+        keys = np.stack([table.column(c).to_numpy() for c in ("_i", "_x", "_y")], axis=1)
+        order = np.lexsort(keys.T[::-1])
+        edges = np.flatnonzero(np.any(keys[order[1:]] != keys[order[:-1]], axis=1)) + 1
+        return {tuple(keys[part[0]].tolist()): part for part in np.split(order, edges) if len(part)}
+
+    left, right = sides(asked), sides(held)
+    for cell, at in left.items():
+        if cell in right:
+            yield at, right[cell]
+
+
+def _leading(table: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (line, column) of at least the k highest values of each line and all within ``margin`` below, and a value that k of each line reach."""
+    lines, n = table.shape
+    if n <= k:
+        bound = np.full(lines, -np.inf)
+    else:
+        # k of the maxima of disjoint parts are k values, so the k-th of them is no more than the k-th of all.
+        m = n // 32
+        most = table[:, : m * 32].reshape(lines, 32, m).max(axis=1) if m >= 4 * k else table
+        bound = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k]
+    i, j = np.nonzero((table >= (bound - margin)[:, None]) & (table > -np.inf))
+    return i, j, bound
+
+
+def _best_of_cell(who: np.ndarray, what: np.ndarray, value: np.ndarray, k: int, margin: float) -> np.ndarray:
+    """Places of the k highest values of each ``who``, and of those within ``margin`` below the k-th."""
+    order = np.lexsort((-value, who))
+    first = np.searchsorted(who[order], who[order])
+    last = np.minimum(first + k - 1, np.searchsorted(who[order], who[order], side="right") - 1)
+    return order[value[order] >= value[order][last] - margin]
+
+
+def _matrices(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The length of each vector (0: none), its line, and the unit vectors of each length as lines of a matrix."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    line, by_length = np.zeros(len(length), np.int64), {}
+    for width in np.unique(length[length > 0]).tolist():
+        at = np.flatnonzero(length == width)
+        v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
+        size = np.linalg.norm(v, axis=1)
+        length[at[~(size > 0)]] = 0
+        line[at], by_length[width] = np.arange(len(at)), np.divide(v, size[:, None], out=np.zeros_like(v), where=size[:, None] > 0)
+    return length, line, by_length
+
+
+def _nearest_in_cells(query: str, row: str, k: int, least: float | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def judge(asked: pa.Table, held: pa.Table) -> pa.Table:
+        (wide, place, vectors), (size, line, matrix) = _matrices(asked.column("_v")), _matrices(held.column("_v"))
+        who, what, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for ask, hold in _cells(asked, held):
+            for width in np.unique(wide[ask]).tolist():
+                a, h = ask[wide[ask] == width], hold[size[hold] == width]
+                if not width or not len(h):
+                    continue
+                right = matrix[width][line[h]].T
+                step = max(1, CELL_VALUES // len(h))
+                for at in range(0, len(a), step):
+                    cosines = vectors[width][place[a[at : at + step]]] @ right
+                    if least is not None:
+                        cosines[cosines < least] = -np.inf
+                    i, j, _ = _leading(cosines, k, 2e-9)
+                    kept = _best_of_cell(i, j, cosines[i, j], k, 2e-9)
+                    i, j = i[kept], j[kept]
+                    who.append(a[at + i])
+                    what.append(h[j])
+                    value.append(cosines[i, j])
+        return pa.table([asked.column(query).take(pa.array(np.concatenate(who))), held.column(row).take(pa.array(np.concatenate(what))), pa.array(np.concatenate(value))], names=[query, "_row", "cosine"])
+
+    return judge
 
 
 def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame, row: str, vector: str, k: int, least: float | None = None, skip_self: bool = False, group: str | None = None) -> DataFrame:
@@ -50,12 +140,16 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
     another length, match nothing.  Queries are taken about ``QUERY_BLOCK`` at a
     time.  ``least`` drops lower cosines, ``skip_self`` rows whose key equals the
     query's; with ``group``, a column of both sides, a query sees the rows of its
-    group, and all where its group is null.
+    group, and all where its group is null: then queries and rows meet in cells
+    of their group, and nothing of other groups is multiplied.
     """
     q = queries.where(F.size(query_vector) > 0).select(query, F.col(query_vector).alias("_v"), *([F.col(group).alias("_g")] if group else []))
+    kind = StructType([StructField(query, queries.schema[query].dataType), StructField("_row", rows.schema[row].dataType), StructField("cosine", DoubleType())])
     out = None
-    for block in _blocks(q, query):
-        numbers, asked = _groups(block, group)
+    if group:
+        own = rows.select(row, F.col(vector).alias("_v"), F.col(group).alias("_g"))
+        out = _met_in_cells(q, query, own, row, _nearest_in_cells(query, row, k + (1 if skip_self else 0), least), kind)
+    for block in () if group else _blocks(q, query):
         names = pa.array(block.column(query).to_pylist(), block.schema.field(query).type)
         width = max((len(v) for v in block.column("_v").to_pylist()), default=0)
         matrix = np.array([v if len(v) == width else [0.0] * width for v in block.column("_v").to_pylist()], np.float64).reshape(len(names), width)
@@ -63,7 +157,7 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
         matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
         live = norm[:, 0] > 0
 
-        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix, live=live, width=width, numbers=numbers, asked=asked) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix, live=live, width=width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(vector)), width), False)
                 at = np.flatnonzero(fits.to_numpy(zero_copy_only=False)) if width else np.zeros(0, np.int64)
@@ -72,8 +166,7 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
                 v = batch.column(vector).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
                 v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-                seen = _visible(numbers, asked, batch, group)[:, at]
-                cosines = np.where((size[:, 0] > 0)[None, :] & live[:, None] & seen, matrix @ v.T, -np.inf)
+                cosines = np.where((size[:, 0] > 0)[None, :] & live[:, None], matrix @ v.T, -np.inf)
                 if least is not None:
                     cosines[cosines < least] = -np.inf
                 # Rows tied with the k-th stay, so that ties are broken over all partitions.
@@ -82,8 +175,7 @@ def nearest(queries: DataFrame, query: str, query_vector: str, rows: DataFrame,
                 i, j = np.nonzero((cosines >= bound[:, None] - 1e-12) & np.isfinite(cosines))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch.column(row).take(pa.array(at[j])), pa.array(cosines[i, j])], names=[query, "_row", "cosine"])
 
-        kind = StructType([StructField(query, queries.schema[query].dataType), StructField("_row", rows.schema[row].dataType), StructField("cosine", DoubleType())])
-        part = rows.select(row, vector, *([group] if group else [])).mapInArrow(run, kind)
+        part = rows.select(row, vector).mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
     if skip_self:
         out = out.where(F.col(query) != F.col("_row"))
@@ -195,7 +287,7 @@ def _term_counts(text: str, tokens: Callable[[str], list[str]], vocabulary: dict
     return run
 
 
-def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, tokens, weigh, finish, digits: int, name: str, need_counts: bool, group: str | None = None) -> DataFrame:
+def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, tokens, weigh, finish, digits: int, name: str, need_counts: bool) -> DataFrame:
     """Exact top k of a score that sums over common terms, queries in blocks against all rows.
 
     A task turns its rows into postings of the block's terms, adds up dense
@@ -203,11 +295,10 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
     keeps k of all.  Only the block's queries and the statistics of their terms
     leave the executors.
     """
-    q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t"), *([F.col(group).alias("_g")] if group else []))
+    q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t"))
     kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField(name, DoubleType())])
     out = None
     for block in _blocks(q, query):
-        numbers, who = _groups(block, group)
         keys = pa.array(block.column(query).to_pylist(), block.schema.field(query).type)
         lists = [tokens(t) for t in block.column("_t").to_pylist()]
         vocabulary = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws}))}
@@ -222,7 +313,7 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
             asked.append((ids, times.astype(np.float64)))
         lengths = np.array([len(x) for x in lists], np.float64)
 
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, vocabulary=vocabulary, counts=counts, asked=asked, lengths=lengths, numbers=numbers, who=who) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], keys=keys, vocabulary=vocabulary, counts=counts, asked=asked, lengths=lengths) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -238,7 +329,6 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
                             own = slice(edges[t], edges[t + 1])
                             table[i, place[own]] += n * value[own]
                     table = finish(table, lengths[at : at + len(table), None], size[None, :].astype(np.float64))
-                    table = np.where(_visible(numbers, who[at : at + len(table)], batch, group), table, 0.0)
                     keep = min(k, len(size))
                     bound = np.partition(table, len(size) - keep, axis=1)[:, len(size) - keep] - 2 * 10.0**-digits
                     i, j = np.nonzero((table > 0) & (table >= bound[:, None]))
@@ -247,7 +337,7 @@ def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFr
                     values.append(table[i, j])
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(asks))), batch.column(row).take(pa.array(np.concatenate(rests))), pa.array(np.concatenate(values))], names=[query, row, name])
 
-        part = rows.select(row, text, *([group] if group else [])).mapInArrow(run, kind)
+        part = rows.select(row, text).mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy(query).orderBy(F.round(name, digits).desc(), row)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -268,14 +358,92 @@ def bm25(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row:
     return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_rank_tokens, weigh, lambda x, _q, _r: x, 6, "score", True)
 
 
-def trigram_matches(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, least: float, k: int, group: str | None = None) -> DataFrame:
-    """``(query, row, similarity, rank)``: the k most similar rows by shared trigrams, above ``least``; ties go to the smaller row; ``group`` as in ``nearest``."""
+#: Code of each byte in a trigram: letters and digits, 0 for what parts words.
+_SIGNS = np.zeros(256, np.int64)
+_SIGNS[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = np.arange(1, 37)
+#: Rows whose trigrams are laid out at once.
+GRAM_ROWS = 8192
+
+
+def _trigram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, code)`` of the distinct trigrams of each text, ordered; words have two blanks before and one behind."""
+    parts = [(t or "").lower().encode("ascii", "replace") for t in texts]
+    signs = _SIGNS[np.frombuffer(b"\n\n" + b"\n\n".join(parts) + b"\n\n", np.uint8)]
+    owner = np.repeat(np.arange(len(parts)), [len(p) + 2 for p in parts])
+    at = np.flatnonzero(signs[2:]) + 2
+    one, two = signs[at - 1], np.where(signs[at - 1] > 0, signs[at - 2], 0)
+    last = at[signs[at + 1] == 0]
+    codes = np.concatenate([two * 1369 + one * 37 + signs[at], signs[last - 1] * 1369 + signs[last] * 37])
+    both = np.unique(owner[np.concatenate([at, last]) - 2] * 50653 + codes)
+    return both // 50653, both % 50653
+
+
+def _alike_in_cells(query: str, row: str, least: float, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Common trigrams as sums of lines of bytes, a line for each trigram of the queries and a byte for each row."""
+
+    def judge(asked: pa.Table, held: pa.Table) -> pa.Table:
+        texts = [asked.column("_t").combine_chunks(), held.column("_t").combine_chunks()]
+        who, what, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for ask, hold in _cells(asked, held):
+            owner, code = _trigram_codes(texts[0].take(pa.array(ask)).to_pylist())
+            known, term = np.unique(code, return_inverse=True)
+            number = np.full(50653, -1)
+            number[known] = np.arange(len(known))
+            edges = np.searchsorted(owner, np.arange(len(ask) + 1))
+            count = np.diff(edges).astype(np.float32)
+            bound = np.full(len(ask), least, np.float32)
+            found = [[], [], []]
+            for start in range(0, len(hold), GRAM_ROWS):
+                own = hold[start : start + GRAM_ROWS]
+                place, code = _trigram_codes(texts[1].take(pa.array(own)).to_pylist())
+                size = np.bincount(place, minlength=len(own)).astype(np.float32)
+                hit = number[code] >= 0
+                lines = np.zeros((len(known), len(own)), np.uint8)
+                lines[number[code[hit]], place[hit]] = 1
+                step = max(1, min(64, CELL_VALUES // len(own)))
+                for at in range(0, len(ask), step):
+                    n = min(step, len(ask) - at)
+                    common = np.zeros((n, len(own)), np.float32)
+                    for i in range(n):
+                        terms = term[edges[at + i] : edges[at + i + 1]]
+                        if len(terms):
+                            common[i] = np.add.reduce(lines[terms], axis=0, dtype=np.uint8 if len(terms) < 256 else np.uint32)
+                    alike = count[at : at + n, None] + size
+                    alike -= common
+                    np.divide(common, np.maximum(alike, 1.0, out=alike), out=alike)
+                    # Single precision chooses, with room for its error; double precision decides.
+                    alike[alike < (bound[at : at + n] - 1e-6)[:, None]] = -np.inf
+                    i, j, reached = _leading(alike, k, 1e-6)
+                    bound[at : at + n] = np.maximum(bound[at : at + n], reached)
+                    shared = common[i, j].astype(np.float64)
+                    exact = shared / (count[at + i].astype(np.float64) + size[j] - shared)
+                    kept = exact > least
+                    for part, x in zip(found, (at + i[kept], own[j[kept]], exact[kept]), strict=True):
+                        part.append(x)
+            i, h, exact = (np.concatenate(x) for x in found)
+            kept = _best_of_cell(i, h, exact, k, 2e-9)
+            who.append(ask[i[kept]])
+            what.append(h[kept])
+            value.append(exact[kept])
+        return pa.table([asked.column(query).take(pa.array(np.concatenate(who))), held.column(row).take(pa.array(np.concatenate(what))), pa.array(np.concatenate(value))], names=[query, row, "similarity"])
+
+    return judge
+
 
-    def similarity(common, asked, size):
-        x = common / np.maximum(asked + size - common, 1.0)
-        return np.where(x > least, x, 0.0)
+def trigram_matches(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, least: float, k: int, group: str | None = None) -> DataFrame:
+    """``(query, row, similarity, rank)``: the k most similar rows by shared trigrams, above ``least``; ties go to the smaller row; ``group`` as in ``nearest``.
 
-    return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_trigrams, lambda term, count, size, counts: np.ones(len(term)), similarity, 9, "similarity", False, group)
+    Without groups, of rows with the same text only the k smallest take part: the others come after these k.
+    """
+    none = F.lit(None).cast("string")
+    q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t"), (F.col(group) if group else none).alias("_g"))
+    own = rows.where(F.col(text).isNotNull()).select(row, F.col(text).alias("_t"), (F.col(group) if group else none).alias("_g"))
+    if group is None:
+        own = own.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(row))).where(F.col("_n") <= k).drop("_n")
+    kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField("similarity", DoubleType())])
+    out = _met_in_cells(q, query, own, row, _alike_in_cells(query, row, least, k), kind)
+    order = Window.partitionBy(query).orderBy(F.round("similarity", 9).desc(), row)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def text_similarity(a, b):
