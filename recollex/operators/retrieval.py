@@ -19,6 +19,8 @@ from recollex.runtime import stored
 QUERY_BLOCK = 4096
 #: The most rows and queries that meet in a cell, and values of a cell that are held at once.
 CELL_ROWS, CELL_QUERIES, CELL_VALUES = 65536, 8192, 1 << 22
+#: The same for BM25, where a cell of more rows leaves out more of them.
+BM25_ROWS, BM25_QUERIES = 131072, 8192
 
 
 def _blocks(queries: DataFrame, query: str) -> Iterator[pa.Table]:
@@ -256,15 +258,15 @@ def _py_trigrams(text: str) -> list[str]:
     return list({p[i : i + 3] for p in padded for i in range(len(p) - 2)})
 
 
-def _postings(texts: list[str | None], tokens: Callable[[str], list[str]], vocabulary: dict[str, int]):
-    """(term, document, count) of the known terms, by term, and the number of all tokens of each document."""
+def _postings(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, count) of the known terms, by term and document, and the number of all tokens of each document."""
     size = np.zeros(len(texts), np.int64)
     terms, places = [], []
     for i, t in enumerate(texts):
         if t:
-            words = tokens(t)
+            words = _py_rank_tokens(t)
             size[i] = len(words)
-            hit = [vocabulary[w] for w in words if w in vocabulary]
+            hit = [n for n in map(vocabulary.get, words) if n is not None]
             terms += hit
             places += [i] * len(hit)
     both = np.array(terms, np.int64) * max(1, len(texts)) + np.array(places, np.int64)
@@ -272,75 +274,85 @@ def _postings(texts: list[str | None], tokens: Callable[[str], list[str]], vocab
     return pairs // max(1, len(texts)), pairs % max(1, len(texts)), count, size
 
 
-def _term_counts(text: str, tokens: Callable[[str], list[str]], vocabulary: dict[str, int]):
-    """Documents with each known term; -1 counts the documents, -2 their tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary) + 2, np.int64)
-        for batch in batches:
-            term, _, _, size = _postings(batch.column(text).to_pylist(), tokens, vocabulary)
-            total[2:] += np.bincount(term, minlength=len(vocabulary))
-            total[0] += size.sum()
-            total[1] += len(size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(vocabulary))), pa.array(total)], names=["term", "n"])
-
-    return run
+def _bm25_in_cells(query: str, row: str, k: int, k1: float, b: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best of a cell for each query, exactly, without meeting the rows that hold common words alone.
 
+    The most that a word can add is its highest value in the cell.  A query's
+    words are taken from the one that can add most; once k rows have more than
+    all words still to come can add together, no other row can be among the k,
+    and those words are only looked up for the rows at hand.
+    """
 
-def _best_by_terms(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, tokens, weigh, finish, digits: int, name: str, need_counts: bool) -> DataFrame:
-    """Exact top k of a score that sums over common terms, queries in blocks against all rows.
+    def judge(asked: pa.Table, held: pa.Table) -> pa.Table:
+        who, what, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        texts, words, idfs, mean = held.column("_t").combine_chunks(), asked.column("_w").combine_chunks(), asked.column("_idf").combine_chunks(), held.column("_mean").combine_chunks()
+        for ask, hold in _cells(asked, held):
+            lists, weights = words.take(pa.array(ask)).to_pylist(), idfs.take(pa.array(ask)).to_pylist()
+            vocabulary: dict[str, int] = {}
+            terms = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in lists]
+            n = len(hold)
+            term, place, count, size = _postings(texts.take(pa.array(hold)).to_pylist(), vocabulary)
+            part = count * (k1 + 1) / (count + k1 * (1 - b + b * size[place] / max(mean[int(hold[0])].as_py(), 1e-9)))
+            edges = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+            most = np.zeros(len(vocabulary))
+            np.maximum.at(most, term, part)
+            common: dict[int, np.ndarray] = {}
+
+            def looked_up(t: int, rows: np.ndarray) -> np.ndarray:
+                """What a term has in some rows; lists that are long are laid out as a whole."""
+                own = slice(edges[t], edges[t + 1])
+                docs = place[own]
+                if len(docs) * 16 >= n:
+                    if t not in common:
+                        common[t] = np.zeros(n, np.float64)
+                        common[t][docs] = part[own]
+                    return common[t][rows]
+                if not len(docs):
+                    return np.zeros(len(rows))
+                at = np.minimum(np.searchsorted(docs, rows), len(docs) - 1)
+                return np.where(docs[at] == rows, part[own][at], 0.0)
+
+            total, seen = np.zeros(n), np.zeros(n, bool)
+            for q, (ids, gain) in enumerate(zip(terms, weights, strict=True)):
+                gain = np.array(gain, np.float64)
+                order = np.argsort(-(gain * most[ids]), kind="stable")
+                ids, gain = ids[order], gain[order]
+                rest = np.append(np.cumsum((gain * most[ids])[::-1])[::-1], 0.0)
+                met, reached = [], 0.0
+                for x, t in enumerate(ids.tolist()):
+                    if reached > rest[x] + 1e-5:
+                        break
+                    own = slice(edges[t], edges[t + 1])
+                    docs = place[own]
+                    fresh = docs[~seen[docs]]
+                    seen[fresh] = True
+                    met.append(fresh)
+                    total[docs] += gain[x] * part[own]
+                    if len(docs) and rest[x + 1] < rest[0]:
+                        now = total[np.concatenate(met)]
+                        if len(now) >= k:
+                            reached = np.partition(now, len(now) - k)[len(now) - k]
+                else:
+                    x = len(ids)
+                rows = np.concatenate(met) if met else np.zeros(0, np.int64)
+                score = total[rows]
+                total[rows], seen[rows] = 0.0, False
+                for y in range(x, len(ids)):
+                    # Rows that even all words to come cannot lift among the k are left.
+                    kept = score + rest[y] >= reached - 1e-5
+                    rows, score = rows[kept], score[kept]
+                    score = score + gain[y] * looked_up(int(ids[y]), rows)
+                    if len(score) >= k:
+                        reached = max(reached, np.partition(score, len(score) - k)[len(score) - k])
+                if len(score) > k:
+                    kept = score >= np.partition(score, len(score) - k)[len(score) - k] - 2e-6
+                    rows, score = rows[kept], score[kept]
+                who.append(np.full(len(rows), ask[q]))
+                what.append(hold[rows])
+                value.append(score)
+        return pa.table([asked.column(query).take(pa.array(np.concatenate(who))), held.column(row).take(pa.array(np.concatenate(what))), pa.array(np.concatenate(value))], names=[query, row, "score"])
 
-    A task turns its rows into postings of the block's terms, adds up dense
-    scores for some queries at a time and keeps k a query, with ties; a window
-    keeps k of all.  Only the block's queries and the statistics of their terms
-    leave the executors.
-    """
-    q = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t"))
-    kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField(name, DoubleType())])
-    out = None
-    for block in _blocks(q, query):
-        keys = pa.array(block.column(query).to_pylist(), block.schema.field(query).type)
-        lists = [tokens(t) for t in block.column("_t").to_pylist()]
-        vocabulary = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws}))}
-        counts = np.zeros(len(vocabulary) + 2)
-        if need_counts:
-            told = rows.select(text).mapInArrow(_term_counts(text, tokens, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-            for r in told.toLocalIterator():
-                counts[r["term"] + 2] = r["n"]
-        asked = []
-        for words in lists:
-            ids, times = np.unique(np.array([vocabulary[w] for w in words], np.int64), return_counts=True)
-            asked.append((ids, times.astype(np.float64)))
-        lengths = np.array([len(x) for x in lists], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, vocabulary=vocabulary, counts=counts, asked=asked, lengths=lengths) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                term, place, count, size = _postings(batch.column(text).to_pylist(), tokens, vocabulary)
-                edges = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-                value = weigh(term, count, size[place], counts)
-                asks, rests, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-                for at in range(0, len(keys), 64):
-                    table = np.zeros((min(64, len(keys) - at), len(size)))
-                    for i in range(len(table)):
-                        ids, times = asked[at + i]
-                        for t, n in zip(ids, times, strict=True):
-                            own = slice(edges[t], edges[t + 1])
-                            table[i, place[own]] += n * value[own]
-                    table = finish(table, lengths[at : at + len(table), None], size[None, :].astype(np.float64))
-                    keep = min(k, len(size))
-                    bound = np.partition(table, len(size) - keep, axis=1)[:, len(size) - keep] - 2 * 10.0**-digits
-                    i, j = np.nonzero((table > 0) & (table >= bound[:, None]))
-                    asks.append(at + i)
-                    rests.append(j)
-                    values.append(table[i, j])
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(asks))), batch.column(row).take(pa.array(np.concatenate(rests))), pa.array(np.concatenate(values))], names=[query, row, name])
-
-        part = rows.select(row, text).mapInArrow(run, kind)
-        out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy(query).orderBy(F.round(name, digits).desc(), row)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return judge
 
 
 def bm25(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -349,13 +361,19 @@ def bm25(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row:
     Repeated query words count as often as they occur.  Null and empty texts
     match nothing, but count as documents.
     """
-
-    def weigh(term, count, size, counts):
-        n, mean = counts[1], counts[0] / max(counts[1], 1.0)
-        df = counts[2:][term]
-        return np.log((n - df + 0.5) / (df + 0.5) + 1.0) * count * (k1 + 1) / (count + k1 * (1 - b + b * size / max(mean, 1e-9)))
-
-    return _best_by_terms(queries, query, query_text, rows, row, text, k, _py_rank_tokens, weigh, lambda x, _q, _r: x, 6, "score", True)
+    own = rows.select(row, F.col(text).alias("_t"))
+    tokens = F.coalesce(rank_tokens(F.col("_t")), F.array().cast("array<string>"))
+    asked = queries.where(F.col(query_text).isNotNull()).select(query, F.col(query_text).alias("_t")).withColumn("_w", F.explode(tokens)).groupBy(query, "_w").agg(F.count(F.lit(1)).alias("_times"))
+    counts = own.select(F.explode(F.array_distinct(tokens)).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    sizes = own.agg(F.count(F.lit(1)).alias("_docs"), F.sum(F.size(tokens)).alias("_all")).first()
+    docs, mean = sizes["_docs"], float(sizes["_all"] or 0) / max(1, sizes["_docs"])
+    idf = F.log((F.lit(float(docs)) - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1.0) * F.col("_times")
+    q = asked.join(counts, "_w").groupBy(query).agg(F.sort_array(F.collect_list(F.struct("_w", idf.alias("_idf")))).alias("_l")).select(query, F.col("_l._w").alias("_w"), F.col("_l._idf").alias("_idf"), F.lit(None).cast("string").alias("_g"))
+    held = own.where(F.col("_t").isNotNull()).select(row, "_t", F.lit(mean).alias("_mean"), F.lit(None).cast("string").alias("_g"))
+    kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField("score", DoubleType())])
+    out = _met_in_cells(stored(q, "words-asked"), query, held, row, _bm25_in_cells(query, row, k, k1, b), kind, BM25_ROWS, BM25_QUERIES)
+    order = Window.partitionBy(query).orderBy(F.round("score", 6).desc(), row)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 #: Code of each byte in a trigram: letters and digits, 0 for what parts words.

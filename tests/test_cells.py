@@ -1,5 +1,6 @@
 """Searches in which questions meet the rows of their group in cells."""
 
+import math
 import random
 
 import pyspark.sql.functions as F
@@ -52,3 +53,32 @@ def test_diversity_by_hand(spark):
     got = [(r.q, r.id, r["rank"]) for r in fusion.diversify(df, "q", "id", "content", "s", 2).orderBy("q", "rank").collect()]
     assert got == [("p", "d", 1), ("q", "a", 1), ("q", "b", 2)]
     assert {r.id for r in fusion.diversify(df, "q", "id", "content", "s", 2, trade=0.3).where(F.col("q") == "q").collect()} == {"a", "c"}
+
+
+def test_bm25_and_trigrams_without_groups_meet_rows_in_cells(spark, monkeypatch):
+    """Common words alone bring no row, repeated texts come in the order of their rows, and all is as by adding up every score."""
+    monkeypatch.setattr(retrieval, "_blocks", lambda *_: pytest.fail("met all rows"))
+    chance = random.Random(9)
+    words, shares = ["the", "of", "in", "lantern", "harbour", "seven", "quartz", "zebra"], [30, 20, 15, 4, 3, 3, 1, 1]
+    rows = [(f"r{i:03}", " ".join(chance.choices(words, shares, k=chance.randint(1, 9)))) for i in range(300)] + [("r900", None), ("r901", ""), ("r902", "zebra zebra"), ("r903", "zebra zebra")]
+    asked = [(f"q{i:02}", " ".join(chance.choices(words, k=4))) for i in range(20)] + [("q90", None), ("q91", "?"), ("q92", "unknown")]
+    q, r = spark.createDataFrame(asked, "q string, t string"), spark.createDataFrame(rows, "id string, t string").repartition(3)
+    texts = {i: (t or "").split() for i, t in rows}
+    mean = sum(map(len, texts.values())) / len(texts)
+
+    def score(words_asked, own):
+        out = 0.0
+        for w in words_asked:
+            df, tf = sum(w in t for t in texts.values()), own.count(w)
+            out += math.log((len(texts) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / mean))
+        return out
+
+    want = set()
+    for key, t in asked:
+        scored = sorted((-round(score((t or "").split(), own), 6), i) for i, own in texts.items() if set(own) & set((t or "").split()))
+        want |= {(key, i, n + 1, -s) for n, (s, i) in enumerate(scored[:7])}
+    for sizes in ((40, 6), (131072, 8192)):
+        monkeypatch.setattr(retrieval, "BM25_ROWS", sizes[0])
+        monkeypatch.setattr(retrieval, "BM25_QUERIES", sizes[1])
+        assert {(x.q, x.id, x["rank"], round(x.score, 6)) for x in retrieval.bm25(q, "q", "t", r, "id", "t", 7).collect()} == want
+    assert [x.id for x in retrieval.trigram_matches(q.where("q = 'q00'").withColumn("t", F.lit("zebra")), "q", "t", r.where("id > 'r9'"), "id", "t", 0.1, 5).orderBy("rank").collect()] == ["r902", "r903"]
