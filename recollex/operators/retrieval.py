@@ -369,11 +369,14 @@ def bm25(queries: DataFrame, query: str, query_text: str, rows: DataFrame, row:
     docs, mean = sizes["_docs"], float(sizes["_all"] or 0) / max(1, sizes["_docs"])
     idf = F.log((F.lit(float(docs)) - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1.0) * F.col("_times")
     q = asked.join(counts, "_w").groupBy(query).agg(F.sort_array(F.collect_list(F.struct("_w", idf.alias("_idf")))).alias("_l")).select(query, F.col("_l._w").alias("_w"), F.col("_l._idf").alias("_idf"), F.lit(None).cast("string").alias("_g"))
+    # Questions of the same words have the same rows, so one of them asks for all.
+    lists = stored(q.withColumn("_lead", F.min(query).over(Window.partitionBy("_w", "_idf"))), "words-asked")
     held = own.where(F.col("_t").isNotNull()).select(row, "_t", F.lit(mean).alias("_mean"), F.lit(None).cast("string").alias("_g"))
     kind = StructType([StructField(query, queries.schema[query].dataType), StructField(row, rows.schema[row].dataType), StructField("score", DoubleType())])
-    out = _met_in_cells(stored(q, "words-asked"), query, held, row, _bm25_in_cells(query, row, k, k1, b), kind, BM25_ROWS, BM25_QUERIES)
+    out = _met_in_cells(lists.where(F.col(query) == F.col("_lead")).drop("_lead"), query, held, row, _bm25_in_cells(query, row, k, k1, b), kind, BM25_ROWS, BM25_QUERIES)
     order = Window.partitionBy(query).orderBy(F.round("score", 6).desc(), row)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumnRenamed(query, "_lead").join(lists.select(query, "_lead"), "_lead").select(query, row, "score", "rank")
 
 
 #: Code of each byte in a trigram: letters and digits, 0 for what parts words.
